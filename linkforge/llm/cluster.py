@@ -1,0 +1,16 @@
+"""Cutting lineage so that lost executors do not replay whole jobs."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read back. The session's folder is used; one is set only where none is."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkforge-"))
+    return df.checkpoint()
