@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, line_dedup, mixing, quality_rules, url_filter
+from . import bpe, exact_dedup, labelled, line_dedup, mixing, quality, quality_rules, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,25 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranking = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.quality_scores(docs, ranking), 0.5)
+
+
+TOXIC_FROM = 0.7
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.toxic_spans(docs, crf), TOXIC_FROM, "n_toxic_tokens", F.to_json("spans").alias("spans"))
+
+
+def _scored(scores: DataFrame, least: float, *more) -> DataFrame:
+    return scores.select("doc_id", labelled.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"), *more)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +72,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality_ranking": op4_quality_ranking,
+    "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
