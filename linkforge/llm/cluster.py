@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -14,3 +15,47 @@ def cut(df: DataFrame) -> DataFrame:
         folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkforge-"))
     return df.checkpoint()
+
+
+def bit_filter(keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
+    """A bitmap with the bits of all values of the long column `key` set, as rows (_word, _bits).
+
+    It has at most 2 ** bits / 64 rows of 16 bytes whatever the number of keys: a proven bound for a broadcast.
+    """
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    return (
+        keys.select(slot.alias("_slot"))
+        .groupBy((F.col("_slot") / 64).cast("long").alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
+    )
+
+
+def may_be_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = 23) -> DataFrame:
+    """Rows whose long column `key` has its bit set. Some others may be among them; the fuller the bitmap, the more."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    marked = rows.withColumn("_word", (slot / 64).cast("long")).join(F.broadcast(bitmap), "_word")
+    return marked.where(F.expr(f"shiftright(_bits, cast(pmod({key}, {1 << bits}) % 64 as int)) & 1L = 1L")).drop("_word", "_bits")
+
+
+def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+    """(node, label) of all nodes of an undirected graph, label the least node of the component.
+
+    Alternating large-star and small-star steps, each an aggregation by node, until nothing changes; a component
+    of any shape takes a number of rounds logarithmic in its size. Each round is written to the checkpoint folder.
+    """
+    both = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    links, before = cut(both), None
+    for _ in range(most_rounds):
+        out = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = out.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = out.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
+        links = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = links.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
