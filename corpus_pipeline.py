@@ -5,9 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkforge.llm import bpe, line_dedup, mixing, near_dedup, toxicity
+from linkforge.llm.queries import TOXIC_FROM, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: documents that score as toxic go."""
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    columns = [c for c in docs.columns if c != "doc_id"]
+    scored = toxicity.toxic_spans(docs, crf, keep=tuple(columns), spans=False)
+    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: later copies of repeated line runs go out of the texts; n_chars follows."""
+    out = line_dedup.line_dedup(docs)
+    changed = F.col("n_removed_lines") > 0
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each class of near duplicates stays."""
+    return near_dedup.near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: the words that the mix takes, a row for each document and pass over its source."""
+    return mixing.mix_texts(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: ids of the mixed texts."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.bpe(docs, path, outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("near-duplicates", drop_near_copies),
+    ("mixing", mix),
+    ("encoding", encode),
+]
 
 #: SQL can express neither a trained sequence model nor signatures, permutations and merges.
 ORACLE_SQL: str | None = None
