@@ -61,9 +61,12 @@ def powers(base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-        return x ^ (x >> U64(31))
+        x = x ^ (x >> U64(30))
+        x *= U64(0xBF58476D1CE4E5B9)
+        x ^= x >> U64(27)
+        x *= U64(0x94D049BB133111EB)
+        x ^= x >> U64(31)
+        return x
 
 
 class RangeHash:
@@ -82,6 +85,20 @@ class RangeHash:
             return mix((self.sums[stop] - self.sums[start]) * back[start] + (stop - start).astype(U64) * U64(0xD6E8FEB86659FD93) + self.seed)
 
 
+def rolling(data: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all ranges of `width` bytes, by start; as RangeHash gives them for ranges of one width, but by slices."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    with np.errstate(over="ignore"):
+        table = mix(np.arange(1, 257, dtype=U64) * U64(_BASE) + U64(seed))
+        sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(table[data] * powers(_BASE, len(data)), out=sums[1:])
+        out = sums[width:] - sums[:n]
+        out *= powers(_INVERSE, n)
+        return mix(out)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -105,6 +122,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(~_SPACE[data], offsets)
 
 
+def text_pieces(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, bytes, offsets) of pieces of a list of texts."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
+    first = 0
+    for piece in pieces(batch, "t", limit):
+        yield first, *utf8(piece.column("t"))
+        first += piece.num_rows
+
+
 def per_row(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of values by row."""
     return np.bincount(rows, weights=values, minlength=n)

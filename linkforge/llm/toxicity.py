@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .labelled import sample
-from .textbytes import RangeHash, arrow_batches, pieces, runs, utf8
+from .textbytes import RangeHash, arrow_batches, pieces, runs, text_pieces, utf8
 
 BITS = 22
 #: Bytes of the prefixes that are features; longer and shorter forms share them.
@@ -148,8 +148,13 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         return crf
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    _, _, row, features = token_features(data, offsets)
+    rows, parts = [], []
+    for first, data, offsets in text_pieces(texts):
+        _, _, row, part = token_features(data, offsets)
+        rows.append(row + first)
+        parts.append(part)
+    row, features = np.concatenate(rows).astype(np.int32), np.concatenate(parts)
+    del rows, parts
     space = 1 << BITS
     n_docs, n_toxic = len(texts), int(y.sum())
     n_clean = n_docs - n_toxic
@@ -188,8 +193,11 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     crf.weights = np.zeros(space, np.float32)
     crf.weights[used] = weights
     crf.bias, crf.trans, crf.start = float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2).copy(), float(theta[size + 5])
-    p = crf.marginals(crf.emission(features), np.diff(row, prepend=-1) > 0)
-    x = doc_evidence(p, row, n_docs)
+    x = np.zeros((n_docs, 3))
+    for at in np.array_split(np.arange(n_docs), max(1, len(row) // 500_000)):
+        some = slice(*np.searchsorted(row, [at[0], at[-1] + 1]))
+        p = crf.marginals(crf.emission(features[some]), np.diff(row[some], prepend=-1) > 0)
+        x[at] = doc_evidence(p, row[some] - at[0], len(at))
     weight = np.zeros(3)
     hess = np.eye(3) * 1e-2
     rate = np.where(y == 1, 0.5 / n_toxic, 0.5 / n_clean) * n_docs  # the sample is not drawn at the true rates
@@ -220,7 +228,7 @@ def doc_evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 3000) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> Crf:
     """A field fitted to a sample of at most `per_class` documents of each class whose labels are not held out."""
     texts, y, _ = sample(docs, labels, label_col, per_class, id_col, text_col)
     return train(texts, y)
