@@ -191,7 +191,7 @@ def _explored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def evolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explored(spark, sf_dir)[0].select("group_id", "threshold", "member_id", "is_representative", F.round("similarity_to_representative", 4).alias("similarity_to_representative"), "group_size_at_threshold", "in_group")
+    return _explored(spark, sf_dir)[0].select("group_id", "threshold", "member_id", "is_representative", F.round("similarity_to_representative", 6).alias("similarity_to_representative"), "group_size_at_threshold", "in_group")
 
 
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,7 +385,7 @@ ORACLES: dict[str, str] = {
     "group_stats": f"WITH RECURSIVE {_grouped(GROUP_AT)} SELECT group_id, group_key, group_size, round(avg_similarity, 3) AS avg_similarity, round(min_similarity, 4) AS min_similarity FROM grp",
     "representatives": f"WITH RECURSIVE {_grouped(GROUP_AT)} SELECT group_id, representative_id FROM grp",
     "pairwise_groups": f"WITH RECURSIVE {_grouped(GROUP_AT)} SELECT group_id, group_size, src, dst, score FROM sc JOIN grp USING (group_key)",
-    "evolution": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, threshold, member_id, is_representative, round(CAST(sim AS DOUBLE), 4) AS similarity_to_representative, n AS group_size_at_threshold, in_group FROM ev",
+    "evolution": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, threshold, member_id, is_representative, round(CAST(sim AS DOUBLE), 6) AS similarity_to_representative, n AS group_size_at_threshold, in_group FROM ev",
     "threshold_sweep": f"""WITH RECURSIVE {_EVOLVED}, s AS (SELECT threshold, count(DISTINCT group_id) AS g, count(DISTINCT member_id) AS p, max(n) AS big, avg(round(mean, 2)) AS m FROM ev WHERE in_group GROUP BY threshold)
         SELECT CAST(t AS INT) AS threshold, coalesce(g, 0) AS groups_found, coalesce(p, 0) AS products_in_groups, coalesce(big, 0) AS largest_group_size, round(coalesce(CAST(m AS DOUBLE), 0.0), 1) AS avg_group_similarity, (SELECT count(*) FROM cat) - coalesce(p, 0) AS singletons FROM range({SWEEP[0]}, {SWEEP[1]} + 1, 5) r(t) LEFT JOIN s ON s.threshold = t""",
     "restriction_profile": """WITH c AS (SELECT count(*) AS n, count(DISTINCT p_name) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t FROM part),
