@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import cut
+from ..lineage import cut
 from .textbytes import arrow_batches, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -154,7 +154,7 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     uses = slots.groupBy("_source", "_block").agg(F.count("*").alias("_uses"))
     taken = (
         _pieces(rows, block_words)
-        .join(uses, ["_source", "_block"], "left")
+        .join(uses.hint("merge"), ["_source", "_block"], "left")  # Spark takes the size of uses for that of the draws
         .groupBy("_source", "_off", "_id", "_size")
         .agg(F.sum((F.col("_to") - F.col("_from")) * F.coalesce("_uses", F.lit(0))).alias("taken"))
     )
@@ -177,7 +177,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_off"))
     cuts = (
         _pieces(rows.withColumn("_nth", nth), block_words)
-        .join(slots, ["_source", "_block"])
+        .join(slots.hint("merge"), ["_source", "_block"])  # Spark takes the size of slots for that of the draws
         .groupBy("_id", "_th", "_nth", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_cuts"))
     )

@@ -9,7 +9,7 @@ similarity. Work stops once all components are filled, after about m ln m points
 
 Bands of components are buckets. Every document of a bucket is compared with the bucket's hub, the member that
 shares the most buckets with others. Where a bucket still holds several classes, all pairs across classes whose
-signatures do not rule them out are compared too. All comparisons are of whole multisets.
+signatures or histograms do not rule them out are compared too. All comparisons are of whole multisets.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bit_filter, components, cut, may_be_in
+from ..lineage import cut
+from ..operators.graph import components
+from .bitmaps import bit_filter, may_be_in
 from .textbytes import RangeHash, arrow_batches, mix, pieces, powers, utf8, words
 
 U64 = np.uint64
@@ -31,6 +33,10 @@ SIMILAR = 0.8
 #: At similarity 0.8 a pair shares no band of 5 components out of 24 with probability 0.00007.
 BANDS, BAND = 24, 5
 SIZE = BANDS * BAND
+#: Bins of the histogram of shingle hashes that bounds how far two multisets can overlap.
+BINS = 512
+#: Doublings of the way that labels follow from hub to hub.
+JUMPS = 2
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -124,6 +130,20 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / max(1, a[1].sum() + b[1].sum() - both))
 
 
+def histogram(bag: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Shingle counts by hash bin, one byte each, 255 where a bin has more."""
+    bins = np.bincount((bag[0] >> U64(40)).astype(np.int64) % BINS, weights=bag[1], minlength=BINS)
+    return np.minimum(bins, 255).astype(np.uint8).tobytes()
+
+
+def most_overlap(bins: np.ndarray, over: np.ndarray, other: np.ndarray, other_over: int) -> np.ndarray:
+    """What the overlaps of multisets cannot exceed, from their histograms and from how much did not fit in those.
+
+    Of two bins the smaller is a bound for what lies in both; where both are full, what is above them is bounded in all.
+    """
+    return np.minimum(bins, other).sum(1, dtype=np.int64) + np.minimum(over, other_over)
+
+
 def _text_key(id_col: str, text_col: str) -> tuple[Column, Column]:
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return th, F.xxhash64(F.col(id_col), th)
@@ -173,9 +193,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     banded = nodes.select("_node", "_sig").mapInArrow(to_bands, "_node binary, _band int, _key long")
     sizes = banded.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
     members = cut(banded.join(sizes, "_key"))
-    score = members.groupBy("_node").agg(F.sum("_size").alias("_score"))
-    hubs = members.join(score, "_node").groupBy("_key").agg(F.max(F.struct("_score", "_node")).alias("_hub")).select("_key", F.col("_hub._node").alias("_hub"))
-    stars = cut(members.join(hubs, "_key").where("_node <> _hub").select(F.col("_node").alias("a"), F.col("_hub").alias("b")).distinct())
+    score = cut(members.groupBy("_node").agg(F.sum("_size").alias("_score")))
+    hubs = members.join(score, "_node").groupBy("_key").agg(F.max(F.struct("_score", "_node")).alias("_hub")).select("_key", F.col("_hub._node").alias("_hub"), F.col("_hub._score").alias("_rank"))
+    stars = cut(members.join(hubs, "_key").where("_node <> _hub").select(F.col("_node").alias("a"), F.col("_hub").alias("b"), F.col("_rank").alias("s")).distinct())
 
     # Texts of the nodes in buckets, once each, compressed. A bitmap of bounded size keeps the others out of the shuffle.
     wanted = nodes.join(score.select("_node"), "_node", "left_semi").select("_node", F.col("_first.i").alias("_i"), F.col("_first.t").alias("_t"))
@@ -194,29 +214,43 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         z = zstandard.ZstdDecompressor()
         hub, bag = None, None
         for batch in batches:
-            a, b, links = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for x, y, p, q in zip(a, b, batch.column("za").to_pylist(), batch.column("zb").to_pylist()):
+            links = []
+            for x, y, s, p, q in zip(*(batch.column(c).to_pylist() for c in "abs"), batch.column("za").to_pylist(), batch.column("zb").to_pylist()):
                 if y != hub:
                     hub, bag = y, multiset(z.decompress(q))
                 if overlap(multiset(z.decompress(p)), bag) >= similar:
-                    links.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+                    links.append((x, y, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], k) for i, k in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["a", "b", "s"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(texts.select(F.col("_node").alias("a"), F.col("_z").alias("za")), "a")
-        return with_a.join(texts.select(F.col("_node").alias("b"), F.col("_z").alias("zb")), "b").mapInArrow(verify, "a binary, b binary")
+        return with_a.join(texts.select(F.col("_node").alias("b"), F.col("_z").alias("zb")), "b").mapInArrow(verify, "a binary, b binary, s long")
 
     links = cut(verified(stars))
-    labels = cut(components(links, "a", "b"))
+    # A first idea of the classes: each node follows its best hub, hubs follow theirs. A hub ranks above its members,
+    # so these steps form trees, and members of one tree are connected.
+    labels = links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("s", "b")).alias("best")).select("node", F.col("best.b").alias("label"))
+    for _ in range(JUMPS):
+        ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = cut(labels.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
 
     # What the hubs did not join: buckets with members of several classes.
     placed = members.join(labels, members["_node"] == labels["node"], "left").select("_key", "_band", "_size", "_node", F.coalesce("label", "_node").alias("_label"))
     mixed = placed.groupBy("_key").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).where("lo <> hi").select("_key")
-    left = placed.join(mixed, "_key").join(nodes.select("_node", "_sig"), "_node")
+    left = placed.join(mixed, "_key")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            bags = [multiset(z.decompress(t)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([histogram(x) for x in bags], pa.binary()), pa.array([int(x[1].sum()) for x in bags], pa.int64()), b.column(2)], names=["_node", "_bins", "_total", "_sig"])
+
+    sketches = texts.join(left.select("_node").distinct(), "_node").join(nodes.select("_node", "_sig"), "_node").select("_node", "_z", "_sig")
+    left = left.join(sketches.mapInArrow(bound, "_node binary, _bins binary, _total long, _sig binary"), "_node")
     grid = F.ceil(F.col("_size") / cell).cast("int")
     left = left.withColumn("_grid", grid).withColumn("_slot", F.pmod(F.xxhash64("_node"), F.col("_grid")).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_grid") - 1)))
-    left = left.select("_key", F.least("_slot", "_other").alias("_lo"), F.greatest("_slot", "_other").alias("_hi"), "_band", "_slot", "_node", "_label", "_sig")
+    left = left.select("_key", F.least("_slot", "_other").alias("_lo"), F.greatest("_slot", "_other").alias("_hi"), "_band", "_slot", "_node", "_label", "_sig", "_bins", "_total")
     agree = (similar - 3.5 * (similar * (1 - similar) / SIZE) ** 0.5) * SIZE
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +260,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             node = [g[5] for g in group]
             _, label = np.unique(np.array([g[6] for g in group], object), return_inverse=True)
             sig = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(-1, SIZE)
+            bins = np.frombuffer(b"".join(g[8] for g in group), np.uint8).reshape(-1, BINS)
+            total = np.array([g[9] for g in group])
+            over = total - bins.sum(1, dtype=np.int64)
             main = np.bincount(label).argmax()
             found = []
             # Each pair across classes has at least one member outside the largest class.
@@ -238,8 +275,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 near = same.sum(1) >= agree
                 at, same = at[near], same[near]
                 # A pair that shares several bands is taken in the first.
-                bands = same.reshape(-1, BANDS, BAND).all(2)
-                found += [(node[i], node[j]) for j in at[bands.argmax(1) == band]]
+                here = same.reshape(-1, BANDS, BAND).all(2).argmax(1) == band
+                at = at[here]
+                most = most_overlap(bins[at], over[at], bins[i], over[i])
+                found += [(node[i], node[j]) for j in at[most >= similar * (total[at] + total[i] - most)]]
             return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
         key, held = None, []
@@ -254,9 +293,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pairs(held)
 
     rest = left.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi").mapInArrow(across, "a binary, b binary")
-    more = cut(verified(cut(rest)))
-    if not more.isEmpty():
-        labels = cut(components(links.unionByName(more), "a", "b"))
+    labels = components(links.unionByName(verified(rest.withColumn("s", F.lit(0).cast("long")))), "a", "b")
 
     named = nodes.join(labels, nodes["_node"] == labels["node"], "left").select("_node", "_least", "_n", F.coalesce("label", "_node").alias("_label"))
     classes = named.groupBy("_label").agg(F.min("_least").alias("_class"), F.sum("_n").alias("_size"))

@@ -23,8 +23,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import cut
-from .textbytes import RangeHash, arrow_batches, pieces, utf8
+from ..lineage import cut
+from .textbytes import RangeHash, arrow_batches, mix, pieces, rolling, utf8
 
 U64 = np.uint64
 ANCHOR = 24
@@ -32,46 +32,71 @@ _POSITION = U64((1 << 28) - 1)
 #: An anchor with more occurrences than this in one range is sorted window by window, so that its windows spread.
 HOT = 20_000
 #: Of the suffix records that one run holds.
-RUN = 300_000
+RUN = 150_000
 FAN_IN = 256
+#: Bytes of text that anchors are found in at once.
+BLOCK = 1 << 19
 _NO_ID = (1 << 63) - 1
+#: One of each for a process; their buffers are large.
+_press, _unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _PACKED = [np.dtype(t) for t in (np.uint8, np.bool_, np.int32, np.int64)]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor position, first window, last window, row, hash of the anchor) of the anchors of a buffer of texts."""
+    none = np.zeros(0, np.int64)
+    n = len(data)
+    if n < length:
+        return none, none, none, none, none.astype(U64)
+    if n > BLOCK and len(offsets) > 2:
+        # Rows are taken by the block, so that the arrays of 8 bytes for each byte of text stay small.
+        cuts = np.unique(np.searchsorted(offsets, np.arange(0, n, BLOCK)).clip(0, len(offsets) - 1).tolist() + [len(offsets) - 1])
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at, first, last, row, h = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length) if b - a < len(offsets) - 1 else _anchors(data, offsets, length)
+            found.append((at + offsets[a], first + offsets[a], last + offsets[a], row + a, h))
+        return tuple(np.concatenate(c) for c in zip(*found))
+    return _anchors(data, offsets, length)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data)
     if n < length:
         return none, none, none, none, none.astype(U64)
     spread = length - ANCHOR + 1
-    at = np.arange(n - ANCHOR + 1)
-    hashed = RangeHash(data, 41)(at, at + ANCHOR)
-    least = (hashed & ~_POSITION) | at.astype(U64)
+    hashed = rolling(data, ANCHOR, 41)
+    least = hashed & ~_POSITION
+    least |= np.arange(len(hashed), dtype=U64)
     have = 1
     while have * 2 <= spread:
         least = np.minimum(least[:-have], least[have:])
         have *= 2
     if have < spread:
         least = np.minimum(least[: len(least) - (spread - have)], least[spread - have :])
-    row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(least)]
-    window = np.flatnonzero(np.arange(len(least)) + length <= offsets[1:][row_of])
+    # Windows that would cross a text's end are left out.
+    crosses = np.zeros(n + 1, np.int8)
+    full = np.flatnonzero(np.diff(offsets))
+    np.add.at(crosses, np.maximum(offsets[full], offsets[full + 1] - length + 1), 1)
+    np.add.at(crosses, offsets[full + 1], -1)
+    window = np.flatnonzero(np.cumsum(crosses, dtype=np.int8)[: len(least)] == 0)
     if not len(window):
         return none, none, none, none, none.astype(U64)
-    anchor, row = (least[window] & _POSITION).astype(np.int64), row_of[window]
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
+    anchor = (least[window] & _POSITION).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
     last = np.concatenate([new[1:], [len(window)]]) - 1
-    return anchor[new], window[new], window[last], row[new], hashed[anchor[new]]
+    at = anchor[new]
+    return at, window[new], window[last], np.searchsorted(offsets, at, "right") - 1, hashed[at]
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
     """Arrays as one compressed block."""
     head = np.array([len(arrays), *(x for a in arrays for x in (_PACKED.index(a.dtype), len(a)))], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head[:1].tobytes(), head[1:].tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return _press.compress(b"".join([head[:1].tobytes(), head[1:].tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
+    raw = _unpress.decompress(block)
     count = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 2 * count, 8)
     out, at = [], 8 + 16 * count
@@ -83,31 +108,30 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 
 def suffix_keys(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Keys as fixed-width byte strings: the suffix from the anchor, the bytes before it in reverse, and the first part's length.
+    """Keys as byte strings of one width: the suffix from the anchor, the bytes before it in reverse, and the lengths of both.
 
-    Zero bytes fill the width; as the length is never zero, no key is a prefix of another with only zeros after it.
+    Zero bytes fill up either part. The last byte is the length of the suffix and never zero.
     """
+    before = length - ANCHOR
+    padded = np.concatenate([np.zeros(before, np.uint8), data, np.zeros(length, np.uint8)])
+    rights, lefts = np.lib.stride_tricks.sliding_window_view(padded, length), np.lib.stride_tricks.sliding_window_view(padded, before)
+    keys = np.empty((len(at), length + before + 2), np.uint8)
     right, left = last + length - at, at - first
-    width = 2 * length - ANCHOR + 1
-    j = np.arange(width)[None, :]
-    r, l = right[:, None], left[:, None]
-    source = np.where(j < r, at[:, None] + j, at[:, None] - 1 - (j - r))
-    keys = data[np.clip(source, 0, len(data) - 1)]
-    keys[j >= r + l] = 0
-    keys[np.arange(len(at)), right + left] = right
+    for i in range(0, len(at), 4096):
+        part = slice(i, i + 4096)
+        r, l, out = right[part, None], left[part, None], keys[part]
+        out[:, :length] = rights[at[part] + before] * (np.arange(length) < r)
+        out[:, length:-2] = lefts[at[part]][:, ::-1] * (np.arange(before) < l)
+        out[:, -2:] = np.concatenate([l, r], 1)
     return keys
 
 
-def front_code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shared prefix lengths, rest lengths and the rests of sorted distinct keys."""
-    width = keys.shape[1]
-    # The last nonzero byte ends a key.
-    size = width - np.argmax(keys[:, ::-1] != 0, 1)
+def front_code(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the prefix shared with the key before, and the rests, of sorted distinct keys."""
     shared = np.zeros(len(keys), np.int64)
-    differ = keys[1:] != keys[:-1]
-    shared[1:] = np.argmax(differ, 1)
-    j = np.arange(width)[None, :]
-    return shared.astype(np.uint8), (size - shared).astype(np.uint8), keys[(j >= shared[:, None]) & (j < size[:, None])]
+    for i in range(1, len(keys), 4096):
+        shared[i : i + 4096] = np.argmax(keys[i : i + 4096] != keys[i - 1 : i - 1 + len(keys[i : i + 4096])], 1)
+    return shared.astype(np.uint8), keys[np.arange(keys.shape[1]) >= shared[:, None]]
 
 
 def make_run(keys: np.ndarray, ids: np.ndarray, piece: np.ndarray, row: np.ndarray, first: np.ndarray, hot: np.ndarray) -> bytes:
@@ -116,17 +140,17 @@ def make_run(keys: np.ndarray, ids: np.ndarray, piece: np.ndarray, row: np.ndarr
     order = np.argsort(keys.view(f"S{width}").ravel(), kind="stable")
     keys = keys[order]
     new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])
-    shared, rest, data = front_code(keys[new])
+    shared, data = front_code(keys[new])
     counts = np.diff(np.append(np.flatnonzero(new), len(keys)))
-    return pack([shared, rest, data, counts.astype(np.int32), ids[order], piece[order], row[order].astype(np.int32), first[order].astype(np.int32), hot[order][new]])
+    return pack([shared, data, np.array([width], np.int32), counts.astype(np.int32), ids[order], piece[order], row[order].astype(np.int32), first[order].astype(np.int32), hot[order][new]])
 
 
 class Run:
     """Walks a front-coded run."""
 
     def __init__(self, block: bytes):
-        shared, rest, data, counts, *self.places, hot = unpack(block)
-        self.shared, self.rest, self.data, self.hot = shared.tolist(), rest.tolist(), data.tobytes(), hot.tolist()
+        shared, data, width, counts, *self.places, hot = unpack(block)
+        self.shared, self.data, self.width, self.hot = shared.tolist(), data.tobytes(), int(width[0]), hot.tolist()
         self.ends = np.cumsum(counts).tolist()
         self.at, self.byte, self.key = -1, 0, b""
 
@@ -135,9 +159,10 @@ class Run:
         self.at += 1
         if self.at >= len(self.shared):
             return -1
-        shared, rest = self.shared[self.at], self.rest[self.at]
-        self.key = self.key[:shared] + self.data[self.byte : self.byte + rest]
-        self.byte += rest
+        shared = self.shared[self.at]
+        end = self.byte + self.width - shared
+        self.key = self.key[:shared] + self.data[self.byte : end]
+        self.byte = end
         return shared
 
     def place(self) -> tuple[int, int]:
@@ -212,25 +237,22 @@ def _windows(keys: list[bytes], group: np.ndarray, key_of: np.ndarray, ids: np.n
 
     Places that have key k come with `key_of` k; a window is known by its group and its bytes.
     """
-    sizes = np.array([len(k) for k in keys])
-    flat = np.frombuffer(b"".join(keys), np.uint8)
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    right = flat[base + sizes - 1].astype(np.int64)
-    left = sizes - 1 - right
-    # Texts again in reading order: bytes before the anchor, then the suffix.
+    table = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
+    before = length - ANCHOR
+    left, right = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
+    # Texts again in reading order: the bytes before the anchor, then the suffix.
     total = left + right
     begin = np.concatenate([[0], np.cumsum(total)])
-    inside = np.arange(begin[-1]) - np.repeat(begin[:-1], total)
-    l, b, r = np.repeat(left, total), np.repeat(base, total), np.repeat(right, total)
-    text = flat[np.where(inside < l, b + r + (l - 1 - inside), b + inside - l)]
+    whole = np.concatenate([table[:, length:-2][:, ::-1], table[:, :length]], 1)
+    j = np.arange(length + before)
+    text = whole[(j >= before - left[:, None]) & (j < before + right[:, None])]
     count = total - length + 1
     key = np.repeat(np.arange(len(keys)), count)
     start = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
     where = begin[:-1][key] + start
-    name = RangeHash(text, 43)(where, where + length) ^ (group[key].astype(U64) * U64(0x9E3779B97F4A7C15))
-    # Offset of the window from its anchor is part of what it is.
-    _, number = np.unique(np.stack([name, (left[key] - start).astype(U64)], 1), axis=0, return_inverse=True)
-    number = number.ravel()
+    # What a window is: its bytes, its anchor and how far that is from its start.
+    name = RangeHash(text, 43)(where, where + length) ^ mix(group[key].astype(U64) * U64(256) + (left[key] - start).astype(U64))
+    _, number = np.unique(name, return_inverse=True)
     least_of_key = np.full(len(keys), _NO_ID)
     np.minimum.at(least_of_key, key_of, ids)
     least = np.full(number.max() + 1, _NO_ID)
@@ -252,56 +274,81 @@ def _windows(keys: list[bytes], group: np.ndarray, key_of: np.ndarray, ids: np.n
 def resolve(blocks: list[bytes], length: int) -> list[np.ndarray]:
     """Merges runs and gives (piece, row, from, to) of all stretches that an earlier document has."""
     runs = [Run(b) for b in blocks]
+    ids, piece, row, first = (np.concatenate([r.places[c] for r in runs]) for c in range(4))
+    base = np.concatenate([[0], np.cumsum([len(r.places[0]) for r in runs])]).tolist()
     out: list[tuple[np.ndarray, ...]] = []
-    several: list[tuple[bytes, int, list]] = []  # key, group, places
-    held = groups = 0
+    # Spans of places, with the number of their key: of keys alone with their anchor, and of the others.
+    alone: list[tuple[int, int, int]] = []
+    several: list[tuple[int, int, int]] = []
+    lone_keys: list[bytes] = []
+    keys: list[bytes] = []
+    groups: list[int] = []
+    held = 0
+
+    def spread(spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All places of the spans, and the number of the key of each."""
+        begin, end, key = np.array(spans, np.int64).T
+        n = end - begin
+        return np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(key, n)
 
     def flush() -> None:
         nonlocal held
+        held = 0
+        if alone:
+            at, key = spread(alone)
+            least = np.full(len(lone_keys), _NO_ID)
+            np.minimum.at(least, key, ids[at])
+            size = np.array([k[-1] + k[-2] for k in lone_keys])
+            hit = ids[at] > least[key]
+            at, key = at[hit], key[hit]
+            out.append((piece[at], row[at], first[at], first[at] + size[key]))
+            alone.clear()
+            lone_keys.clear()
         if several:
-            places = [(runs[r], a, b, k) for k, (_, _, ps) in enumerate(several) for r, a, b in ps]
-            columns = [np.concatenate([r.places[c][a:b] for r, a, b, _ in places]) for c in range(4)]
-            key_of = np.concatenate([np.full(b - a, k) for _, a, b, k in places])
-            place, begin, end = _windows([s[0] for s in several], np.array([s[1] for s in several]), key_of, columns[0], length)
-            out.append((columns[1][place], columns[2][place], columns[3][place] + begin, columns[3][place] + end))
-            several.clear()
-            held = 0
+            at, key = spread(several)
+            place, begin, end = _windows(keys, np.array(groups), key, ids[at], length)
+            at = at[place]
+            out.append((piece[at], row[at], first[at] + begin, first[at] + end))
+            for done in (several, keys, groups):
+                done.clear()
 
     def close(group: list[tuple[bytes, list]]) -> None:
-        nonlocal held, groups
+        nonlocal held
+        held += sum(b - a for _, places in group for a, b in places)
         if len(group) == 1:
             key, places = group[0]
-            if len(places) > 1 or places[0][2] - places[0][1] > 1:
-                ids, piece, row, first = (np.concatenate([runs[r].places[c][a:b] for r, a, b in places]) for c in range(4))
-                hit = ids > ids.min()
-                out.append((piece[hit], row[hit], first[hit], first[hit] + len(key) - 1))
-            return
-        groups += 1
-        for key, places in group:
-            several.append((key, groups, places))
-            held += sum(b - a for _, a, b in places) + 1
-        if held > 100_000:
+            if len(places) > 1 or places[0][1] - places[0][0] > 1:
+                alone.extend((a, b, len(lone_keys)) for a, b in places)
+                lone_keys.append(key)
+        else:
+            number = groups[-1] + 1 if groups else 0
+            for key, places in group:
+                several.extend((a, b, len(keys)) for a, b in places)
+                keys.append(key)
+                groups.append(number)
+        if held > 50_000:
             flush()
 
     group: list[tuple[bytes, list]] = []
     for number, shared in merge(runs):
         run = runs[number]
         a, b = run.place()
+        place = (base[number] + a, base[number] + b)
         if group and run.key == group[-1][0]:
-            group[-1][1].append((number, a, b))
+            group[-1][1].append(place)
             continue
         # A hot anchor's keys are single windows: each is a group by itself.
         if group and (shared < ANCHOR or run.hot[run.at]):
             close(group)
             group = []
-        group.append((run.key, [(number, a, b)]))
+        group.append((run.key, [place]))
     if group:
         close(group)
     flush()
     return [np.concatenate([o[c] for o in out]) for c in range(4)] if out else [np.zeros(0, np.int64)] * 4
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, piece_bytes: int = 4 << 20, range_bytes: int = 16 << 20, hot_from: int = HOT, with_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, piece_bytes: int = 1 << 20, range_bytes: int = 16 << 20, hot_from: int = HOT, with_text: bool = False) -> DataFrame:
     """For each row of `docs`: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
 
     A byte goes when a string of `length` bytes that covers it also starts in a row with a smaller id; strings are
@@ -315,9 +362,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     ranges = 16
-    while ranges * range_bytes < total and ranges < 1 << 20:
+    while ranges * range_bytes < total and ranges < 1 << 16:
         ranges *= 2
+    piece_bytes = max(piece_bytes, ranges << 10)  # so that a piece has some 70 anchors for each range
     bits = ranges.bit_length() - 1
+    narrow = np.uint16 if ranges <= 1 << 16 else np.uint32  # sorts by radix
     hash_range = lambda h: (h >> U64(64 - bits)).astype(np.int64)
 
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +404,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data, offsets, *_ = unpack(block.as_py())
                 hashed = anchors(data, offsets, length)[4]
                 where = hash_range(hashed)
-                order = np.argsort(where, kind="stable")
+                order = np.argsort(where.astype(narrow), kind="stable")
                 small = hashed[order].astype(np.uint32)
                 ends = np.searchsorted(where[order], np.arange(ranges + 1))
                 full = np.flatnonzero(np.diff(ends))
@@ -368,7 +417,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             # 0: occurs once, 1: more often, 2: hot
             mark = ((count > 1).astype(np.uint8) + (count > hot_from))[inverse.ravel()]
             cuts = np.cumsum([len(p) for p in parts])[:-1]
-            marks = [pack([m]) for m in np.split(mark, cuts)]
+            marks = [m.tobytes() for m in np.split(mark, cuts)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array(marks, pa.binary())], names=["_piece", "_range", "_marks"])
 
     hashes = stored.mapInArrow(to_hashes, "_range long, _piece long, _hashes binary")
@@ -381,7 +430,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         def give() -> Iterator[pa.RecordBatch]:
             keys, ids, piece, row, first, hot, where = (np.concatenate([h[c] for h in held]) for c in range(7))
-            order = np.argsort(where, kind="stable")
+            order = np.argsort(where.astype(narrow), kind="stable")
             ends = np.searchsorted(where[order], np.arange(ranges + 1))
             for r in np.flatnonzero(np.diff(ends)).tolist():
                 some = order[ends[r] : ends[r + 1]]
@@ -396,7 +445,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 where = hash_range(hashed)
                 mark = np.empty(len(at), np.uint8)
-                mark[np.argsort(where, kind="stable")] = np.concatenate([unpack(m["_marks"])[0] for m in marked])
+                mark[np.argsort(where.astype(narrow), kind="stable")] = np.frombuffer(b"".join(m["_marks"] for m in marked), np.uint8)
                 for hot in (False, True):
                     pick = np.flatnonzero(mark == 1 + hot)
                     p, q, lo, hi = row[pick], at[pick], first[pick], last[pick]
