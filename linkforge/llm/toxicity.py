@@ -159,11 +159,16 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     n_docs, n_toxic = len(texts), int(y.sum())
     n_clean = n_docs - n_toxic
     toxic, clean = (_contexts(features[y[row] == label], row[y[row] == label]) for label in (1, 0))
-    # Rates are by tokens. A mark of toxic text has as many contexts as 1 % of the toxic documents, 4 at least,
-    # and is over 25 times rarer in clean ones.
+    # A mark of toxic text has as many contexts as 1 % of the toxic documents, 4 at least, is over 25 times rarer in
+    # clean ones (rates are by tokens), and no feature would lean so far by chance.
     tokens = np.bincount(y[row], minlength=2)
+    share = tokens[1] / tokens.sum()
     lift = ((toxic + 0.5) / (tokens[1] + 1)) / ((clean + 0.5) / (tokens[0] + 1))
     mark = (toxic >= max(4, 0.01 * n_toxic)) & (lift > 25)
+    n, q = np.maximum(toxic + clean, 1), np.clip(toxic / np.maximum(toxic + clean, 1), 1e-9, 1 - 1e-9)
+    surprise = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
+    mark &= surprise > np.log(np.count_nonzero(toxic + clean)) + 3
+    del n, q, surprise, lift
     gold = (mark[features].any(1) & (y[row] == 1)).astype(np.int64)
     rng = np.random.default_rng(seed)
     whole = len(gold) // segment
