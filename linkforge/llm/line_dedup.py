@@ -63,13 +63,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays null with 0 lines. An empty table gives an empty result.
     """
     gone = repeated_lines(docs, id_col, text_col, min_lines)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.withColumn("_own_th", F.xxhash64(text))
-    out = whole.join(gone, F.col(id_col).eqNullSafe(gone["_id"]) & (F.col("_own_th") == gone["_th"]), "left")
-    lines = F.split(text, "\n", -1)
+    # The whole row travels as one column, so that its columns' names cannot clash with those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("_doc"), F.col(f"`{id_col}`").alias("_own_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_own_th"))
+    out = whole.join(gone, F.col("_own_id").eqNullSafe(gone["_id"]) & (F.col("_own_th") == gone["_th"]), "left")
+    doc = F.col("_doc")
+    lines = F.split(F.coalesce(doc[text_col], F.lit("")), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
     rebuilt = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(rebuilt).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    columns = [F.when(F.col("_gone").isNull(), doc[c]).otherwise(rebuilt).alias(c) if c == text_col else doc[c].alias(c) for c in docs.columns]
     filled = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     return out.select(
         *columns,

@@ -181,9 +181,10 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
         .groupBy("_id", "_th", "_nth", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct("_from", "_to"))).alias("_cuts"))
     )
-    whole = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_id", F.col(id_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(row.alias("_row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(id_col).alias("_id"))
     # Rows that repeat an id and text are one here; cuts has each of them by _nth.
-    whole = whole.groupBy("_id", "_th").agg(F.first(F.struct(*docs.columns)).alias("_doc"))
+    whole = whole.groupBy("_id", "_th").agg(F.first("_row").alias("_doc"))
     joined = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_id"]) & (whole["_th"] == cuts["_th"])).select("_doc.*", cuts["_cuts"])
     schema = docs.schema
     at = docs.columns.index(text_col)

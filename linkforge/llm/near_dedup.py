@@ -144,9 +144,8 @@ def most_overlap(bins: np.ndarray, over: np.ndarray, other: np.ndarray, other_ov
     return np.minimum(bins, other).sum(1, dtype=np.int64) + np.minimum(over, other_over)
 
 
-def _text_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return th, F.xxhash64(F.col(id_col), th)
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 2000) -> DataFrame:
@@ -161,7 +160,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     arrow_batches(spark)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    th, _ = _text_key(id_col, text_col)
+    th = _text_hash(text_col)
     own = docs.select(F.col(id_col).alias("_id"), th.alias("_th"), F.col(text_col).alias("_text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +315,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     classes = near_classes(docs, id_col, text_col, similar)
     stay = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class"), F.col("class_size")).agg(F.min("_th").alias("_stays"))
-    th, _ = _text_key(id_col, text_col)
-    own = docs.withColumn("_own_th", th)
-    kept = own.join(stay.select("_class", "_stays").distinct(), F.col(id_col).eqNullSafe(F.col("_class")) & (F.col("_own_th") == F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([id_col, "_own_th"]).select(*docs.columns)
+    th = _text_hash(text_col)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(row.alias("_doc"), F.col(id_col).alias("_own_id"), th.alias("_own_th"))
+    kept = own.join(stay.select("_class", "_stays").distinct(), F.col("_own_id").eqNullSafe(F.col("_class")) & (F.col("_own_th") == F.col("_stays")), "left_semi")
+    return kept.dropDuplicates(["_own_id", "_own_th"]).select("_doc.*")
