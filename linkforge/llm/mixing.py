@@ -139,7 +139,7 @@ def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 4_000) -> DataFrame:
     """For each row of `docs`: id, size, source_size, target, taken.
 
     Sizes count words; a null text has none. Sources sort by code point with null, which is a source too, last; they
@@ -167,7 +167,7 @@ def _with_targets(every: DataFrame, sources: list, id_col: str) -> DataFrame:
     return every.join(table, "_source").selectExpr(f"_id as `{id_col}`", "_size as size", "source_size", "target", "taken")
 
 
-def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 20_000, length_col: str | None = "n_chars") -> DataFrame:
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 4_000, length_col: str | None = "n_chars") -> DataFrame:
     """The mix itself, in the columns of `docs`: a row for each document and pass that takes words of it.
 
     Its text holds the taken words in their order and with the characters between them; where words in between
