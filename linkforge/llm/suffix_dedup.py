@@ -86,7 +86,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)]))
     last = np.concatenate([new[1:], [len(window)]]) - 1
     at = anchor[new]
-    return at, window[new], window[last], np.searchsorted(offsets, at, "right") - 1, hashed[at]
+    # Anchors have small hashes, being the least of their windows; mixed again they spread evenly over ranges.
+    return at, window[new], window[last], np.searchsorted(offsets, at, "right") - 1, mix(hashed[at] + U64(1))
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:
