@@ -54,7 +54,7 @@ def split_words(text: str) -> list[str]:
 class ChunkEncoder:
     """Encodes batches of texts with kept chunks and words; what it keeps is bounded, results do not depend on it."""
 
-    def __init__(self, path: str, max_words: int = 400_000, max_chunks: int = 100_000):
+    def __init__(self, path: str, max_words: int = 400_000, max_chunks: int = 30_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core

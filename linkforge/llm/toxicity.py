@@ -163,12 +163,13 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     # clean ones (rates are by tokens), and no feature would lean so far by chance.
     tokens = np.bincount(y[row], minlength=2)
     share = tokens[1] / tokens.sum()
-    lift = ((toxic + 0.5) / (tokens[1] + 1)) / ((clean + 0.5) / (tokens[0] + 1))
-    mark = (toxic >= max(4, 0.01 * n_toxic)) & (lift > 25)
-    n, q = np.maximum(toxic + clean, 1), np.clip(toxic / np.maximum(toxic + clean, 1), 1e-9, 1 - 1e-9)
-    surprise = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
-    mark &= surprise > np.log(np.count_nonzero(toxic + clean)) + 3
-    del n, q, surprise, lift
+    seen = np.flatnonzero(toxic + clean)
+    t, c = toxic[seen].astype(float), clean[seen].astype(float)
+    lift = ((t + 0.5) / (tokens[1] + 1)) / ((c + 0.5) / (tokens[0] + 1))
+    q = np.clip(t / (t + c), 1e-9, 1 - 1e-9)
+    surprise = (t + c) * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
+    mark = np.zeros(1 << BITS, bool)
+    mark[seen] = (t >= max(4, 0.01 * n_toxic)) & (lift > 25) & (surprise > np.log(len(seen)) + 3)
     gold = (mark[features].any(1) & (y[row] == 1)).astype(np.int64)
     rng = np.random.default_rng(seed)
     whole = len(gold) // segment
@@ -220,7 +221,8 @@ def _contexts(features: np.ndarray, row: np.ndarray) -> np.ndarray:
     before = np.where(np.diff(row, prepend=-1) > 0, -1, np.roll(features[:, 0], 1)).astype(np.int64)
     for k in range(features.shape[1]):
         pairs = np.unique((features[:, k].astype(np.int64) << 32) | (before & 0xFFFFFFFF))
-        out += np.bincount(pairs >> 32, minlength=len(out)).astype(np.int32)
+        number, count = np.unique(pairs >> 32, return_counts=True)
+        out[number] += count.astype(np.int32)
     return out
 
 
