@@ -178,7 +178,12 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     g, f = gold[: whole * segment].reshape(whole, segment), features[: whole * segment].reshape(whole, segment, -1)
     some = np.concatenate([rng.permutation(np.flatnonzero(m))[: max_segments // 2] for m in (g.any(1), ~g.any(1))])
     g, f = g[some], f[some]
-    used, f = np.unique(f, return_inverse=True)
+    # Only features of three contexts and more that lean to toxic text have weights; the others keep zero (the one past
+    # the end). So clean tokens rest on the bias alone, in training as elsewhere, and unknown tokens count as clean.
+    leans = np.zeros(space, bool)
+    leans[seen] = (t + c >= 3) & (lift > 3)
+    used, f = np.unique(np.where(leans[f], f, space), return_inverse=True)
+    rare = np.flatnonzero(used == space)
     f, size = f.reshape(len(g), segment, -1), len(used)
     theta = np.zeros(size + 6)
     theta[size], theta[size + 5] = crf.bias, crf.start
@@ -191,13 +196,14 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
         grad[:size] = np.bincount(f.ravel(), weights=np.repeat(token, f.shape[2], 1).ravel(), minlength=size)
         grad[size], grad[size + 1 : size + 5], grad[size + 5] = token.sum(), pairs.ravel(), start
         grad = grad / len(g) + 1e-5 * theta
+        grad[rare] = 0.0
         grad[size + 1] = 0.0  # one transition is fixed, else the scale is open
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
     weights = theta[:size].astype(np.float32)
     weights[np.abs(weights) < 0.02] = 0.0
     crf.weights = np.zeros(space, np.float32)
-    crf.weights[used] = weights
+    crf.weights[used[used < space]] = weights[used < space]
     crf.bias, crf.trans, crf.start = float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2).copy(), float(theta[size + 5])
     x = np.zeros((n_docs, 3))
     for at in np.array_split(np.arange(n_docs), max(1, len(row) // 500_000)):

@@ -4,7 +4,7 @@ import corpus_pipeline
 def test_stages(spark, tmp_path):
     rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(60)), "en", f"s{i % 3}", 10) for i in range(40)]
     rows += [(100, rows[0][1], "en", "s0", 10), (101, None, "en", None, 0), (102, "", None, "s1", 0)]
-    rows += [(200 + i, rows[i][1] + " nastyword " + rows[i][1], "en", "s2", 10) for i in range(20, 35)]
+    rows += [(200 + i, f"t{i}a t{i}b nastyword t{i}c t{i}d", "en", "s2", 10) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(r[0], 1, int(r[0] >= 200)) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
