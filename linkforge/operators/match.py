@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import gtin, sizes
 from ..functions.text import tokens
 from ..functions.words import ENGLISH
+from ..lineage import cut
 from ..plans.settings import MatchSettings
 from . import fuzzy, score, tfidf
 
@@ -28,7 +29,8 @@ def distinct_texts(*sides: DataFrame) -> DataFrame:
 def text_vectors(left: DataFrame, right: DataFrame, settings: MatchSettings) -> DataFrame:
     """(text, vector) of all names. A table matched with itself counts each of its rows on both sides."""
     stop = ENGLISH if settings.remove_stop_words else ()
-    return tfidf.vectors(tfidf.weights(distinct_texts(left, right), stop_words=stop))
+    # A row for each distinct name, read several times: written once.
+    return cut(tfidf.vectors(tfidf.weights(distinct_texts(left, right), stop_words=stop)))
 
 
 def text_pairs(left: DataFrame, right: DataFrame, vectors: DataFrame, settings: MatchSettings, restricted: bool = False) -> DataFrame:
@@ -42,11 +44,14 @@ def text_pairs(left: DataFrame, right: DataFrame, vectors: DataFrame, settings:
         pairs = shared(a, "left_text").join(shared(b, "right_text"), "token").select("left_text", "right_text").distinct()
     else:
         pairs = a.crossJoin(b)
-    return text_scores(pairs, vectors, s)
+    return text_scores(pairs, vectors, s, prune=True)
 
 
-def text_scores(pairs: DataFrame, vectors: DataFrame, settings: MatchSettings) -> DataFrame:
-    """Both text scores of given pairs (left_text, right_text)."""
+def text_scores(pairs: DataFrame, vectors: DataFrame, settings: MatchSettings, prune: bool = False) -> DataFrame:
+    """Both text scores of given pairs (left_text, right_text).
+
+    prune: leave out pairs that stay below the threshold even with a perfect fuzzy ratio and size, but no barcode.
+    """
     s = settings
     left = vectors.select(F.col("text").alias("left_text"), F.col("vector").alias("_a"))
     right = vectors.select(F.col("text").alias("right_text"), F.col("vector").alias("_b"))
@@ -56,9 +61,8 @@ def text_scores(pairs: DataFrame, vectors: DataFrame, settings: MatchSettings) -
         return out.withColumn("fuzzy_score", F.lit(0.0))
     if s.mode == "candidates":
         return candidates_only(out, s).withColumn("fuzzy_score", F.when(F.col("_likely"), F.round(fuzzy.ratio(F.col("left_text"), F.col("right_text")), 4)).otherwise(F.lit(0.0))).drop("_likely")
-    # Drop pairs that stay below the threshold even with a perfect fuzzy ratio, size and no barcode, before the ratio is computed.
-    if not s.w_gtin:
-        best = score.blend(F.col("tfidf_score"), F.lit(100.0), F.lit(0.0), F.lit(100.0), s.w_tfidf, s.w_fuzzy, 0.0, s.w_size)
+    if prune:
+        best = score.blend(F.col("tfidf_score"), F.lit(100.0), F.lit(0.0), F.lit(100.0), s.w_tfidf, s.w_fuzzy, s.w_gtin, s.w_size)
         out = out.where(best >= s.threshold)
     return out.withColumn("fuzzy_score", F.round(fuzzy.ratio(F.col("left_text"), F.col("right_text")), 4))
 
@@ -98,7 +102,7 @@ def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, wit
             pairs = codes.join(a, "left_id").join(b, "right_id").withColumn("tfidf_score", F.lit(0.0)).withColumn("fuzzy_score", F.lit(0.0))
         else:
             marked = ids.join(codes, ["left_id", "right_id"], "left")
-            # Rows that share a barcode and no token still get their text scores.
+            # Rows that share a barcode, but no token or too little text, still get their text scores.
             extra = codes.join(ids.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").join(a, "left_id").join(b, "right_id")
             scores = text_scores(extra.select("left_text", "right_text").distinct(), vectors, s)
             pairs = marked.unionByName(extra.join(scores, ["left_text", "right_text"]))

@@ -52,7 +52,7 @@ def pair_scorer(rows: DataFrame, settings: MatchSettings) -> Callable[[DataFrame
 
         side = lambda p, c: rows.select(F.col("row_id").alias(c), F.col("name").alias(f"{p}_text"), F.col("size_base").alias(f"{p}_base"))
         full = pairs.join(side("left", "src"), "src").join(side("right", "dst"), "dst")
-        texts = M.text_scores(full.select("left_text", "right_text").distinct(), vectors, replace(s, w_gtin=1.0))
+        texts = M.text_scores(full.select("left_text", "right_text").distinct(), vectors, s)
         full = full.join(texts, ["left_text", "right_text"])
         full = full.join(codes, ["src", "dst"], "left") if codes is not None else full.withColumn("gtin_score", F.lit(0.0))
         size = F.round(sizes.similarity(F.col("left_base"), F.col("right_base"), s.size_tolerance), 4) if s.w_size else F.lit(0.0)
