@@ -4,7 +4,8 @@ A document is the sequence of the IDs of its non-blank lines. Prefix doubling na
 1, 2, 4, ... lines: the name of 2h lines combines the names of h lines at two places, which lie in the same row, so
 doubling needs no exchange. Suffixes with one name at depth min_lines are an interval of the suffix array in which
 every longest common prefix has at least min_lines lines; its first suffix stays, and each later one marks a
-copy. Marked stretches that touch or overlap make up the maximal repeated runs, which are deleted.
+copy. A passage may stand on one line, so suffixes whose first line has enough words are named at depth 1 as well.
+Marked stretches that touch or overlap make up the maximal repeated runs, which are deleted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import BLANKS
 
+WORD = r"[^\x20\x09-\x0D]+"
+#: A line of so many words is a passage: a later copy of it goes even alone.
+MIN_WORDS = 50
+
 
 def _name(x: Column) -> Column:
     return F.unhex(F.md5(x))
@@ -33,36 +38,52 @@ def _paired(names: Column, apart: int) -> Column:
     return F.transform(F.filter(F.zip_with(names, ahead, lambda a, b: F.when(b.isNotNull(), _name(F.concat(a, b)))), lambda x: x.isNotNull()), lambda x: x)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def _long(x: Column, min_words: int) -> Column:
+    """Whether x has min_words words. Most lines are too short for that, and need no count."""
+    return F.when(F.length(x) >= 2 * min_words - 1, F.regexp_count(x, F.lit(WORD)) >= min_words).otherwise(False)
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS) -> DataFrame:
     """(_id, _th, _gone, _runs) of documents with lines to delete: their numbers, counted from 0, and the runs."""
+    alone = min_words is not None and min_lines > 1
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     trimmed = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("x")))
     rows = docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"),
         F.filter(trimmed, lambda s: s["x"] != "").alias("_lines"),
-    ).where(F.size("_lines") >= min_lines)
-    rows = rows.select("_id", "_th", F.transform("_lines", lambda s: s["i"]).alias("_at"), F.transform("_lines", lambda s: _name(s["x"])).alias("_ids"))
-    suffixes = rows.select("_id", "_th", "_at", F.posexplode(named_suffixes(F.col("_ids"), min_lines)).alias("_j", "_name"))
-    suffixes = suffixes.select("_id", "_th", "_j", "_name", F.slice("_at", F.col("_j") + 1, min_lines).alias("_covers"))
+    ).where(F.size("_lines") >= (1 if alone else min_lines))
+    longs = [F.transform("_lines", lambda s: _long(s["x"], min_words)).alias("_long")] if alone else []
+    rows = rows.select("_id", "_th", F.transform("_lines", lambda s: s["i"]).alias("_at"), F.transform("_lines", lambda s: _name(s["x"])).alias("_ids"), *longs)
+    named = _suffixes(named_suffixes(F.col("_ids"), min_lines), min_lines)
+    if alone:
+        single = F.filter(_suffixes(F.col("_ids"), 1), lambda s: F.get(F.col("_long"), s["_j"]))
+        named = F.concat(named, single)
+    suffixes = rows.select("_id", "_th", F.explode(named).alias("_s")).select("_id", "_th", "_s._j", "_s._name", "_s._covers")
     place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_j").alias("j"))
     intervals = suffixes.groupBy("_name").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_name", "_first")
     later = suffixes.join(intervals, "_name").where(place > F.col("_first"))
-    gone = later.groupBy("_id", "_th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_covers")))).alias("_gone"), F.array_sort(F.collect_set("_j")).alias("_js"))
-    starts = F.filter(F.transform("_js", lambda x, i: F.when((i == 0) | (F.try_element_at(F.col("_js"), i) + min_lines < x), x)), lambda x: x.isNotNull())
+    stretch = F.sequence(F.col("_j"), F.col("_j") + F.size("_covers") - 1)
+    gone = later.groupBy("_id", "_th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_covers")))).alias("_gone"), F.array_distinct(F.flatten(F.collect_list(stretch))).alias("_js"))
+    starts = F.array_except("_js", F.transform("_js", lambda x: x + 1))
     return gone.select("_id", "_th", "_gone", F.size(starts).cast("long").alias("_runs"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def _suffixes(names: Column, depth: int) -> Column:
+    """Place, name and covered lines of each named suffix."""
+    return F.transform(names, lambda n, j: F.struct(j.alias("_j"), n.alias("_name"), F.slice(F.col("_at"), j + 1, depth).alias("_covers")))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS) -> DataFrame:
     """The rows of `docs` with all their columns, with new text and with n_lines, n_removed_lines and n_runs.
 
     Lines end at line feeds and are equal when they are after BLANKS are stripped from both ends. Blank lines belong
     to no run and always stay. Of equal runs of at least min_lines lines the first stays, by id (null last), hash
-    of the text and line; every line of a later copy goes, also within one document. A document may become
-    empty; no row goes. Rows with the same id and text are the same document and are treated alike. A null text
+    of the text and line; every line of a later copy goes, also within one document. So does a later copy of a
+    single line of at least min_words words; None leaves single lines alone. A document may become empty; no row goes. Rows with the same id and text are the same document and are treated alike. A null text
     stays null with 0 lines. An empty table gives an empty result.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_lines)
+    gone = repeated_lines(docs, id_col, text_col, min_lines, min_words)
     # The whole row travels as one column, so that its columns' names cannot clash with those used here.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     whole = docs.select(row.alias("_doc"), F.col(f"`{id_col}`").alias("_own_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_own_th"))

@@ -64,7 +64,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # The SQL below knows runs of two lines and more only, so this query leaves single lines alone as well.
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=None)
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -77,6 +77,15 @@ def test_line_dedup_edges(spark):
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
 
 
+def test_line_dedup_of_passages_on_one_line(spark):
+    long, short = " ".join(f"w{j}" for j in range(50)), " ".join(f"w{j}" for j in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, long), (2, long), (3, f"c\n\n \t{long}\r\nd\n{short}"), (4, f"e\n{short}\nf\n{long}\n\n{long}"), (5, f"d\n{short}\n{long}")]
+    got = {r.doc_id: (r.text, r.n_removed_lines, r.n_runs) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("", 1, 1), 3: (f"c\n\nd\n{short}", 1, 1), 4: (f"e\n{short}\nf\n", 2, 1), 5: ("", 3, 1)}
+    off = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup(docs(spark, rows), min_words=None).collect()}
+    assert off == {1: 0, 2: 0, 3: 0, 4: 0, 5: 2}
+
+
 def test_line_dedup_stays_in_the_jvm(spark):
     plan = line_dedup.line_dedup(docs(spark, [(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
