@@ -1,11 +1,10 @@
 """Line deduplication: repeated runs of lines, found over sequences of line IDs, in DataFrame operations only.
 
-A document is the sequence of the IDs of its non-blank lines. Prefix doubling names its suffixes by their first
-1, 2, 4, ... lines: the name of 2h lines combines the names of h lines at two places, which lie in the same row, so
-doubling needs no exchange. Suffixes with one name at depth min_lines are an interval of the suffix array in which
-every longest common prefix has at least min_lines lines; its first suffix stays, and each later one marks a
-copy. A passage may stand on one line, so suffixes whose first line has enough words are named at depth 1 as well.
-Marked stretches that touch or overlap make up the maximal repeated runs, which are deleted.
+A document is the sequence of the IDs of its non-blank lines. Windows of min_lines lines are named: the name of 2h
+lines combines the names of h lines at two places, which lie in the same row, so naming needs no exchange. No suffix
+array is built: which lines repeat in runs of at least min_lines lines follows from the windows alone, as every such
+run is made of repeated windows. Of equal windows the first stays, and each later one marks a copy. A passage may stand on one line, so lines of enough words are windows by themselves as well.
+Marked windows that touch or overlap make up one run, whose parts may come from different documents, and are deleted.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ def _name(x: Column) -> Column:
 
 
 def named_suffixes(ids: Column, depth: int) -> Column:
-    """Names of the first `depth` IDs of every suffix of the array that has so many, by doubling."""
+    """Names of every window of `depth` IDs of the array."""
     h = 1
     while 2 * h <= depth:
         ids = _paired(ids, h)
