@@ -8,8 +8,8 @@ point that it sees, so two documents agree in a component with the probability o
 similarity. Work stops once all components are filled, after about m ln m points whatever the length.
 
 Bands of components are buckets. Every document of a bucket is compared with the bucket's hub, the member that
-shares the most buckets with others. Where a bucket still holds several classes, all pairs across classes whose
-signatures or histograms do not rule them out are compared too. All comparisons are of whole multisets.
+shares the most buckets with others. Where a bucket still holds several classes, all pairs across classes that their
+histograms, an exact bound, do not rule out are compared too. All comparisons are of whole multisets.
 """
 
 from __future__ import annotations
@@ -148,6 +148,14 @@ def _text_hash(text_col: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def possible(at: np.ndarray, i: int, band: int, sig: np.ndarray, bins: np.ndarray, over: np.ndarray, total: np.ndarray, similar: float) -> np.ndarray:
+    """Those of the texts `at` that first share `band` with text i and that their histograms allow to be similar to it."""
+    # A pair that shares several bands is taken in the first.
+    at = at[(sig[at] == sig[i]).reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
+    most = most_overlap(bins[at], over[at], bins[i], over[i])
+    return at[most >= similar * (total[at] + total[i] - most)]
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 2000) -> DataFrame:
     """For each row of `docs`: id, class_id, class_size and _th (hash of its text).
 
@@ -250,7 +258,6 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = left.withColumn("_grid", grid).withColumn("_slot", F.pmod(F.xxhash64("_node"), F.col("_grid")).cast("int"))
     left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_grid") - 1)))
     left = left.select("_key", F.least("_slot", "_other").alias("_lo"), F.greatest("_slot", "_other").alias("_hi"), "_band", "_slot", "_node", "_label", "_sig", "_bins", "_total")
-    agree = (similar - 3.5 * (similar * (1 - similar) / SIZE) ** 0.5) * SIZE
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: list[tuple]) -> pa.RecordBatch:
@@ -269,15 +276,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 other = (label != label[i]) & ((label == main) | (np.arange(len(label)) > i))
                 if lo != hi:
                     other &= slot != slot[i]
-                at = np.flatnonzero(other)
-                same = sig[at] == sig[i]
-                near = same.sum(1) >= agree
-                at, same = at[near], same[near]
-                # A pair that shares several bands is taken in the first.
-                here = same.reshape(-1, BANDS, BAND).all(2).argmax(1) == band
-                at = at[here]
-                most = most_overlap(bins[at], over[at], bins[i], over[i])
-                found += [(node[i], node[j]) for j in at[most >= similar * (total[at] + total[i] - most)]]
+                at = possible(np.flatnonzero(other), i, band, sig, bins, over, total, similar)
+                found += [(node[i], node[j]) for j in at]
             return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.binary()) for c in (0, 1)], names=["a", "b"])
 
         key, held = None, []

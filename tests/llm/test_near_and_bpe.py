@@ -137,3 +137,17 @@ def test_chunks_are_shared():
     before = len(encoder.chunks)
     encoder.encode(*buffer([f"other beginning {passage}"]))
     assert before > 5 and len(encoder.chunks) - before <= 2
+
+
+def test_pairs_across_classes_are_ruled_out_by_the_exact_bound_only():
+    # Text 1 has text 0's histogram but shares two of its bands only; text 2 shares them too and overlaps too little.
+    sig = np.zeros((3, nd.SIZE), np.uint16)
+    sig[1:] = np.arange(1, nd.SIZE + 1)
+    sig[1:, 10:20] = 0
+    bins = np.full((3, nd.BINS), 2, np.uint8)
+    bins[2, ::2] = 0
+    total, over = bins.sum(1, dtype=np.int64), np.zeros(3, np.int64)
+    at = np.array([1, 2])
+    assert nd.possible(at, 0, 2, sig, bins, over, total, 0.8).tolist() == [1]
+    assert nd.possible(at, 0, 3, sig, bins, over, total, 0.8).tolist() == []
+    assert nd.possible(at[:0], 0, 2, sig, bins, over, total, 0.8).tolist() == []
