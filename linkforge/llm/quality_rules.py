@@ -1,5 +1,7 @@
 """Quality rules on compression: zstandard ratios of whole documents and of fixed chunks, held to bands by length.
 
+Chunks cover a text that is longer than one: where bytes remain, a last chunk ends at the text's end.
+
 Repetitive text compresses far better than prose of its length, noise far worse. The bands depend on the
 length, because a longer text always compresses better.
 """
@@ -20,7 +22,7 @@ from .textbytes import arrow_batches
 BANDS = ((200, 0.0, 3.0), (1000, 1.02, 3.2), (5000, 1.3, 3.6), (20000, 1.5, 4.0), (float("inf"), 1.6, 5.0))
 LEVEL = 3
 CHUNK_BYTES = 2048
-#: A text goes when more than this share of its whole chunks lies outside their band.
+#: A text goes when more than this share of its chunks lies outside their band.
 MAX_ODD_CHUNKS = 0.2
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -58,13 +60,15 @@ def dup_lines(text: str) -> int:
 
 
 def judge(text: str, press: zstandard.ZstdCompressor, bands=BANDS, chunk_bytes: int = CHUNK_BYTES, max_odd: float = MAX_ODD_CHUNKS) -> tuple:
-    """(bytes, ratio, whole chunks, chunks outside their band, verdict) of a text."""
+    """(bytes, ratio, chunks, chunks outside their band, verdict) of a text."""
     data = text.encode("utf-8", "surrogatepass")
     if not data:
         return 0, 1.0, 0, 0, "empty"
     ratio = len(data) / len(press.compress(data))
     low, high = band(len(data), bands)
     chunks = [data[i : i + chunk_bytes] for i in range(0, len(data) - chunk_bytes + 1, chunk_bytes)] if len(data) > chunk_bytes else []
+    if chunks and len(data) % chunk_bytes:
+        chunks.append(data[-chunk_bytes:])
     least, most = band(chunk_bytes, bands)
     odd = sum(not least <= chunk_bytes / len(press.compress(c)) <= most for c in chunks)
     if ratio > high:
@@ -81,7 +85,8 @@ def compression_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     verdict is ok, repetitive, incompressible, odd chunks or empty. A null text is an empty text: no words, ratio
     1, verdict empty. Each row is judged by itself, so repeated rows, null ids and other columns change nothing,
-    and an empty table gives an empty result. Texts of any length are compressed whole.
+    and an empty table gives an empty result. Texts of any length are compressed whole,
+    and every byte of a text longer than a chunk lies in a judged chunk; the last one may overlap the one before.
     """
     arrow_batches(docs.sparkSession)
     kind = docs.select(id_col).schema[0].dataType.simpleString()

@@ -123,3 +123,14 @@ def test_rules_against_brute_force(spark):
 @pytest.mark.parametrize("name", ["Crf"])
 def test_model_defaults(name):
     assert getattr(toxicity, name)().marginals(np.zeros(0), np.zeros(0, bool)).shape == (0,)
+
+
+def test_a_text_is_judged_to_its_end():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(600)]
+    prose = " ".join(rng.choices(vocabulary, k=3000))
+    noise = "".join(rng.choices([chr(c) for c in range(33, 127)], k=2047))
+    press = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    judge = lambda text: quality_rules.judge(text, press)[2:]
+    assert judge(prose[:6144] + noise) == (4, 1, "odd chunks") and judge(prose[:6144] + "word " * 400) == (4, 1, "odd chunks")
+    assert judge(prose[:8191]) == (4, 0, "ok") and judge(prose[:6144]) == (3, 0, "ok") and judge(prose[:2048]) == (0, 0, "ok") and judge(prose[:2049]) == (2, 0, "ok")
