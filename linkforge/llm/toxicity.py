@@ -241,10 +241,14 @@ def doc_evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> Crf:
-    """A field fitted to a sample of at most `per_class` documents of each class whose labels are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, max_segments: int = 8000) -> Crf:
+    """A field fitted to a sample of at most `per_class` documents of each class whose labels are not held out.
+
+    Token labels are mined from the whole texts of the sample; the field learns from at most `max_segments` segments
+    of 32 tokens of them, drawn at random, half of them with toxic tokens and half without.
+    """
     texts, y, _ = sample(docs, labels, label_col, per_class, id_col, text_col)
-    return train(texts, y)
+    return train(texts, y, max_segments=max_segments)
 
 
 def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), spans: bool = True) -> DataFrame:

@@ -134,3 +134,14 @@ def test_a_text_is_judged_to_its_end():
     judge = lambda text: quality_rules.judge(text, press)[2:]
     assert judge(prose[:6144] + noise) == (4, 1, "odd chunks") and judge(prose[:6144] + "word " * 400) == (4, 1, "odd chunks")
     assert judge(prose[:8191]) == (4, 0, "ok") and judge(prose[:6144]) == (3, 0, "ok") and judge(prose[:2048]) == (0, 0, "ok") and judge(prose[:2049]) == (2, 0, "ok")
+
+
+def test_fits_bound_their_samples_by_parameters(monkeypatch):
+    got = {}
+    monkeypatch.setattr(toxicity, "sample", lambda *a: (["a b"], [1], {1: 1}))
+    monkeypatch.setattr(quality, "sample", lambda *a: (["a b"], [1], {1: 1}))
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, max_segments: got.update(segments=max_segments))
+    monkeypatch.setattr(quality, "train", lambda texts, y, bad_share, pairs: got.update(pairs=pairs))
+    toxicity.fit(None, None, max_segments=20)
+    quality.fit(None, None, pairs=30)
+    assert got == {"segments": 20, "pairs": 30}
