@@ -21,6 +21,8 @@ from .textbytes import arrow_batches, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
+#: Shards that a mix is drawn in at least, where it has so many slots.
+LEAST_SHARDS = 8
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -98,6 +100,8 @@ def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_w
     live = [s for s in sources if s[4]]
     total = sum(s[4] for s in live)
     share = np.array([s[4] / total for s in live]) if live else np.zeros(0)
+    # A small mix has smaller shards, so that most of it is drawn at every size.
+    shard_slots = max(1, min(shard_slots, total // LEAST_SHARDS))
     shards = total // shard_slots
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

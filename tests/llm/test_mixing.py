@@ -73,3 +73,10 @@ def test_texts_hold_what_counts_say(spark):
             assert part in whole[r.doc_id]
         found[r.doc_id] += len(words)
     assert found == {k: v for k, v in counted.items() if v}
+
+
+def test_small_mixes_are_drawn_too(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 2}", "w " * 640) for i in range(20)], "doc_id long, source string, text string")
+    _, sources, slots = mixing.placed(docs, "doc_id", "source", "text", 64, 11, 1 << 16, 4_000)
+    got = slots.groupBy("_shard").count().collect()
+    assert len(got) >= mixing.LEAST_SHARDS and sum(r["count"] for r in got) == sum(s[4] for s in sources)
