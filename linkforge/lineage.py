@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder and read back. The session's folder is used; one is set only where none is."""
+def _folder(df: DataFrame) -> str:
+    """The session's checkpoint folder; one is set only where none is."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkforge-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read back."""
+    _folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet under the checkpoint folder, in a folder of its own, and read back."""
+    path = f"{_folder(df)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

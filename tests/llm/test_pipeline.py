@@ -23,3 +23,14 @@ def test_stages(spark, tmp_path):
     words = sum(len(r.text.split()) for r in kept[3])
     assert abs(words - sum(len((r.text or "").split()) for r in kept[2])) <= 3 * 128
     assert len(kept[4]) == len(kept[3]) and all(r.n_tokens == len(r.ids) for r in kept[4])
+
+
+def test_run_writes_each_stage(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda s, docs, d: seen.append(docs.inputFiles()) or docs.where("doc_id < 3")) for name in ("stage one", "two")])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    assert all("documents.parquet" in f for f in seen[0]) and all("/stage-one-" in f and folder.split(":")[-1] in f for f in seen[1])
+    assert all("/two-" in f for f in out.inputFiles())
