@@ -5,26 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(df: DataFrame) -> str:
-    """The session's checkpoint folder; one is set only where none is."""
-    context = df.sparkSession.sparkContext
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. Only a session in one process may do without the setting, as tests do."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="linkforge-"))
+        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context._jsc.sc().isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share; this job cuts its lineage there")
+            folder = tempfile.mkdtemp(prefix="linkforge-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read back."""
-    _folder(df)
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet under the checkpoint folder, in a folder of its own, and read back."""
-    path = f"{_folder(df)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that `written` made, once nothing reads it any more."""
+    folder = _folder(df.sparkSession)
+    jvm = df.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/") in path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
