@@ -1,101 +1,136 @@
-"""Line deduplication: repeated runs of lines, found over sequences of line IDs, in DataFrame operations only.
+"""Line deduplication: a suffix array over line IDs by distributed prefix doubling, in DataFrame operations only.
 
-A document is the sequence of the IDs of its non-blank lines. Windows of min_lines lines are named: the name of 2h
-lines combines the names of h lines at two places, which lie in the same row, so naming needs no exchange. No suffix
-array is built: which lines repeat in runs of at least min_lines lines follows from the windows alone, as every such
-run is made of repeated windows. Of equal windows the first stays, and each later one marks a copy. A passage may stand on one line, so lines of enough words are windows by themselves as well.
-Marked windows that touch or overlap make up one run, whose parts may come from different documents, and are deleted.
+A document is the sequence of its non-blank lines, and a suffix is a place in it. Suffixes that begin with the same
+h lines are one class, an interval of the suffix array whose common prefixes have h lines at least; the rank
+of a class is its first place. Ranks for h lines at two places, h apart, name the 2h lines from the first on, so each
+round looks up the rank h lines ahead, gives every pair of ranks a rank of its own and keeps the classes that have
+more than one place. Rounds end when none has.
+
+A suffix that is not the first of its class begins a copy. The longest such interval tells where the copy comes
+from; copies that lie inside others are left out, and copies of neighbouring places from neighbouring places make up
+a maximal run. Later runs are deleted. A line of enough words is a passage by itself and needs no neighbour.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .exact_dedup import BLANKS
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A line of so many words is a passage: a later copy of it goes even alone.
 MIN_WORDS = 50
+COUNTS = ("n_lines", "n_removed_lines", "n_runs", "longest_run")
 
 
-def _name(x: Column) -> Column:
-    return F.unhex(F.md5(x))
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def named_suffixes(ids: Column, depth: int) -> Column:
-    """Names of every window of `depth` IDs of the array."""
-    h = 1
-    while 2 * h <= depth:
-        ids = _paired(ids, h)
-        h *= 2
-    return _paired(ids, depth - h) if depth > h else ids
+def _filled(lines: Column) -> Column:
+    """Number (from 0) and trimmed text of the lines that are not blank."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("x"))), lambda s: s["x"] != "")
 
 
-def _paired(names: Column, apart: int) -> Column:
-    ahead = F.slice(names, apart + 1, F.greatest(F.size(names) - apart, F.lit(0)))
-    return F.transform(F.filter(F.zip_with(names, ahead, lambda a, b: F.when(b.isNotNull(), _name(F.concat(a, b)))), lambda x: x.isNotNull()), lambda x: x)
+def _long(x: Column, min_words: int | None) -> Column:
+    """Whether x has min_words words. Most lines are too short for that, and need no count."""
+    if min_words is None:
+        return F.lit(False)
+    return F.when(F.length(x) >= 2 * min_words - 1, F.regexp_count(x, F.lit(WORD)) >= min_words).otherwise(F.lit(False))
 
 
-def _long(x: Column, min_words: int) -> Column:
-    """Whether x has min_words words. Most lines are too short for that, and need no count."""
-    return F.when(F.length(x) >= 2 * min_words - 1, F.regexp_count(x, F.lit(WORD)) >= min_words).otherwise(False)
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS) -> DataFrame:
-    """(_id, _th, _gone, _runs) of documents with lines to delete: their numbers, counted from 0, and the runs."""
-    alone = min_words is not None and min_lines > 1
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    trimmed = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.btrim(x, F.lit(BLANKS)).alias("x")))
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"),
-        F.filter(trimmed, lambda s: s["x"] != "").alias("_lines"),
-    ).where(F.size("_lines") >= (1 if alone else min_lines))
-    longs = [F.transform("_lines", lambda s: _long(s["x"], min_words)).alias("_long")] if alone else []
-    rows = rows.select("_id", "_th", F.transform("_lines", lambda s: s["i"]).alias("_at"), F.transform("_lines", lambda s: _name(s["x"])).alias("_ids"), *longs)
-    named = _suffixes(named_suffixes(F.col("_ids"), min_lines), min_lines)
-    if alone:
-        single = F.filter(_suffixes(F.col("_ids"), 1), lambda s: F.get(F.col("_long"), s["_j"]))
-        named = F.concat(named, single)
-    suffixes = rows.select("_id", "_th", F.explode(named).alias("_s")).select("_id", "_th", "_s._j", "_s._name", "_s._covers")
-    place = F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_j").alias("j"))
-    intervals = suffixes.groupBy("_name").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_name", "_first")
-    later = suffixes.join(intervals, "_name").where(place > F.col("_first"))
-    stretch = F.sequence(F.col("_j"), F.col("_j") + F.size("_covers") - 1)
-    gone = later.groupBy("_id", "_th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_covers")))).alias("_gone"), F.array_distinct(F.flatten(F.collect_list(stretch))).alias("_js"))
-    starts = F.array_except("_js", F.transform("_js", lambda x: x + 1))
-    return gone.select("_id", "_th", "_gone", F.size(starts).cast("long").alias("_runs"))
-
-
-def _suffixes(names: Column, depth: int) -> Column:
-    """Place, name and covered lines of each named suffix."""
-    return F.transform(names, lambda n, j: F.struct(j.alias("_j"), n.alias("_name"), F.slice(F.col("_at"), j + 1, depth).alias("_covers")))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS) -> DataFrame:
-    """The rows of `docs` with all their columns, with new text and with n_lines, n_removed_lines and n_runs.
+def _place() -> Column:
+    """Where a suffix begins. Places sort by id, null last, then by hash of the text and by line."""
+    return F.struct(F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("_j").alias("j"))
+
+
+def _ranked(suffixes: DataFrame, *names: str) -> DataFrame:
+    """The suffixes whose names another place has too, with the first such place as _rank."""
+    classes = suffixes.groupBy(*names).agg(F.min(_place()).alias("_first"), F.max(_place()).alias("_last")).where("_first <> _last")
+    return suffixes.join(classes.select(*names, "_first"), list(names)).select("_id", "_th", "_j", "_long", F.col("_first").alias("_rank"))
+
+
+def suffix_classes(lines: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """(h, suffixes that share their first h lines with another, with their ranks) for h up to min_lines, then doubling.
+
+    lines: (_id, _th, _j, _long, _name). Each level is written, and holds fewer suffixes than the one before.
+    """
+    length, level = 1, cut(_ranked(lines, "_name"))
+    out = [(length, level)]
+    while not level.isEmpty():
+        apart = min_lines - length if length < min_lines < 2 * length else length
+        ahead = Window.partitionBy("_id", "_th").orderBy("_j").rangeBetween(apart, apart)
+        pairs = level.withColumn("_next", F.first("_rank").over(ahead)).where("_next is not null")
+        length, level = length + apart, cut(_ranked(pairs, "_rank", "_next"))
+        out.append((length, level))
+    return out
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """(_id, _th, _runs) of documents with lines to delete: an array of (start, stop, source), the non-blank lines counted from 0.
+
+    source is the id of the document that the run is a copy from, of those with the longest common interval the first.
+    """
+    text = F.col(f"`{text_col}`")
+    lines = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"), F.posexplode(F.transform(_filled(_lines(text)), lambda s: s["x"])).alias("_j", "_x"))
+    # Names of lines are hashes of 16 bytes; a row for each line, read twice, so written once.
+    lines = cut(lines.select("_id", "_th", "_j", _long(F.col("_x"), min_words).alias("_long"), F.unhex(F.md5("_x")).alias("_name")))
+    copies = []
+    for length, level in suffix_classes(lines, min_lines):
+        if length >= min_lines or length == 1:
+            found = level.where(F.col("_rank") != _place())
+            found = found if length >= min_lines else found.where("_long")
+            copies.append(found.select("_id", "_th", "_j", (F.col("_j") + length).alias("_end"), "_rank"))
+    copies = reduce(DataFrame.unionByName, copies)
+    order = Window.partitionBy("_id", "_th").orderBy("_j", F.desc("_end"))
+    # A copy is inside another where an earlier one reaches as far.
+    reach = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    copies = copies.withColumn("_reach", reach).where("_reach is null or _end > _reach")
+    source, shift = F.struct("_rank.z", "_rank.i", "_rank.t"), F.col("_rank.j") - F.col("_j")
+    goes_on = (F.lag(source).over(order) == source) & (F.lag(shift).over(order) == shift) & (F.lag("_end").over(order) >= F.col("_j"))
+    copies = copies.withColumn("_new", F.when(goes_on, 0).otherwise(1))
+    copies = copies.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = copies.groupBy("_id", "_th", "_run").agg(F.min("_j").alias("start"), F.max("_end").alias("stop"), F.min("_rank.i").alias("source"))
+    return runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "source"))).alias("_runs"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int | None = MIN_WORDS, counts: bool = True, length_col: str | None = None) -> DataFrame:
+    """The rows of `docs` with all their columns, with new text and, if asked for, with COUNTS.
 
     Lines end at line feeds and are equal when they are after BLANKS are stripped from both ends. Blank lines belong
     to no run and always stay. Of equal runs of at least min_lines lines the first stays, by id (null last), hash
     of the text and line; every line of a later copy goes, also within one document. So does a later copy of a
-    single line of at least min_words words; None leaves single lines alone. A document may become empty; no row goes. Rows with the same id and text are the same document and are treated alike. A null text
-    stays null with 0 lines. An empty table gives an empty result.
+    single line of at least min_words words; None leaves single lines alone. A document may become empty; no row goes.
+    Rows with the same id and text are the same document and are treated alike. A null text stays null with 0 lines. An
+    empty table gives an empty result. n_runs counts maximal runs that went, and longest_run the lines of the longest one.
+    Columns of `docs` may have any name; counts take the place of columns of their names. length_col, where `docs` has it,
+    is set to the length of the texts that change.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_lines, min_words)
+    gone = repeated_runs(docs, id_col, text_col, min_lines, min_words)
     # The whole row travels as one column, so that its columns' names cannot clash with those used here.
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     whole = docs.select(row.alias("_doc"), F.col(f"`{id_col}`").alias("_own_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_own_th"))
     out = whole.join(gone, F.col("_own_id").eqNullSafe(gone["_id"]) & (F.col("_own_th") == gone["_th"]), "left")
     doc = F.col("_doc")
-    lines = F.split(F.coalesce(doc[text_col], F.lit("")), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    rebuilt = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    columns = [F.when(F.col("_gone").isNull(), doc[c]).otherwise(rebuilt).alias(c) if c == text_col else doc[c].alias(c) for c in docs.columns]
-    filled = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    return out.select(
-        *columns,
-        filled.cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
-        F.coalesce("_runs", F.lit(0)).cast("long").alias("n_runs"),
-    )
+    lines = _lines(doc[text_col])
+    at = F.transform(_filled(lines), lambda s: s["i"])
+    covered = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["stop"] - 1))))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(covered, lambda j: F.get(at, j)))
+    rebuilt = F.when(F.col("_runs").isNull(), doc[text_col]).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    out = out.select("_doc", "_runs", rebuilt.alias("_text"), *([F.size(at).cast("long").alias("n_lines"), F.when(F.col("_runs").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long").alias("n_removed_lines")] if counts else []))
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("_text").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("_runs").isNull(), doc[c]).otherwise(F.length("_text").cast(docs.schema[c].dataType)).alias(c))
+        elif not counts or c not in COUNTS:
+            columns.append(doc[c].alias(c))
+    if counts:
+        longest = F.array_max(F.transform("_runs", lambda r: r["stop"] - r["start"]))
+        columns += ["n_lines", "n_removed_lines", F.coalesce(F.size("_runs"), F.lit(0)).cast("long").alias("n_runs"), F.coalesce(longest, F.lit(0)).cast("long").alias("longest_run")]
+    return out.select(*columns)

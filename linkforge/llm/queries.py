@@ -64,9 +64,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The SQL below knows runs of two lines and more only, so this query leaves single lines alone as well.
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=None)
-    return out.select("doc_id", "n_lines", "n_removed_lines", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *line_dedup.COUNTS, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: host, path, action
@@ -98,19 +97,27 @@ ORACLES: dict[str, str] = {
              g AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS keep_id,
                           count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    # From all pairs of places with equal lines: how long both go on alike, which place a copy comes from, and its maximal runs.
     "op9_line_dedup": r"""
-        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
              l AS (SELECT doc_id, unnest(ls) AS raw, generate_subscripts(ls, 1) AS i FROM d),
              b AS (SELECT *, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS x FROM l),
-             s AS (SELECT doc_id, i, x, row_number() OVER w AS j, lead(x) OVER w AS y, lead(i) OVER w AS i2 FROM b WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-             p AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, j) AS nth FROM s WHERE y IS NOT NULL),
-             gone AS (SELECT doc_id, i FROM p WHERE nth > 1 UNION SELECT doc_id, i2 FROM p WHERE nth > 1),
-             js AS (SELECT doc_id, j, lag(j) OVER (PARTITION BY doc_id ORDER BY j) AS prev FROM p WHERE nth > 1),
-             runs AS (SELECT doc_id, count(*) AS n FROM js WHERE prev IS NULL OR prev + 2 < j GROUP BY doc_id),
+             s AS MATERIALIZED (SELECT doc_id AS d, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50 AS long, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS j FROM b WHERE x <> ''),
+             p AS (SELECT a.d AS ad, a.j AS aj, c.d AS cd, c.j AS cj, c.long, c.j - row_number() OVER (PARTITION BY a.d, c.d, c.j - a.j ORDER BY c.j) AS island
+                   FROM s a JOIN s c ON a.x = c.x AND (a.d < c.d OR (a.d = c.d AND a.j < c.j))),
+             q AS MATERIALIZED (SELECT *, max(cj) OVER (PARTITION BY ad, cd, cj - aj, island) - cj + 1 AS n FROM p),
+             k AS (SELECT cd, cj, CASE WHEN max(n) >= 2 THEN CAST(2 ** floor(log2(max(n))) AS BIGINT) ELSE 1 END AS h FROM q GROUP BY cd, cj HAVING max(n) >= 2 OR bool_or(long)),
+             c AS (SELECT k.cd AS d, k.cj AS j, k.cj + h AS e, min((ad, aj)) AS src FROM k JOIN q ON q.cd = k.cd AND q.cj = k.cj AND n >= h GROUP BY ALL),
+             m AS (SELECT *, max(e) OVER (PARTITION BY d ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
+             o AS (SELECT *, lag(src[1]) OVER w AS pd, lag(src[2] - j) OVER w AS ps, lag(e) OVER w AS pe FROM m WHERE reach IS NULL OR e > reach WINDOW w AS (PARTITION BY d ORDER BY j)),
+             r AS (SELECT *, sum(CASE WHEN pd = src[1] AND ps = src[2] - j AND pe >= j THEN 0 ELSE 1 END) OVER (PARTITION BY d ORDER BY j) AS run FROM o),
+             t AS (SELECT d, run, min(j) AS lo, max(e) AS hi FROM r GROUP BY d, run),
+             u AS (SELECT d, count(*) AS n_runs, max(hi - lo) AS longest_run FROM t GROUP BY d),
+             g AS (SELECT DISTINCT s.d, s.i FROM s JOIN t ON s.d = t.d AND s.j >= lo AND s.j < hi),
              rest AS (SELECT b.doc_id, count(*) FILTER (b.x <> '') AS n_lines, count(g.i) AS n_gone, coalesce(string_agg(b.raw, chr(10) ORDER BY b.i) FILTER (g.i IS NULL), '') AS text
-                      FROM b LEFT JOIN gone g ON b.doc_id = g.doc_id AND b.i = g.i GROUP BY b.doc_id)
-        SELECT rest.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_gone AS BIGINT) AS n_removed_lines, CAST(coalesce(runs.n, 0) AS BIGINT) AS n_runs, sha256(rest.text) AS kept_sha256
-        FROM rest LEFT JOIN runs ON rest.doc_id = runs.doc_id""",
+                      FROM b LEFT JOIN g ON b.doc_id = g.d AND b.i = g.i GROUP BY b.doc_id)
+        SELECT rest.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_gone AS BIGINT) AS n_removed_lines, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(coalesce(longest_run, 0) AS BIGINT) AS longest_run, sha256(rest.text) AS kept_sha256
+        FROM rest LEFT JOIN u ON rest.doc_id = u.d""",
     "op10_url_filter": r"""
         WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
              h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

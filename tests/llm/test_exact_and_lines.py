@@ -56,6 +56,38 @@ def brute_lines(rows, k):
     return out
 
 
+def brute_runs(rows, k):
+    """Number and greatest length of the maximal copied runs, from the common prefixes of all pairs of places."""
+    lines = {i: [x.strip(BLANKS) for x in (t or "").split("\n") if x.strip(BLANKS)] for i, t in rows}
+    places = [(i, j) for i in sorted(lines) for j in range(len(lines[i]))]
+    out = {}
+    for d in lines:
+        reach, runs, last = 0, [], None
+        for j in range(len(lines[d])):
+            common = {}
+            for p in places:
+                if p < (d, j):
+                    n = 0
+                    while j + n < len(lines[d]) and p[1] + n < len(lines[p[0]]) and lines[d][j + n] == lines[p[0]][p[1] + n]:
+                        n += 1
+                    common[p] = n
+            best, h = max(common.values(), default=0), k
+            if best < k:
+                continue
+            while 2 * h <= best:
+                h *= 2
+            source = min(p for p, n in common.items() if n >= h)
+            if j + h <= reach:
+                continue
+            if last and last == (source[0], source[1] - j) and reach >= j:
+                runs[-1][1] = j + h
+            else:
+                runs.append([j, j + h])
+            reach, last = j + h, (source[0], source[1] - j)
+        out[d] = (len(runs), max((b - a for a, b in runs), default=0))
+    return out
+
+
 def test_line_dedup_against_brute_force(spark):
     random.seed(5)
     rows = []
@@ -64,16 +96,17 @@ def test_line_dedup_against_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(60, "a\na\na\na"), (61, rows[3][1]), (62, ""), (63, "\n\n")]
     for k in (1, 2, 3, 5):
-        got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, rows), min_lines=k).collect()}
-        assert got == brute_lines(rows, k), k
+        out = line_dedup.line_dedup(docs(spark, rows), min_lines=k).collect()
+        assert {r.doc_id: r.text for r in out} == brute_lines(rows, k), k
+        assert {r.doc_id: (r.n_runs, r.longest_run) for r in out} == brute_runs(rows, k), k
 
 
 def test_line_dedup_edges(spark):
     rows = docs(spark, [(1, None), (2, "x\ny"), (2, "x\ny"), (None, "x\ny\nz"), (3, "")])
     out = line_dedup.line_dedup(rows)
-    assert out.columns == ["doc_id", "text", "_id", "kept", "n_lines", "n_removed_lines", "n_runs"]
-    got = sorted(((r.doc_id is None, r.doc_id, r.text, r.n_lines, r.n_removed_lines, r.n_runs) for r in out.collect()), key=str)
-    assert got == sorted([(False, 1, None, 0, 0, 0), (False, 2, "x\ny", 2, 0, 0), (False, 2, "x\ny", 2, 0, 0), (True, None, "z", 3, 2, 1), (False, 3, "", 0, 0, 0)], key=str)
+    assert out.columns == ["doc_id", "text", "_id", "kept", *line_dedup.COUNTS]
+    got = sorted(((r.doc_id is None, r.doc_id, r.text, r.n_lines, r.n_removed_lines, r.n_runs, r.longest_run) for r in out.collect()), key=str)
+    assert got == sorted([(False, 1, None, 0, 0, 0, 0), (False, 2, "x\ny", 2, 0, 0, 0), (False, 2, "x\ny", 2, 0, 0, 0), (True, None, "z", 3, 2, 1, 2), (False, 3, "", 0, 0, 0, 0)], key=str)
     assert line_dedup.line_dedup(docs(spark, [])).collect() == []
 
 
@@ -81,11 +114,33 @@ def test_line_dedup_of_passages_on_one_line(spark):
     long, short = " ".join(f"w{j}" for j in range(50)), " ".join(f"w{j}" for j in range(49))
     rows = [(1, f"a\n{long}\nb"), (2, long), (2, long), (3, f"c\n\n \t{long}\r\nd\n{short}"), (4, f"e\n{short}\nf\n{long}\n\n{long}"), (5, f"d\n{short}\n{long}")]
     got = {r.doc_id: (r.text, r.n_removed_lines, r.n_runs) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
-    assert got == {1: (rows[0][1], 0, 0), 2: ("", 1, 1), 3: (f"c\n\nd\n{short}", 1, 1), 4: (f"e\n{short}\nf\n", 2, 1), 5: ("", 3, 1)}
+    assert got == {1: (rows[0][1], 0, 0), 2: ("", 1, 1), 3: (f"c\n\nd\n{short}", 1, 1), 4: (f"e\n{short}\nf\n", 2, 2), 5: ("", 3, 2)}
     off = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup(docs(spark, rows), min_words=None).collect()}
     assert off == {1: 0, 2: 0, 3: 0, 4: 0, 5: 2}
 
 
+def test_line_dedup_of_runs_of_any_length(spark):
+    # Document n repeats n lines of the first one; a hot line stands in all of them, and one is very long.
+    first = [f"line {j}" for j in range(60)]
+    rows = [(0, "\n".join(first))] + [(n, "\n".join(["hot", *first[5 : 5 + n], f"own {n}"])) for n in range(1, 51)]
+    rows += [(100, "\n".join(["hot", *(f"x{j}" for j in range(3000))])), (101, "\n".join(["hot", *(f"x{j}" for j in range(3000))]))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    want = brute_lines(rows, 2)
+    assert {i: r.text for i, r in got.items()} == want
+    # hot and the line after it repeat together from document 2 on.
+    assert [(got[n].n_removed_lines, got[n].n_runs, got[n].longest_run) for n in range(1, 51)] == [(0, 0, 0)] + [(n + 1, got[n].n_runs, got[n].longest_run) for n in range(2, 51)]
+    assert all(got[n].longest_run in (n, n + 1) for n in range(2, 51)) and (got[101].n_runs, got[101].longest_run) == (1, 3001)
+
+
+def test_line_dedup_of_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "x\ny", 3, 1, "a", 2), (2, "x\ny\nz", 5, 1, "b", 2)], "doc_id long, text string, n_chars int, n_lines int, _runs string, n_runs int")
+    out = line_dedup.line_dedup(df, length_col="n_chars")
+    assert out.columns == ["doc_id", "text", "n_chars", "_runs", *line_dedup.COUNTS]
+    assert sorted(map(tuple, out.collect())) == [(1, "x\ny", 3, "a", 2, 0, 0, 0), (2, "z", 1, "b", 3, 2, 1, 2)]
+    plain = line_dedup.line_dedup(df, counts=False, length_col="n_chars")
+    assert plain.schema == df.schema and sorted(map(tuple, plain.collect())) == [(1, "x\ny", 3, 1, "a", 2), (2, "z", 1, 1, "b", 2)]
+
+
 def test_line_dedup_stays_in_the_jvm(spark):
     plan = line_dedup.line_dedup(docs(spark, [(1, "a\nb")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
