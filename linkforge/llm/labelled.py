@@ -11,19 +11,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], dict[int, int]]:
-    """Texts and 0/1 labels of at most `per_class` rows of each class, in hash order, and how many rows each class has.
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(_id, _label, _text) of at most `per_class` documents of each class, in hash order, and how many ids each class has.
 
     Only labels of ids that are not held out are read. A null label or id is ignored; of several labels of an id the
-    greatest counts; a null text is empty. The sample is bounded, so it is broadcast to the scan of the texts.
+    greatest counts, and of several texts the least; a null text is empty. The chosen ids are bounded, so they are
+    broadcast to the scan of the texts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_label"))
+    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     picked = None
     for label in (0, 1):
         some = known.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(picked), "_id").collect()
-    rows = sorted((r["_id"], r["_text"], r["_label"]) for r in rows)
-    return [r[1] for r in rows], [r[2] for r in rows], counts
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return own.join(F.broadcast(picked), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")), counts

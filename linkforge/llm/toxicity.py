@@ -9,12 +9,14 @@ Forward-backward marginals of all tokens give spans with their offsets, and summ
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .labelled import sample
 from .textbytes import RangeHash, arrow_batches, pieces, runs, text_pieces, utf8
@@ -51,19 +53,29 @@ def token_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
 
 @dataclass
 class Crf:
-    """Weights of a two-state chain. Scores are those of the toxic state less those of the clean one."""
+    """Weights of a two-state chain. Scores are those of the toxic state less those of the clean one.
 
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(1 << BITS, np.float32))
+    Most features have no weight: the model travels as the numbers and weights of the others.
+    """
+
+    at: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     bias: float = -6.0
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: float = -3.0
     #: Of the document's score: constant, log(1 + toxic tokens), greatest marginal.
     doc: tuple[float, float, float] = (-4.0, 0.0, 0.0)
 
-    def emission(self, features: np.ndarray) -> np.ndarray:
+    def dense(self) -> np.ndarray:
+        """A weight for every feature number."""
+        out = np.zeros(1 << BITS, np.float32)
+        out[self.at] = self.weights
+        return out
+
+    def emission(self, features: np.ndarray, dense: np.ndarray) -> np.ndarray:
         total = np.full(len(features), self.bias)
         for k in range(features.shape[1]):
-            total += self.weights[features[:, k]]
+            total += dense[features[:, k]]
         return np.clip(total, -30, 30)
 
     def marginals(self, score: np.ndarray, first: np.ndarray, width: int = 128) -> np.ndarray:
@@ -115,31 +127,50 @@ def _mobius(p: np.ndarray, q: np.ndarray, s: np.ndarray, t: np.ndarray, width: i
     return out.T.ravel()
 
 
-def _gradient(crf: Crf, score: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Expected minus observed token labels, transitions and start, over segments (rows) of equal length."""
+def segments(row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First token, number of tokens and whether a document begins, for stretches of at most `length` tokens that never cross a document's end."""
+    heads = np.flatnonzero(np.diff(row, prepend=-1)) if len(row) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(row)))
+    count = -(-size // length)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(heads, count) + nth * length
+    return begin, np.minimum(length, np.repeat(heads + size, count) - begin), nth == 0
+
+
+def gradient(crf: Crf, score: np.ndarray, gold: np.ndarray, size: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Expected minus observed token labels, transitions and starts, over segments: rows of which the first `size` tokens count.
+
+    before: the label of the token ahead of the segment, or -1 where its document begins.
+    """
     n, length = score.shape
     a, e = np.exp(crf.trans), np.stack([np.ones_like(score), np.exp(score)], 2)
     f = np.empty((length, n, 2))
-    f[0] = e[:, 0] * np.array([1.0, np.exp(crf.start)])
+    opens = before < 0
+    f[0] = e[:, 0] * np.where(opens[:, None], np.array([1.0, np.exp(crf.start)]), a[np.maximum(before, 0)])
     f[0] /= f[0].sum(1, keepdims=True)
     for i in range(1, length):
-        f[i] = (f[i - 1] @ a) * e[:, i]
-        f[i] /= f[i].sum(1, keepdims=True)
+        step = (f[i - 1] @ a) * e[:, i]
+        f[i] = np.where((i < size)[:, None], step / step.sum(1, keepdims=True), f[i - 1])
     b = np.ones((n, 2))
-    p = np.empty((n, length))
+    p = np.zeros((n, length))
     pairs = np.zeros((2, 2))
     for i in range(length - 1, -1, -1):
+        live = i < size
         m = f[i] * b
-        p[:, i] = m[:, 1] / m.sum(1)
+        p[:, i] = np.where(live, m[:, 1] / m.sum(1), 0.0)
         if i:
             eb = e[:, i] * b
-            joint = f[i - 1][:, :, None] * a[None] * eb[:, None, :]
+            joint = (f[i - 1][:, :, None] * a[None] * eb[:, None, :])[live]
             pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            b = eb @ a.T
-            b /= b.sum(1, keepdims=True)
+            back = eb @ a.T
+            b = np.where(live[:, None], back / back.sum(1, keepdims=True), b)
+    inside = np.arange(length)[None] < size[:, None]
+    np.add.at(pairs[:, 1], before[~opens], p[~opens, 0])
+    np.add.at(pairs[:, 0], before[~opens], 1 - p[~opens, 0])
     seen = np.zeros((2, 2))
-    np.add.at(seen, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
-    return p - gold, pairs - seen, float((p[:, 0] - gold[:, 0]).sum())
+    np.add.at(seen, (gold[:, :-1][inside[:, 1:]], gold[:, 1:][inside[:, 1:]]), 1)
+    np.add.at(seen, (before[~opens], gold[~opens, 0]), 1)
+    return np.where(inside, p - gold, 0.0), pairs - seen, float((p[opens, 0] - gold[opens, 0]).sum())
 
 
 def train(texts: list[str], labels: list[int], segment: int = 32, max_segments: int = 8000, steps: int = 80, seed: int = 5) -> Crf:
@@ -171,44 +202,49 @@ def train(texts: list[str], labels: list[int], segment: int = 32, max_segments:
     mark = np.zeros(1 << BITS, bool)
     mark[seen] = (t >= max(4, 0.01 * n_toxic)) & (lift > 25) & (surprise > np.log(len(seen)) + 3)
     gold = (mark[features].any(1) & (y[row] == 1)).astype(np.int64)
-    rng = np.random.default_rng(seed)
-    whole = len(gold) // segment
-    if not whole or not gold.any():
+    if not gold.any():
         return crf
-    g, f = gold[: whole * segment].reshape(whole, segment), features[: whole * segment].reshape(whole, segment, -1)
-    some = np.concatenate([rng.permutation(np.flatnonzero(m))[: max_segments // 2] for m in (g.any(1), ~g.any(1))])
-    g, f = g[some], f[some]
+    rng = np.random.default_rng(seed)
+    begin, size, opens = segments(row, segment)
+    marked = np.add.reduceat(gold, begin) > 0
+    some = np.concatenate([rng.permutation(np.flatnonzero(m))[: max_segments // 2] for m in (marked, ~marked)])
+    begin, size, opens = begin[some], size[some], opens[some]
+    inside = np.arange(segment)[None] < size[:, None]
+    place = np.minimum(begin[:, None] + np.arange(segment)[None], len(gold) - 1)
+    g, f = np.where(inside, gold[place], 0), features[place]
+    before = np.where(opens, -1, gold[begin - 1])
     # Only features of three contexts and more that lean to toxic text have weights; the others keep zero (the one past
     # the end). So clean tokens rest on the bias alone, in training as elsewhere, and unknown tokens count as clean.
     leans = np.zeros(space, bool)
     leans[seen] = (t + c >= 3) & (lift > 3)
     used, f = np.unique(np.where(leans[f], f, space), return_inverse=True)
     rare = np.flatnonzero(used == space)
-    f, size = f.reshape(len(g), segment, -1), len(used)
-    theta = np.zeros(size + 6)
-    theta[size], theta[size + 5] = crf.bias, crf.start
+    f, k = f.reshape(len(g), segment, -1), len(used)
+    theta = np.zeros(k + 6)
+    theta[k], theta[k + 5] = crf.bias, crf.start
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        crf.bias, crf.trans, crf.start = theta[size], theta[size + 1 : size + 5].reshape(2, 2), theta[size + 5]
+        crf.bias, crf.trans, crf.start = theta[k], theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5]
         score = np.clip(theta[f].sum(2) + crf.bias, -30, 30)
-        token, pairs, start = _gradient(crf, score, g)
+        token, pairs, start = gradient(crf, score, g, size, before)
         grad = np.zeros_like(theta)
-        grad[:size] = np.bincount(f.ravel(), weights=np.repeat(token, f.shape[2], 1).ravel(), minlength=size)
-        grad[size], grad[size + 1 : size + 5], grad[size + 5] = token.sum(), pairs.ravel(), start
+        grad[:k] = np.bincount(f.ravel(), weights=np.repeat(token, f.shape[2], 1).ravel(), minlength=k)
+        grad[k], grad[k + 1 : k + 5], grad[k + 5] = token.sum(), pairs.ravel(), start
         grad = grad / len(g) + 1e-5 * theta
         grad[rare] = 0.0
-        grad[size + 1] = 0.0  # one transition is fixed, else the scale is open
+        grad[k + 1] = 0.0  # one transition is fixed, else the scale is open
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta -= 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)
-    weights = theta[:size].astype(np.float32)
-    weights[np.abs(weights) < 0.02] = 0.0
-    crf.weights = np.zeros(space, np.float32)
-    crf.weights[used[used < space]] = weights[used < space]
-    crf.bias, crf.trans, crf.start = float(theta[size]), theta[size + 1 : size + 5].reshape(2, 2).copy(), float(theta[size + 5])
+    weights = theta[:k].astype(np.float32)
+    has = (np.abs(weights) >= 0.02) & (used < space)
+    crf.at, crf.weights = used[has].astype(np.int32), weights[has]
+    crf.bias, crf.trans, crf.start = float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2).copy(), float(theta[k + 5])
+    del f, g, place, inside, toxic, clean, mark, leans
+    dense = crf.dense()
     x = np.zeros((n_docs, 3))
-    for at in np.array_split(np.arange(n_docs), max(1, len(row) // 500_000)):
+    for at in np.array_split(np.arange(n_docs), max(1, len(row) // 100_000)):
         some = slice(*np.searchsorted(row, [at[0], at[-1] + 1]))
-        p = crf.marginals(crf.emission(features[some]), np.diff(row[some], prepend=-1) > 0)
+        p = crf.marginals(crf.emission(features[some], dense), np.diff(row[some], prepend=-1) > 0)
         x[at] = doc_evidence(p, row[some] - at[0], len(at))
     weight = np.zeros(3)
     hess = np.eye(3) * 1e-2
@@ -245,10 +281,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A field fitted to a sample of at most `per_class` documents of each class whose labels are not held out.
 
     Token labels are mined from the whole texts of the sample; the field learns from at most `max_segments` segments
-    of 32 tokens of them, drawn at random, half of them with toxic tokens and half without.
+    of 32 tokens of them, drawn at random, half of them with toxic tokens and half without. Training is one task on
+    an executor, which holds the texts of the sample and no others; the driver gets the weights only.
     """
-    texts, y, _ = sample(docs, labels, label_col, per_class, id_col, text_col)
-    return train(texts, y, max_segments=max_segments)
+    rows, _ = sample(docs, labels, label_col, per_class, id_col, text_col)
+    arrow_batches(docs.sparkSession)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: list[str] = []
+        y: list[int] = []
+        for b in batches:
+            texts += b.column("_text").to_pylist()
+            y += b.column("_label").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y, max_segments=max_segments))], pa.binary())], names=["model"])
+
+    made = rows.repartition(1).sortWithinPartitions("_id").mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Crf()
 
 
 def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), spans: bool = True) -> DataFrame:
@@ -256,37 +304,45 @@ def toxic_spans(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str
 
     score is in 0 to 1 and needs no label. Every whole text is read; a null or empty text has no spans and the score of a
     text without toxic tokens. Rows are independent: null or repeated ids and repeated rows are scored like any
-    other. An empty table gives an empty result; other columns are ignored.
+    other. An empty table gives an empty result; other columns are ignored, and so are columns to keep that have the name of
+    a result.
     """
+    made = ["score", "n_toxic_tokens", *(["spans"] if spans else [])]
+    have = [id_col, *(c for c in keep if c != id_col and c not in made)]
+    scored = _scored(docs, crf, have, text_col, spans)
+    return scored.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(have)), *made)
+
+
+def without_toxic(docs: DataFrame, crf: Crf, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score below `least`, with all their columns, whatever their names."""
+    scored = _scored(docs, crf, docs.columns, text_col, False).where(F.col("score") < least)
+    return scored.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def _scored(docs: DataFrame, crf: Crf, keep: list[str], text_col: str, spans: bool) -> DataFrame:
+    """The columns of `keep` as _k0, _k1 ... and the results."""
     arrow_batches(docs.sparkSession)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.select(id_col, *keep).schema}
+    own = docs.select(*(F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)), F.col(f"`{text_col}`").alias("_text"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema if f.name != "_text"}
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
 
-    # Most weights are zero: the model travels as the others.
-    at = np.flatnonzero(crf.weights).astype(np.int32)
-    small = replace(crf, weights=crf.weights[at])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = replace(small, weights=np.zeros(1 << BITS, np.float32))
-        crf.weights[at] = small.weights
+        dense = crf.dense()
         for batch in batches:
             for piece in pieces(batch, "_text"):
                 n = piece.num_rows
                 data, offsets = utf8(piece.column("_text"))
                 start, stop, row, features = token_features(data, offsets)
-                p = crf.marginals(crf.emission(features), np.diff(row, prepend=-1) > 0)
+                p = crf.marginals(crf.emission(features, dense), np.diff(row, prepend=-1) > 0)
                 x = doc_evidence(p, row, n)
                 score = 1 / (1 + np.exp(-np.clip(x @ np.array(crf.doc), -30, 30)))
                 made = [pa.array(score), pa.array(np.bincount(row[p >= 0.5], minlength=n))]
                 if spans:
                     made.append(pa.array(_spans(data, offsets, start, stop, row, p), kind))
-                cols = [piece.column(i) for i in range(piece.num_columns) if piece.schema.names[i] != "_text"]
-                yield pa.RecordBatch.from_arrays([*cols, *made], names=[*kinds, "score", "n_toxic_tokens", *(["spans"] if spans else [])])
-
-    schema = ", ".join([*(f"`{k}` {v}" for k, v in kinds.items()), "score double, n_toxic_tokens long", *(["spans array<struct<start:long,stop:long,p:double>>"] if spans else [])])
-    from pyspark.sql import functions as F
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kinds), *made], names=[*kinds, "score", "n_toxic_tokens", *(["spans"] if spans else [])])
 
-    return docs.select(*kinds, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{k} {v}" for k, v in kinds.items()), "score double, n_toxic_tokens long", *(["spans array<struct<start:long,stop:long,p:double>>"] if spans else [])])
+    return own.mapInArrow(run, schema)
 
 
 def _spans(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, stop: np.ndarray, row: np.ndarray, p: np.ndarray) -> list[list[dict]]:

@@ -28,6 +28,52 @@ def test_marginals_equal_the_plain_recursion():
         assert np.allclose(got[lo:hi], m[:, 1] / m.sum(1))
 
 
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(8)
+    row = np.repeat([0, 1, 2, 3], [70, 1, 32, 45])
+    begin, size, opens = toxicity.segments(row, 32)
+    assert begin.tolist() == [0, 32, 64, 70, 71, 103, 135] and size.tolist() == [32, 32, 6, 1, 32, 32, 13] and opens.tolist() == [True, False, False, True, True, True, False]
+    n, length = len(size), 32
+    score, gold = rng.normal(size=(n, length)), rng.integers(0, 2, (n, length))
+    before = np.where(opens, -1, rng.integers(0, 2, n))
+
+    def loss(score, trans, start):
+        """Less the log likelihood of the labels, by the plain forward sum over both states."""
+        total = 0.0
+        for s, y, k, b in zip(score, gold, size, before):
+            e = lambda i: np.array([0.0, s[i]])  # noqa: B023, E731
+            head = np.array([0.0, start]) if b < 0 else trans[b]
+            f, path = head + e(0), (head + e(0))[y[0]]
+            for i in range(1, k):
+                f = np.log(np.exp(f[:, None] + trans).sum(0)) + e(i)
+                path += trans[y[i - 1], y[i]] + e(i)[y[i]]
+            total += np.log(np.exp(f).sum()) - path
+        return total
+
+    trans, start, h = rng.normal(size=(2, 2)), 0.4, 1e-5
+    token, pairs, first = toxicity.gradient(toxicity.Crf(trans=trans, start=start), score, gold, size, before)
+    for i, j in ((0, 0), (0, 31), (2, 5), (2, 6), (3, 0), (3, 1), (6, 12)):
+        up = score.copy()
+        up[i, j] += h
+        assert token[i, j] == pytest.approx((loss(up, trans, start) - loss(score, trans, start)) / h, abs=1e-3)
+    for i in range(2):
+        for j in range(2):
+            up = trans.copy()
+            up[i, j] += h
+            assert pairs[i, j] == pytest.approx((loss(score, up, start) - loss(score, trans, start)) / h, abs=1e-3)
+    assert first == pytest.approx((loss(score, trans, start + h) - loss(score, trans, start)) / h, abs=1e-3)
+
+
+def test_document_score_is_the_logistic_function_of_the_evidence(spark):
+    crf = toxicity.Crf(bias=-2.0, trans=np.array([[0.0, 0.3], [0.1, 0.5]]), start=-1.0, doc=(-3.0, 1.5, 2.0))
+    texts = ["a b c", "", None, "one", "x " * 300]
+    got = {r.doc_id: r for r in toxicity.toxic_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), crf).collect()}
+    for i, t in enumerate(texts):
+        p = crf.marginals(np.full(len((t or "").split()), -2.0), np.arange(len((t or "").split())) == 0)
+        raw = -3.0 + 1.5 * np.log1p((p >= 0.5).sum()) + 2.0 * (p.max() if len(p) else 0.0)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-raw))) and got[i].n_toxic_tokens == (p >= 0.5).sum()
+
+
 def labelled_corpus(spark):
     random.seed(4)
     word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randint(2, 7)))
@@ -57,6 +103,12 @@ def test_toxicity(spark):
     assert np.mean([(r.score >= 0.7) == bool(truth[r.doc_id][2]) for r in held]) > 0.93
     spans = [texts[r.doc_id][s.start : s.stop].lower() for r in held for s in r.spans]
     assert spans and np.mean([s.startswith(("zwort", "qqmist")) for s in spans]) > 0.85
+    # Rows of any names pass through, clashing ones too, and very long texts are scored whole.
+    odd = docs.selectExpr("doc_id", "text", "1 as score", "2 as _text", "3 as n_toxic_tokens", "4 as _k0").union(spark.createDataFrame([(9000, "clean " * 400_000 + "zwort", 1, 2, 3, 4)], "a long, b string, c int, d int, e int, f int"))
+    left = toxicity.without_toxic(odd, crf, 0.7)
+    assert left.schema == odd.schema and {r.doc_id for r in left.collect()} == {r.doc_id for r in got if r.score < 0.7}
+    kept = toxicity.toxic_spans(odd, crf, keep=("score", "_text"), spans=False)
+    assert kept.columns == ["doc_id", "_text", "score", "n_toxic_tokens"] and {r.n_toxic_tokens for r in kept.where("doc_id = 9000").collect()} == {1}
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.n_toxic_tokens for r in toxicity.toxic_spans(docs, none).collect()} == {0}
     assert toxicity.toxic_spans(docs.limit(0), crf).collect() == []
@@ -83,11 +135,13 @@ def test_quality(spark):
 
 def test_held_out_labels_are_not_read(spark):
     docs, labels, truth = labelled_corpus(spark)
-    _, _, counts = labelled.sample(docs, labels, "toxic", 10_000)
+    _, counts = labelled.sample(docs, labels, "toxic", 10_000)
     open_ids = [i for i, m in truth.items() if i is not None and m[2] is not None and zlib.crc32(str(i).encode()) % 3 != 1]
     assert counts == Counter(truth[i][2] for i in open_ids)
-    texts, y, _ = labelled.sample(docs, labels, "toxic", 7)
-    assert Counter(y)[1] <= 8 and len(texts) == len(y)
+    picked = labelled.sample(docs.union(docs), labels, "toxic", 7)[0].collect()
+    # One text for each id, however often the id or the row repeats.
+    assert len({r._id for r in picked}) == len(picked) and max(Counter(r._label for r in picked).values()) <= 7
+    assert {r._id for r in picked} <= set(open_ids) and all(r._label == truth[r._id][2] for r in picked)
 
 
 def brute_rules(text):
@@ -136,12 +190,12 @@ def test_a_text_is_judged_to_its_end():
     assert judge(prose[:8191]) == (4, 0, "ok") and judge(prose[:6144]) == (3, 0, "ok") and judge(prose[:2048]) == (0, 0, "ok") and judge(prose[:2049]) == (2, 0, "ok")
 
 
-def test_fits_bound_their_samples_by_parameters(monkeypatch):
-    got = {}
-    monkeypatch.setattr(toxicity, "sample", lambda *a: (["a b"], [1], {1: 1}))
-    monkeypatch.setattr(quality, "sample", lambda *a: (["a b"], [1], {1: 1}))
-    monkeypatch.setattr(toxicity, "train", lambda texts, y, max_segments: got.update(segments=max_segments))
-    monkeypatch.setattr(quality, "train", lambda texts, y, bad_share, pairs: got.update(pairs=pairs))
-    toxicity.fit(None, None, max_segments=20)
-    quality.fit(None, None, pairs=30)
-    assert got == {"segments": 20, "pairs": 30}
+def test_fits_bound_their_samples_by_parameters(spark, monkeypatch):
+    docs, labels, _ = labelled_corpus(spark)
+    got, plain = {}, quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y, bad_share, pairs: got.update(pairs=pairs, x=x.shape, y=Counter(y.tolist())) or plain(x, y, bad_share, pairs))
+    quality.fit(docs, labels, per_class=20, pairs=30)
+    assert got == {"pairs": 30, "x": (40, len(quality.FEATURES)), "y": {0: 20, 1: 20}}
+    texts = [r.text for r in docs.collect() if r.doc_id is not None and r.doc_id < 900]
+    few, many = (toxicity.train(texts, [int(i % 5 == 0) for i in range(len(texts))], max_segments=n) for n in (4, 8000))
+    assert len(few.at) < len(many.at)
