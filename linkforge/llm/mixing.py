@@ -1,9 +1,11 @@
 """Mixing sources to target weights.
 
 The words of each source form one stream, cut into blocks of fixed length. Output shards draw how many of their
-slots go to each source from a multinomial; the slots of a source are numbered through all shards, and a
-pseudorandom permutation of the source's block numbers, another for each pass over the source, says which block a
-slot holds. Blocks are joined to the documents they came from by (source, block).
+slots go to each source from a multinomial, on the condition that all shards together meet the sources' quotas: what
+a range of shards has is split between its halves, down to single shards, so that any task can draw any shard by itself.
+The slots of a source are numbered through all shards, and a pseudorandom permutation of the source's block
+numbers, another for each pass over the source, says which block a slot holds. Blocks are joined to the documents
+they came from by (source, block).
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 #: Shards that a mix is drawn in at least, where it has so many slots.
 LEAST_SHARDS = 8
+#: Slots that one task draws, give or take a shard.
+TASK_SLOTS = 1 << 18
+#: The library draws hypergeometric numbers of fewer things than this.
+_MOST_DRAWN = 10**9
 
 
 def water_fill(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -59,6 +65,35 @@ def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def split_draw(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each kind are among n of all, drawn without putting back."""
+    total = int(counts.sum())
+    if total < _MOST_DRAWN:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    # So many that each kind's number is as good as independent of the others; what is then over or short is moved.
+    drawn = rng.binomial(counts, n / total)
+    short = n - int(drawn.sum())
+    room = counts - drawn if short > 0 else drawn
+    moved = np.minimum(room, abs(short) * (room / room.sum())).astype(np.int64)
+    for i in np.argsort(-room, kind="stable"):
+        moved[i] += min(room[i] - moved[i], abs(short) - moved.sum())
+    return drawn + (moved if short > 0 else -moved)
+
+
+def shard_draw(shard: int, shards: int, shard_slots: int, quotas: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each source its first slot number in a shard and how many slots it has there. The last shard may be smaller."""
+    have, first = quotas.astype(np.int64), np.zeros(len(quotas), np.int64)
+    low, high = 0, shards
+    while high - low > 1:
+        middle = (low + high) // 2
+        left = split_draw(have, (middle - low) * shard_slots, np.random.default_rng([seed, low, high]))
+        if shard < middle:
+            have, high = left, middle
+        else:
+            have, first, low = have - left, first + left, middle
+    return first, have
+
+
 def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
@@ -98,40 +133,25 @@ def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_w
     rows = rows.withColumn("_off", F.col("_start") + F.col("_in")).drop("_start", "_in", "_bucket")
 
     live = [s for s in sources if s[4]]
-    total = sum(s[4] for s in live)
-    share = np.array([s[4] / total for s in live]) if live else np.zeros(0)
-    # A small mix has smaller shards, so that most of it is drawn at every size.
+    quotas = np.array([s[4] for s in live], np.int64)
+    total = int(quotas.sum())
+    # A small mix has smaller shards, so that it is drawn in several at every size.
     shard_slots = max(1, min(shard_slots, total // LEAST_SHARDS))
-    shards = total // shard_slots
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [(n, i, int(c)) for n in b.column(0).to_pylist() for i, c in enumerate(np.random.default_rng([seed, n]).multinomial(shard_slots, share)) if c]
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["shard", "source", "n"])
-
-    drawn = spark.range(shards).mapInArrow(draw, "shard long, source long, n long")
-    quota = spark.createDataFrame([(i, s[4]) for i, s in enumerate(live)], "source long, quota long")
-    so_far = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
-    # Slots beyond a source's quota are given up; a last shard fills what the draws left open, so totals are exact.
-    kept = drawn.join(F.broadcast(quota), "source").selectExpr("shard", "source", "first", "least(n, quota - first) as n").where("n > 0")
-    had = drawn.groupBy("source").agg(F.sum("n").alias("had"))
-    rest = quota.join(had, "source", "left").selectExpr(f"{shards}L as shard", "source", "least(coalesce(had, 0), quota) as first", "quota - least(coalesce(had, 0), quota) as n").where("n > 0")
+    shards = -(-total // shard_slots)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, source, first, n in zip(*(b.column(c).to_pylist() for c in ("shard", "source", "first", "n"))):
-                name, _, _, blocks, _ = live[source]
-                for a in range(first, first + n, 1 << 20):
-                    slot = np.arange(a, min(first + n, a + (1 << 20)))
+            for shard in b.column(0).to_pylist():
+                for source, (first, n) in enumerate(zip(*(x.tolist() for x in shard_draw(shard, shards, shard_slots, quotas, seed)))):
+                    name, _, _, blocks, _ = live[source]
+                    slot = np.arange(first, first + n)
                     turn = slot // blocks
-                    block = np.empty(len(slot), np.int64)
+                    block = np.empty(n, np.int64)
                     for t in np.unique(turn):
                         block[turn == t] = permuted(slot[turn == t] % blocks, blocks, (seed * 1_000_003 + source) * 64 + int(t))
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(slot), pa.string()), pa.array(block), pa.array(turn), pa.array(np.full(len(slot), shard))], names=["_source", "_block", "_pass", "_shard"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(block), pa.array(turn), pa.array(np.full(n, shard))], names=["_source", "_block", "_pass", "_shard"])
 
-    slot_rows = kept.unionByName(rest).repartition(F.col("shard"), F.col("source")).mapInArrow(slots, "_source string, _block long, _pass long, _shard long")
+    slot_rows = spark.range(0, shards, 1, max(1, min(shards, -(-total // TASK_SLOTS)))).mapInArrow(slots, "_source string, _block long, _pass long, _shard long")
     return rows, sources, slot_rows
 
 
@@ -176,6 +196,8 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
     Its text holds the taken words in their order and with the characters between them; where words in between
     were not taken there is a line break. length_col, where `docs` has it, is set to the length of the new text.
+    A null or empty text has no words and so no row. Rows that repeat an id and text are taken one by one, and return
+    with the columns of one of them. Columns may have any name. An empty table gives an empty result. Reruns agree.
     """
     rows, _, slots = placed(docs, id_col, source_col, text_col, block_words, seed, shard_slots, rows_per_bucket)
     nth = F.row_number().over(Window.partitionBy("_id", "_th").orderBy("_off"))
@@ -189,15 +211,18 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     whole = docs.select(row.alias("_row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(id_col).alias("_id"))
     # Rows that repeat an id and text are one here; cuts has each of them by _nth.
     whole = whole.groupBy("_id", "_th").agg(F.first("_row").alias("_doc"))
-    joined = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_id"]) & (whole["_th"] == cuts["_th"])).select("_doc.*", cuts["_cuts"])
-    schema = docs.schema
+    inside = [F.col("_doc")[c].alias(f"_k{i}") for i, c in enumerate(docs.columns)]
+    joined = whole.join(cuts, whole["_id"].eqNullSafe(cuts["_id"]) & (whole["_th"] == cuts["_th"])).select(*inside, cuts["_cuts"])
+    names = [f"_k{i}" for i in range(len(docs.columns))]
+    schema = joined.select(*names).schema
     at = docs.columns.index(text_col)
+    long_at = docs.columns.index(length_col) if length_col in docs.columns else None
     word = re.compile(WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []
-            for text, found in zip(b.column(at).to_pylist(), b.column(len(docs_columns)).to_pylist()):
+            for text, found in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist()):
                 spans = [m.span() for m in word.finditer(text)]
                 merged: list[list[int]] = []
                 for c in found:
@@ -206,12 +231,11 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
                     else:
                         merged.append([c["_from"], c["_to"]])
                 texts.append("\n".join(text[spans[lo][0] : spans[hi - 1][1]] for lo, hi in merged))
-            columns = [b.column(i) for i in range(len(docs_columns))]
+            columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
-            if length_col in docs_columns:
-                i = docs_columns.index(length_col)
-                columns[i] = pa.array([len(t) for t in texts], columns[i].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            if long_at is not None:
+                columns[long_at] = pa.array([len(t) for t in texts], columns[long_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = docs.columns
-    return joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
