@@ -1,11 +1,13 @@
 """Near-duplicate documents by BagMinHash signatures, bands and exact verification.
 
 A document is the multiset of its five-word shingles. For each shingle a Poisson process, the same in all
-documents, throws points on the plane of time and weight; weights are discretised into strips (0, 1], (1, 2],
-(2, 4], ... whose points are placed within a strip by halving it again and again. A document sees the points below
-its shingles' counts. Each point belongs to one of the signature's components, and a component is the first
-point that it sees, so two documents agree in a component with the probability of their weighted Jaccard
-similarity. Work stops once all components are filled, after about m ln m points whatever the length.
+documents, throws points on the plane of time and weight. Weights are discretised into strips (0, 1], (1, 2],
+(2, 4], ..., and a strip is a tree of processes: each knows its first point, and is split into the processes of its
+halves, of which one inherits that point and the other draws its own, later one. A document sees the points below
+its shingles' counts: it takes the first point of a process that lies below as a whole, drops one that lies above, and
+splits the others. Each point belongs to one of the signature's components, and a component is the first point
+that it sees, so two documents agree in a component with the probability of their weighted Jaccard similarity. A
+subtree ends once its first point is later than all that the signature already has.
 
 Bands of components are buckets. Every document of a bucket is compared with the bucket's hub, the member that
 shares the most buckets with others. Where a bucket still holds several classes, all pairs across classes that their
@@ -30,9 +32,10 @@ from .textbytes import RangeHash, arrow_batches, mix, pieces, powers, utf8, word
 U64 = np.uint64
 SHINGLE = 5
 SIMILAR = 0.8
-#: At similarity 0.8 a pair shares no band of 5 components out of 24 with probability 0.00007.
-BANDS, BAND = 24, 5
-SIZE = BANDS * BAND
+#: Components of a signature.
+SIZE = 120
+#: The chance that a pair at the least similarity shares no band is at most this; at 0.8 it is 0.00007, with 24 bands of 5.
+MISS = 1e-4
 #: Bins of the histogram of shingle hashes that bounds how far two multisets can overlap.
 BINS = 512
 #: Doublings of the way that labels follow from hub to hub.
@@ -74,45 +77,82 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[n
     return r[new], h[new], np.diff(np.append(new, len(r))), name
 
 
+def _first_time(key: np.ndarray, rate: np.ndarray | int) -> np.ndarray:
+    """Exponentially distributed times that the keys stand for."""
+    return -np.log(((key >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53) / rate
+
+
+def _process(h: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The key of the process of a shingle between two weights."""
+    with np.errstate(over="ignore"):
+        return mix(h ^ mix(low.astype(U64) * U64(_STEP) + width.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(7)))
+
+
 def bag_minhash(row: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int = SIZE) -> np.ndarray:
     """Signatures (n x m, 16 bits each) of n weighted sets; rows without elements have zeros."""
     weight = np.bincount(row, weights=count, minlength=n)
-    horizon = m * (np.log(m) + 3) / np.maximum(weight, 1e-9)
+    # Points later than this are looked at only for rows that turn out to need them.
+    guess = m * (np.log(m) + 3) / np.maximum(weight, 1e-9)
     best = np.full((n, m), np.inf)
+    flat = best.ravel()
     todo = weight > 0
+    other = U64(0x632BE59BD9B4E019)
     while todo.any():
         best[todo] = np.inf
-        flat = best.ravel()
-        live = np.flatnonzero(todo[row])
-        low, width, strip = 0, 1, 0
-        while len(live):
-            live = live[count[live] > low]
-            at, time, k = live, np.zeros(len(live)), 0
+        horizon = guess.copy()
+        elements = np.flatnonzero(todo[row])
+        strip_low, strip = 0, 1
+        while len(elements):
+            elements = elements[count[elements] > strip_low]
+            at, low, width = elements, np.full(len(elements), strip_low), np.full(len(elements), strip)
+            key = _process(h[at], low, width)
+            time, nth, fresh = _first_time(key, width), np.zeros(len(at), np.int64), np.ones(len(at), bool)
+            point = key
             while len(at):
+                alive = (time < horizon[row[at]]) & (low < count[at])
+                at, low, width, key, time, nth, fresh, point = (x[alive] for x in (at, low, width, key, time, nth, fresh, point))
+                below = low + width <= count[at]
+                new = below & fresh
+                with np.errstate(over="ignore"):
+                    component = ((mix(point[new] + other) >> U64(32)) * U64(m)) >> U64(32)
+                np.minimum.at(flat, row[at[new]] * m + component.astype(np.int64), time[new])
+                horizon = np.minimum(horizon, best.max(1))
+                leaf = width == 1
+                # A strip of one weight goes on to its next point.
+                a1, k1 = at[leaf], nth[leaf] + 1
                 with np.errstate(over="ignore"):
-                    a = mix(h[at] ^ mix(np.array([strip * 1_000_003 + k], U64) * U64(_STEP) + U64(7)))
-                    b = mix(a + U64(0x632BE59BD9B4E019))
-                time = time - np.log(((a >> U64(11)) + U64(1)).astype(np.float64) * 2.0**-53) / width
-                alive = time < horizon[row[at]]
-                at, time, b = at[alive], time[alive], b[alive]
-                height = low + (b & U64(0xFFFFFFFF)).astype(np.float64) * (2.0**-32 * width)
-                seen = height < count[at]
-                component = ((b >> U64(32)) * U64(m)) >> U64(32)
-                np.minimum.at(flat, row[at[seen]] * m + component[seen].astype(np.int64), time[seen])
-                k += 1
-            low, width, strip = low + width, max(1, low + width), strip + 1
+                    p1 = mix(key[leaf] + k1.astype(U64) * U64(_STEP))
+                nodes = [(a1, low[leaf], width[leaf], key[leaf], time[leaf] + _first_time(p1, 1), k1, np.ones(len(a1), bool), p1)]
+                if not leaf.all():
+                    up = ~leaf
+                    half, taken = width[up] // 2, fresh[up] & ~below[up]
+                    with np.errstate(over="ignore"):
+                        right = (mix(key[up] ^ other) & U64(1)).astype(np.int64)
+                    heir, rest = low[up] + right * half, low[up] + (1 - right) * half
+                    zeros = np.zeros(len(half), np.int64)
+                    nodes.append((at[up], heir, half, _process(h[at[up]], heir, half), time[up], zeros, taken, point[up]))
+                    own = _process(h[at[up]], rest, half)
+                    nodes.append((at[up], rest, half, own, time[up] + _first_time(own, half), zeros, np.ones(len(half), bool), own))
+                at, low, width, key, time, nth, fresh, point = nodes[0] if len(nodes) == 1 else (np.concatenate(x) for x in zip(*nodes))
+            strip_low, strip = strip_low + strip, max(1, strip_low + strip)
         todo = todo & np.isinf(best).any(1)
-        horizon = horizon * 2
+        guess = guess * 2
     best[weight == 0] = 0.0
     return (mix(best.view(U64)) & U64(0xFFFF)).astype(np.uint16)
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    out = np.empty((len(signature), BANDS), U64)
+def banding(similar: float) -> tuple[int, int]:
+    """(bands, components of each): as many components as leave a pair at this similarity without a common band with chance MISS at most."""
+    band = max(k for k in range(1, SIZE + 1) if k == 1 or (1 - similar**k) ** (SIZE // k) <= MISS)
+    return SIZE // band, band
+
+
+def band_keys(signature: np.ndarray, bands: int, band: int) -> np.ndarray:
+    out = np.empty((len(signature), bands), U64)
     with np.errstate(over="ignore"):
-        for b in range(BANDS):
+        for b in range(bands):
             key = np.full(len(signature), b + 1, U64)
-            for c in signature[:, b * BAND : (b + 1) * BAND].T:
+            for c in signature[:, b * band : (b + 1) * band].T:
                 key = mix(key * U64(_STEP) + c)
             out[:, b] = key
     return out.view(np.int64)
@@ -151,22 +191,25 @@ def _text_hash(text_col: str) -> Column:
 def possible(at: np.ndarray, i: int, band: int, sig: np.ndarray, bins: np.ndarray, over: np.ndarray, total: np.ndarray, similar: float) -> np.ndarray:
     """Those of the texts `at` that first share `band` with text i and that their histograms allow to be similar to it."""
     # A pair that shares several bands is taken in the first.
-    at = at[(sig[at] == sig[i]).reshape(-1, BANDS, BAND).all(2).argmax(1) == band]
+    bands, size = banding(similar)
+    at = at[(sig[at, : bands * size] == sig[i, : bands * size]).reshape(-1, bands, size).all(2).argmax(1) == band]
     most = most_overlap(bins[at], over[at], bins[i], over[i])
     return at[most >= similar * (total[at] + total[i] - most)]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 2000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 1000) -> DataFrame:
     """For each row of `docs`: id, class_id, class_size and _th (hash of its text).
 
     Two texts are linked when the weighted Jaccard similarity of their five-word shingles is at least `similar`; words
     are runs without blanks, as they stand. A class is a connected component, class_id its smallest id, null last.
     Texts with the same words in the same order are alike; a text without words, null or empty, is a class by
     itself. Rows that repeat an id are rows of their own. An empty table gives an empty result; other columns are
-    ignored. A bucket of any size is dealt out in cells of at most about 2 * `cell` members; none is capped.
+    ignored. A bucket of any size is dealt out in cells of at most about 2 * `cell` members; none is capped. A linked
+    pair is missed only if it shares no band (MISS) and no other links join its classes. Each step is written once.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
+    bands, size = banding(similar)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     th = _text_hash(text_col)
     own = docs.select(F.col(id_col).alias("_id"), th.alias("_th"), F.col(text_col).alias("_text"))
@@ -193,9 +236,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SIZE))
-            node = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))
-            yield pa.RecordBatch.from_arrays([node, pa.array(np.tile(np.arange(BANDS), len(keys)), pa.int32()), pa.array(keys.ravel())], names=["_node", "_band", "_key"])
+            keys = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SIZE), bands, size)
+            node = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), bands)))
+            yield pa.RecordBatch.from_arrays([node, pa.array(np.tile(np.arange(bands), len(keys)), pa.int32()), pa.array(keys.ravel())], names=["_node", "_band", "_key"])
 
     banded = nodes.select("_node", "_sig").mapInArrow(to_bands, "_node binary, _band int, _key long")
     sizes = banded.groupBy("_key").agg(F.count("*").alias("_size")).where("_size > 1")
@@ -241,10 +284,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = cut(labels.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
 
-    # What the hubs did not join: buckets with members of several classes.
-    placed = members.join(labels, members["_node"] == labels["node"], "left").select("_key", "_band", "_size", "_node", F.coalesce("label", "_node").alias("_label"))
-    mixed = placed.groupBy("_key").agg(F.min("_label").alias("lo"), F.max("_label").alias("hi")).where("lo <> hi").select("_key")
-    left = placed.join(mixed, "_key")
+    # What the hubs did not join: buckets with members of several classes. Only pairs with a member outside the largest
+    # class are left, so both parts are dealt out in slots, and slots of the largest class do not meet each other.
+    placed = cut(members.join(labels, members["_node"] == labels["node"], "left").select("_key", "_band", "_node", F.coalesce("label", "_node").alias("_label")))
+    by_label = placed.groupBy("_key", "_label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("_key").agg(F.max(F.struct("n", "_label")).alias("_main"), F.sum("n").alias("_all"), F.count("*").alias("_labels")).where("_labels > 1")
+    mixed = mixed.select("_key", F.col("_main._label").alias("_main"), F.ceil(F.col("_main.n") / cell).cast("int").alias("_g"), F.ceil((F.col("_all") - F.col("_main.n")) / cell).cast("int").alias("_o"))
+    left = cut(placed.join(mixed, "_key"))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -254,9 +300,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sketches = texts.join(left.select("_node").distinct(), "_node").join(nodes.select("_node", "_sig"), "_node").select("_node", "_z", "_sig")
     left = left.join(sketches.mapInArrow(bound, "_node binary, _bins binary, _total long, _sig binary"), "_node")
-    grid = F.ceil(F.col("_size") / cell).cast("int")
-    left = left.withColumn("_grid", grid).withColumn("_slot", F.pmod(F.xxhash64("_node"), F.col("_grid")).cast("int"))
-    left = left.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_grid") - 1)))
+    outside = F.col("_label") != F.col("_main")
+    left = left.withColumn("_slot", F.when(outside, F.col("_g") + F.pmod(F.xxhash64("_node"), F.col("_o"))).otherwise(F.pmod(F.xxhash64("_node"), F.col("_g"))).cast("int"))
+    left = left.withColumn("_other", F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(F.col("_g")), F.col("_g") + F.col("_o") - 1)))
     left = left.select("_key", F.least("_slot", "_other").alias("_lo"), F.greatest("_slot", "_other").alias("_hi"), "_band", "_slot", "_node", "_label", "_sig", "_bins", "_total")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,8 +337,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if len(held) > 1:
             yield pairs(held)
 
-    rest = left.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi").mapInArrow(across, "a binary, b binary")
-    labels = components(links.unionByName(verified(rest.withColumn("s", F.lit(0).cast("long")))), "a", "b")
+    rest = cut(left.repartition("_key", "_lo", "_hi").sortWithinPartitions("_key", "_lo", "_hi").mapInArrow(across, "a binary, b binary"))
+    more = cut(verified(rest.withColumn("s", F.lit(0).cast("long"))))
+    labels = components(links.unionByName(more), "a", "b")
 
     named = nodes.join(labels, nodes["_node"] == labels["node"], "left").select("_node", "_least", "_n", F.coalesce("label", "_node").alias("_label"))
     classes = named.groupBy("_label").agg(F.min("_least").alias("_class"), F.sum("_n").alias("_size"))
@@ -309,9 +356,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """The rows of `docs`, with all their columns, of which each class keeps the one with the smallest id.
+    """The rows of `docs`, with all their columns, of which each class keeps the one with the smallest id, null last.
 
-    Texts without words stay. Rows that repeat the kept row's id and text are that row again and go.
+    Texts without words, null or empty, stay. Rows that repeat the kept row's id and text are that row again and go;
+    of rows with the kept id and other texts of the class, the one with the least hash of its text stays. An empty table gives
+    an empty result; columns may have any name.
     """
     classes = near_classes(docs, id_col, text_col, similar)
     stay = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id").alias("_class"), F.col("class_size")).agg(F.min("_th").alias("_stays"))

@@ -40,6 +40,66 @@ def test_signature_is_unbiased():
     assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < 0.06
 
 
+def test_signature_of_weights_within_a_strip():
+    # One element with different counts: the chance to agree is the ratio of the counts, whatever strip they lie in.
+    for a, b in ((1, 2), (3, 4), (5, 8), (6, 7), (9, 16), (100, 130)):
+        agree = []
+        for seed in range(60):
+            h = near_hash(seed)
+            s = nd.bag_minhash(np.array([0, 1]), np.array([h, h]), np.array([a, b]), 2, m=64)
+            agree.append((s[0] == s[1]).mean())
+        assert abs(np.mean(agree) - a / b) < 0.05, (a, b)
+
+
+def near_hash(seed):
+    return np.random.default_rng(seed).integers(0, 1 << 63, dtype=np.uint64)
+
+
+def brute_signature(h, count, m):
+    """First times of the components over all points of all processes, found by walking each tree to its leaves."""
+    best = np.full(m, np.inf)
+    one = lambda x: np.array([x])
+
+    def walk(x, low, width, time, point, c):
+        if low >= c or time > 60:
+            return
+        key = nd._process(one(x), one(low), one(width))[0]
+        if width == 1:
+            k = 0
+            while time < 60:
+                component = int((int(nd.mix(one(point) + nd.U64(0x632BE59BD9B4E019))[0]) >> 32) * m >> 32)
+                best[component] = min(best[component], time)
+                k += 1
+                with np.errstate(over="ignore"):
+                    point = nd.mix(one(key) + nd.U64(k) * nd.U64(nd._STEP))[0]
+                time += nd._first_time(one(point), 1)[0]
+            return
+        half, right = width // 2, int(nd.mix(one(key) ^ nd.U64(0x632BE59BD9B4E019))[0]) & 1
+        walk(x, low + right * half, half, time, point, c)
+        own = nd._process(one(x), one(low + (1 - right) * half), one(half))[0]
+        walk(x, low + (1 - right) * half, half, time + nd._first_time(one(own), half)[0], own, c)
+
+    for x, c in zip(h, count):
+        low, width = 0, 1
+        while low < c:
+            key = nd._process(one(x), one(low), one(width))[0]
+            walk(x, low, width, nd._first_time(one(key), width)[0], key, c)
+            low, width = low + width, max(1, low + width)
+    return (nd.mix(best.view(nd.U64)) & nd.U64(0xFFFF)).astype(np.uint16)
+
+
+def test_signature_against_all_points():
+    h, count = np.array([near_hash(s) for s in range(5)]), np.array([1, 3, 6, 13, 2])
+    assert (nd.bag_minhash(np.zeros(5, int), h, count, 1, m=16)[0] == brute_signature(h, count, 16)).all()
+
+
+def test_banding():
+    assert nd.banding(0.8) == (24, 5) and nd.banding(0.7) == (40, 3)
+    for s in (0.3, 0.5, 0.9, 0.95, 1.0):
+        bands, size = nd.banding(s)
+        assert bands * size <= nd.SIZE and ((1 - s**size) ** bands <= nd.MISS or size == 1)
+
+
 def test_histogram_bounds_the_overlap():
     random.seed(6)
     for _ in range(50):
@@ -91,6 +151,10 @@ def test_near_classes_against_brute_force(spark):
     got = {r.doc_id: (r.class_id, r.class_size) for r in nd.near_classes(df).collect()}
     sizes = Counter(want.values())
     assert got == {d: (c, sizes[c]) for d, c in want.items()}
+    # Lower similarities have bands of their own.
+    bags = {i: bag(t or "") for i, t in rows}
+    low = {r.doc_id: r.class_id for r in nd.near_classes(df, similar=0.6).collect()}
+    assert all(low[a] == low[b] for a in bags for b in bags if a < b and bags[a] and jaccard(bags[a], bags[b]) >= 0.6)
     # Small cells give the same.
     assert {r.doc_id: r.class_id for r in nd.near_classes(df, cell=3).collect()} == want
     kept = nd.near_dedup(df)
@@ -141,6 +205,7 @@ def test_chunks_are_shared():
 
 def test_pairs_across_classes_are_ruled_out_by_the_exact_bound_only():
     # Text 1 has text 0's histogram but shares two of its bands only; text 2 shares them too and overlaps too little.
+    assert nd.banding(0.8) == (24, 5)
     sig = np.zeros((3, nd.SIZE), np.uint16)
     sig[1:] = np.arange(1, nd.SIZE + 1)
     sig[1:, 10:20] = 0
