@@ -179,15 +179,48 @@ def test_model_defaults(name):
     assert getattr(toxicity, name)().marginals(np.zeros(0), np.zeros(0, bool)).shape == (0,)
 
 
-def test_a_text_is_judged_to_its_end():
+def test_a_text_is_judged_to_its_end(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(600)]
     prose = " ".join(rng.choices(vocabulary, k=3000))
     noise = "".join(rng.choices([chr(c) for c in range(33, 127)], k=2047))
-    press = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
-    judge = lambda text: quality_rules.judge(text, press)[2:]
-    assert judge(prose[:6144] + noise) == (4, 1, "odd chunks") and judge(prose[:6144] + "word " * 400) == (4, 1, "odd chunks")
-    assert judge(prose[:8191]) == (4, 0, "ok") and judge(prose[:6144]) == (3, 0, "ok") and judge(prose[:2048]) == (0, 0, "ok") and judge(prose[:2049]) == (2, 0, "ok")
+    texts = [prose[:6144] + noise, prose[:6144] + "word " * 400, prose[:8191], prose[:6144], prose[:2048], prose[:2049]]
+    got = {r.doc_id: (r.n_chunks, r.n_odd_chunks, r.verdict) for r in quality_rules.compression_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == [(4, 1, "odd chunks")] * 2 + [(4, 0, "ok"), (3, 0, "ok"), (0, 0, "ok"), (2, 0, "ok")]
+
+
+def test_limits_follow_the_corpus(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    texts = [prose(rng.randint(150, 1200)) for _ in range(1200)]
+    tables = [" | ".join(rng.choices(vocabulary[:90], k=400)) for _ in range(40)]
+    # A text that makes up a third of all rows does not narrow the band of its length.
+    rows = texts + tables + [texts[0]] * 600 + ["", None, "long words " * 200_000]
+    df = spark.createDataFrame([(i, t, 1.5, "x") for i, t in enumerate(rows)], "doc_id long, text string, ratio double, chunks string")
+    got = {r.doc_id: r.verdict for r in quality_rules.compression_rules(df).collect()}
+    assert sum(got[i] != "ok" for i in range(1200)) <= 6
+    assert all(got[i] == "repetitive" for i in range(1200, 1240)) and [got[i] for i in range(1840, 1843)] == ["empty", "empty", "repetitive"]
+    limits = quality_rules.fit_limits(quality_rules.measure(df))
+    assert limits == quality_rules.fit_limits(quality_rules.measure(df.repartition(7)))
+    # The quartiles by hand, for every class of enough distinct texts.
+    press, by_class = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL), {}
+    for t in set(texts + tables):
+        n_words, *_, inside = brute_rules(t)
+        if n_words < 50 or 2 * inside > n_words:
+            continue
+        n, ratio, _ = quality_rules.compress(t, press)
+        by_class.setdefault(int(np.floor(4 * np.log2(n))), []).append(round(ratio, 3))
+    own = {}
+    for c, ratios in by_class.items():
+        if len(ratios) >= quality_rules.ENOUGH:
+            a, b = np.percentile(ratios, [25, 75])
+            own[c] = min(a - 2.5 * (b - a), a / 1.05), max(b + 2.5 * (b - a), b * 1.05)
+    for c, (low, high) in own.items():
+        if c - 1 in own and c + 1 in own:
+            low, high = min(low, (own[c - 1][0] + own[c + 1][0]) / 2), max(high, (own[c - 1][1] + own[c + 1][1]) / 2)
+        assert limits.low[c] == pytest.approx(low) and limits.high[c] == pytest.approx(high)
+    assert len(own) > 5 and quality_rules.fit_limits(quality_rules.measure(df.limit(0))) == quality_rules.Limits.fixed()
 
 
 def test_fits_bound_their_samples_by_parameters(spark, monkeypatch):
