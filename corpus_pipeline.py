@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9: later copies of repeated line runs go out of the texts; n_chars follows. No row goes; a text may become empty."""
-    return line_dedup.line_dedup(docs, counts=False, length_col="n_chars")
+    """Operator 9: later copies of repeated line runs go out of the texts, and documents that are nothing else; n_chars follows."""
+    return line_dedup.line_dedup(docs, counts=False, length_col="n_chars", keep_emptied=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fitting(n: int, most: int = 27) -> int:
+    """Bits for a bitmap of n keys, some 16 for each. At most 2 ** 27, which take 32 MB to broadcast; past that it fills up."""
+    return max(16, min(most, (16 * max(1, n) - 1).bit_length()))
+
+
 def bit_filter(keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
     """A bitmap with the bits of all values of the long column `key` set, as rows (_word, _bits).
 
@@ -24,3 +29,10 @@ def may_be_in(rows: DataFrame, key: str, bitmap: DataFrame, bits: int = 23) -> D
     slot = F.pmod(F.col(key), F.lit(1 << bits))
     marked = rows.withColumn("_word", (slot / 64).cast("long")).join(F.broadcast(bitmap), "_word")
     return marked.where(F.expr(f"shiftright(_bits, cast(pmod({key}, {1 << bits}) % 64 as int)) & 1L = 1L")).drop("_word", "_bits")
+
+
+def marked(rows: DataFrame, key: str, bitmap: DataFrame, bits: int, mark: str = "_may") -> DataFrame:
+    """All rows with a column that is true where the long column `key` has its bit set."""
+    slot = F.pmod(F.col(key), F.lit(1 << bits))
+    out = rows.withColumn("_word", (slot / 64).cast("long")).join(F.broadcast(bitmap), "_word", "left")
+    return out.withColumn(mark, F.expr(f"coalesce(shiftright(_bits, cast(pmod({key}, {1 << bits}) % 64 as int)) & 1L, 0L) = 1L")).drop("_word", "_bits")

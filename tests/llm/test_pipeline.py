@@ -18,13 +18,42 @@ def test_stages(spark, tmp_path):
             assert now.columns == docs.columns
         kept.append(now.collect())
     assert {r.doc_id for r in kept[0]} == {r[0] for r in rows if r[0] < 200}
-    assert len(kept[1]) == len(kept[0])
+    # Document 100 is nothing but a copy; those that were empty before stay.
+    assert {r.doc_id for r in kept[1]} == {r[0] for r in rows if r[0] < 200} - {100}
     assert {r.doc_id for r in kept[2]} == {r[0] for r in rows if r[0] < 200} - {100}
     words = sum(len(r.text.split()) for r in kept[3])
     assert abs(words - sum(len((r.text or "").split()) for r in kept[2])) <= 3 * 128
     assert len(kept[4]) == len(kept[3]) and all(r.n_tokens == len(r.ids) for r in kept[4])
 
 
+def test_stages_of_clashing_columns(spark, tmp_path):
+    names = ["score", "_text", "n_lines", "n_removed_lines", "n_runs", "longest_run", "n_toxic_tokens", "_cuts", "_id", "_th", "_node", "_k0", "_runs", "_doc", "_source", "size"]
+    long = "very " * 150_000 + "long"
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (2, None, None, None, None), (3, "", "en", None, 0), (4, long, "en", "b", len(long)), (None, "no id at all", "en", "a", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *(f"{i} as {n}" for i, n in enumerate(names)))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        now = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        if k < 4:
+            assert now.columns == docs.columns and all(r[n] == i for r in now.collect() for i, n in enumerate(names))
+    words = lambda t: len((t or "").split())
+    mixed = spark.read.parquet(str(tmp_path / "stage3")).collect()
+    near = spark.read.parquet(str(tmp_path / "stage2")).collect()
+    assert sorted(str(r.doc_id) for r in near) == ["1", "2", "3", "4", "None"]
+    assert abs(sum(words(r.text) for r in mixed) - sum(words(r.text) for r in near)) <= 3 * 128 and {r.doc_id for r in mixed} <= {1, 4, None}
+    assert now.count() == len(mixed)
+
+
+def test_stages_of_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.collect() == []
+
+
 def test_run_writes_each_stage(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     seen = []
