@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import RangeHash, arrow_batches, pieces, utf8
+from .textbytes import RangeHash, arrow_batches, pieces, tidy, utf8
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 #: Blanks for str.split() that are no blanks here.
@@ -163,6 +163,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     id_kind = docs.select(id_col).schema[0].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path)
         if encoder is None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .textbytes import arrow_batches, mix
+from .textbytes import arrow_batches, mix, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -139,6 +139,7 @@ def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_w
     shard_slots = max(1, min(shard_slots, total // LEAST_SHARDS))
     shards = -(-total // shard_slots)
 
+    @tidy
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for shard in b.column(0).to_pylist():
@@ -219,6 +220,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
     long_at = docs.columns.index(length_col) if length_col in docs.columns else None
     word = re.compile(WORD)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 from ..operators.graph import components
 from .bitmaps import bit_filter, may_be_in
-from .textbytes import RangeHash, arrow_batches, mix, pieces, powers, utf8, words
+from .textbytes import RangeHash, arrow_batches, mix, pieces, powers, tidy, utf8, words
 
 U64 = np.uint64
 SHINGLE = 5
@@ -214,6 +214,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     th = _text_hash(text_col)
     own = docs.select(F.col(id_col).alias("_id"), th.alias("_th"), F.col(text_col).alias("_text"))
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "_text"):
@@ -234,6 +235,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     nodes = cut(nodes)
 
+    @tidy
     def to_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = band_keys(np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, SIZE), bands, size)
@@ -253,6 +255,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = may_be_in(own.withColumn("_rk", F.xxhash64("_id", "_th")), "_rk", bit_filter(wanted, "_rk"))
     texts = some.join(wanted, (some["_rk"] == wanted["_rk"]) & some["_id"].eqNullSafe(wanted["_i"]) & (some["_th"] == wanted["_t"])).select("_node", "_text")
 
+    @tidy
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
@@ -260,6 +263,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     texts = cut(texts.mapInArrow(press, "_node binary, _z binary").groupBy("_node").agg(F.first("_z").alias("_z")))
 
+    @tidy
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         hub, bag = None, None
@@ -292,6 +296,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = mixed.select("_key", F.col("_main._label").alias("_main"), F.ceil(F.col("_main.n") / cell).cast("int").alias("_g"), F.ceil((F.col("_all") - F.col("_main.n")) / cell).cast("int").alias("_o"))
     left = cut(placed.join(mixed, "_key"))
 
+    @tidy
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
         for b in batches:
@@ -305,6 +310,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = left.withColumn("_other", F.explode(F.sequence(F.when(outside, F.lit(0)).otherwise(F.col("_g")), F.col("_g") + F.col("_o") - 1)))
     left = left.select("_key", F.least("_slot", "_other").alias("_lo"), F.greatest("_slot", "_other").alias("_hi"), "_band", "_slot", "_node", "_label", "_sig", "_bins", "_total")
 
+    @tidy
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(group: list[tuple]) -> pa.RecordBatch:
             lo, hi, band = group[0][1], group[0][2], group[0][3]

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .textbytes import arrow_batches, pieces
+from .textbytes import arrow_batches, pieces, tidy
 
 #: (bytes up to, least ratio, greatest ratio): the band of a text by its length, where the corpus has too few to tell.
 BANDS = ((200, 0.0, 3.0), (1000, 1.02, 3.2), (5000, 1.3, 3.6), (20000, 1.5, 4.0), (float("inf"), 1.6, 5.0))
@@ -104,6 +104,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_th"), F.col(f"`{text_col}`").alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=level)
         kinds = [pa.int64()] * 6 + [pa.float64(), pa.list_(pa.float64())]

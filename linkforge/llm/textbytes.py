@@ -1,12 +1,14 @@
 """Vectorised work on Arrow string columns: whole batches of UTF-8 text as one byte array.
 
-A text is never cut. Batches are walked in pieces of a few megabytes of whole rows, so that memory
+A text is never cut. Batches are walked in pieces of a megabyte of whole rows, so that memory
 stays bounded by the piece size or the longest single text, whichever is larger.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+#: Bytes of text that are worked on at once; arrays of several times 8 bytes for each of them are made.
+PIECE = 1 << 20
 
 
 def arrow_batches(spark, rows: int = 1000) -> None:
@@ -23,6 +27,23 @@ def arrow_batches(spark, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(run: Callable) -> Callable:
+    """`run` over batches, giving free memory back at its end: the worker lives on, and other stages need the room."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return whole
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and the n + 1 offsets of the rows in them; a null row is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -34,7 +55,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of whole rows with at most `limit` bytes of `column`, or one row if that alone has more."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.concatenate([[0], np.cumsum(lengths)])
@@ -122,7 +143,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(~_SPACE[data], offsets)
 
 
-def text_pieces(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_pieces(texts: list[str], limit: int = PIECE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(number of the first text, bytes, offsets) of pieces of a list of texts."""
     batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"])
     first = 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sample
-from .textbytes import RangeHash, arrow_batches, pieces, runs, text_pieces, utf8
+from .textbytes import RangeHash, arrow_batches, pieces, runs, text_pieces, tidy, utf8
 
 BITS = 22
 #: Bytes of the prefixes that are features; longer and shorter forms share them.
@@ -287,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows, _ = sample(docs, labels, label_col, per_class, id_col, text_col)
     arrow_batches(docs.sparkSession)
 
+    @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: list[str] = []
         y: list[int] = []
@@ -326,6 +327,7 @@ def _scored(docs: DataFrame, crf: Crf, keep: list[str], text_col: str, spans: bo
     kinds = {f.name: f.dataType.simpleString() for f in own.schema if f.name != "_text"}
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("p", pa.float64())]))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = crf.dense()
         for batch in batches:

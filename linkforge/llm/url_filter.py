@@ -13,6 +13,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .textbytes import tidy
 
 #: Sorts after every character of a host key.
 _LAST = "\U0010ffff"
@@ -42,33 +45,35 @@ def host_key(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "\x01"), F.lit("\x01"))
 
 
-def sweep(rules: list[tuple[str, str, str, int]], urls: Iterator[tuple[str, str]]) -> Iterator[int]:
-    """For each (key, path) in key order the number of the winning rule, or -1.
+class Sweep:
+    """Walks rules (key, path, number), sorted, along with keys that only grow.
 
-    rules: (key, path, label, number), sorted. The stack holds (key, [(path, number), ...]) of open intervals,
-    outermost first, so its top is the most specific host.
+    The stack holds (key, [(path, number), ...]) of open intervals, outermost first, so its top is the most specific host.
     """
-    stack: list[tuple[str, list[tuple[str, int]]]] = []
-    at = 0
-    for key, path in urls:
-        while at < len(rules) and rules[at][0] <= key:
-            rule_key, rule_path, _, number = rules[at]
+
+    def __init__(self, rules: list[tuple[str, str, int]]):
+        self.rules, self.at = rules, 0
+        self.stack: list[tuple[str, list[tuple[str, int]]]] = []
+
+    def winner(self, key: str, path: str) -> int:
+        """The number of the rule that wins, or -1."""
+        stack = self.stack
+        while self.at < len(self.rules) and self.rules[self.at][0] <= key:
+            rule_key, rule_path, number = self.rules[self.at]
             while stack and not rule_key.startswith(stack[-1][0]):
                 stack.pop()
             if stack and stack[-1][0] == rule_key:
                 stack[-1][1].append((rule_path, number))
             else:
                 stack.append((rule_key, [(rule_path, number)]))
-            at += 1
+            self.at += 1
         while stack and not key.startswith(stack[-1][0]):
             stack.pop()
-        won = -1
         for _, open_rules in reversed(stack):
             fits = [(len(p), -number) for p, number in open_rules if path.startswith(p)]
             if fits:
-                won = -max(fits)[1]
-                break
-        yield won
+                return -max(fits)[1]
+        return -1
 
 
 def url_filter(
@@ -96,7 +101,7 @@ def url_filter(
     own = own.select("_id", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
     own = own.withColumn("_key", F.when(F.col("host") == "", F.lit("")).otherwise(host_key(F.col("host"))))
     own = own.withColumn("_salt", F.xxhash64("_id", "host", "path"))
-    tidy = (
+    named = (
         rules.where("host is not null and path is not null")
         .groupBy("host", "path")
         .agg(F.min("action").alias("action"))
@@ -113,6 +118,7 @@ def url_filter(
     out_schema = pa.schema([("_range", pa.int32()), ("_key", pa.string())])
     page_kind = own.schema["_id"].dataType.simpleString()
 
+    @tidy
     def place_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = zip(b.column("_key").to_pylist(), b.column("_salt").to_pylist())
@@ -120,6 +126,7 @@ def url_filter(
             none = pa.nulls(b.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([where, b.column("_key"), pa.array([1] * b.num_rows, pa.int32()), b.column("_id"), b.column("host"), b.column("path"), none], names=list(placed))
 
+    @tidy
     def place_rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -130,41 +137,29 @@ def url_filter(
             kinds = (pa.int32(), pa.string(), pa.int32(), None, pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) if k else pa.nulls(len(rows), id_kind) for c, k in zip(columns, kinds)], names=list(placed))
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     id_kind = to_arrow_type(own.schema["_id"].dataType)
     placed = {"_range": "int", "_key": "string", "_page": "int", "_id": page_kind, "host": "string", "path": "string", "action": "string"}
     schema = ", ".join(f"`{k}` {v}" for k, v in placed.items())
-    both = own.mapInArrow(place_pages, schema).unionByName(tidy.mapInArrow(place_rules, schema))
+    both = own.mapInArrow(place_pages, schema).unionByName(named.mapInArrow(place_rules, schema))
     dealt = both.repartition(ranges, "_range").sortWithinPartitions("_range", "_page", "_key", "path")
 
+    @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Within a range the rules come first, in key order, then the pages, in key order.
-        here: list[tuple[str, str, str, int]] = []
+        # Within a range the rules come first, in key order, then the pages, in key order. Batches cut ranges anywhere.
         labels: list[tuple[str, str]] = []
-        current = None
+        sweep, current = Sweep([]), None
         for b in batches:
-            rows = list(zip(*(b.column(c).to_pylist() for c in placed)))
             ids, out = [], []
-            start = 0
-            while start < len(rows):
-                number, is_page = rows[start][0], rows[start][2]
-                stop = start
-                while stop < len(rows) and rows[stop][0] == number and rows[stop][2] == is_page:
-                    stop += 1
-                part = rows[start:stop]
+            for number, key, is_page, page, host, path, action in zip(*(b.column(c).to_pylist() for c in placed)):
                 if number != current:
-                    here, labels, current = [], [], number
+                    labels, sweep, current = [], Sweep([]), number
                 if not is_page:
-                    for _, key, _, _, host, path, action in part:
-                        here.append((key, path, action, len(labels)))
-                        labels.append((f"{host}{path}", action))
+                    sweep.rules.append((key, path, len(labels)))
+                    labels.append((f"{host}{path}", action))
                 else:
-                    won = sweep(here, ((r[1], r[5]) for r in part))
-                    for r, w in zip(part, won):
-                        ids.append(r[3])
-                        out.append((r[4], r[5], *(labels[w] if w >= 0 else (None, default))))
-                start = stop
+                    won = sweep.winner(key, path)
+                    ids.append(page)
+                    out.append((host, path, *(labels[won] if won >= 0 else (None, default))))
             columns = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind), *(pa.array(c, pa.string()) for c in columns)], names=["_id", "host", "path", "rule", "verdict"])
 

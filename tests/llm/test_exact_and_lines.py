@@ -172,6 +172,12 @@ def test_url_filter_against_brute_force(spark):
         for r in got:
             if r.page_id is not None:
                 assert (r.host, r.path, r.rule, r.verdict) == brute_url(urls[r.page_id]), urls[r.page_id]
+    # Ranges go on over the ends of batches; ties of rules and very long urls are judged as well.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    long = spark.createDataFrame([(9000, "http://www.example.com/en/" + "x" * 1_000_000, "h")], pages.schema)
+    small = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages.union(long), rules, ranges=2).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(small[i] == brute_url(u) for i, u in enumerate(urls)) and small[9000][2:] == ("www.example.com/en/", "allow")
     empty = url_filter.url_filter(pages, rules.limit(0)).select("verdict", F.col("rule").isNull().alias("n")).distinct().collect()
     assert [tuple(r) for r in empty] == [("allow", True)]
     assert url_filter.url_filter(pages.limit(0), rules).collect() == []
