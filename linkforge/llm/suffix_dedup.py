@@ -9,6 +9,10 @@ before, and the rest) and exchanged by anchor. Each range merges its runs with a
 remember common prefix lengths. Equal suffixes come out side by side and tell which windows have an
 earlier document.
 
+An anchor that very many suffixes have is hot. Its windows are sorted one by one, so that they spread over the ranges, and of
+equal windows a piece sends one, with the least of its ids. What comes back is one bit: whether the least of all is smaller.
+So the places of a hot window never meet, however many there are.
+
 Stages talk in pieces: a piece is a compressed block of whole documents with a key of its own, written once.
 """
 
@@ -24,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
-from .textbytes import RangeHash, arrow_batches, mix, pieces, rolling, utf8
+from .textbytes import RangeHash, arrow_batches, mix, pieces, rolling, tidy, utf8
 
 U64 = np.uint64
 ANCHOR = 24
 _POSITION = U64((1 << 28) - 1)
-#: An anchor with more occurrences than this in one range is sorted window by window, so that its windows spread.
+#: An anchor with more occurrences than this in one range is sorted window by window.
 HOT = 20_000
 #: Of the suffix records that one run holds.
 RUN = 150_000
@@ -108,6 +112,28 @@ def unpack(block: bytes) -> list[np.ndarray]:
     return out
 
 
+def numbered(data: np.ndarray, start: np.ndarray, length: int, name: np.ndarray) -> np.ndarray:
+    """A number for each window of `length` bytes, the same for equal ones only. name: hashes, which are held against the bytes."""
+    _, first, number = np.unique(name, return_index=True, return_inverse=True)
+    windows, like = np.lib.stride_tricks.sliding_window_view(data, length), start[first][number]
+    for i in range(0, len(start), 8192):
+        if (windows[start[i : i + 8192]] != windows[like[i : i + 8192]]).any():  # two hashes met
+            return np.unique(np.ascontiguousarray(windows[start]).view(f"S{length}").ravel(), return_inverse=True)[1]
+    return number
+
+
+def hot_windows(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The windows of hot anchors of a piece: (start, row, number) of each; (one of them, its anchor, least id) of each number."""
+    n = last - first + 1
+    start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    row, at = np.repeat(row, n), np.repeat(at, n)
+    number = numbered(data, start, length, RangeHash(data, 47)(start, start + length))
+    _, one = np.unique(number, return_index=True)
+    least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(least, number, ids[row])
+    return start, row, number, start[one], at[one], least
+
+
 def suffix_keys(data: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """Keys as byte strings of one width: the suffix from the anchor, the bytes before it in reverse, and the lengths of both.
 
@@ -233,10 +259,10 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
         winner, shared = cand, h
 
 
-def _windows(keys: list[bytes], group: np.ndarray, key_of: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(keys: list[bytes], key_of: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, from, to) of stretches of repeated windows, for keys of anchors that have several keys.
 
-    Places that have key k come with `key_of` k; a window is known by its group and its bytes.
+    Places that have key k come with `key_of` k; a window is known by its bytes.
     """
     table = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), -1)
     before = length - ANCHOR
@@ -251,9 +277,8 @@ def _windows(keys: list[bytes], group: np.ndarray, key_of: np.ndarray, ids: np.n
     key = np.repeat(np.arange(len(keys)), count)
     start = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count)
     where = begin[:-1][key] + start
-    # What a window is: its bytes, its anchor and how far that is from its start.
-    name = RangeHash(text, 43)(where, where + length) ^ mix(group[key].astype(U64) * U64(256) + (left[key] - start).astype(U64))
-    _, number = np.unique(name, return_inverse=True)
+    # Equal windows have equal anchors at equal places, so the bytes tell them apart.
+    number = numbered(text, where, length, RangeHash(text, 43)(where, where + length))
     least_of_key = np.full(len(keys), _NO_ID)
     np.minimum.at(least_of_key, key_of, ids)
     least = np.full(number.max() + 1, _NO_ID)
@@ -272,18 +297,18 @@ def _windows(keys: list[bytes], group: np.ndarray, key_of: np.ndarray, ids: np.n
     return place[new], step[new], step[stop] + length
 
 
-def resolve(blocks: list[bytes], length: int) -> list[np.ndarray]:
-    """Merges runs and gives (piece, row, from, to) of all stretches that an earlier document has."""
+def resolve(blocks: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Merges runs and gives (piece, row, from, to) of all stretches that an earlier document has, and (piece, number) of hot windows that an earlier piece has."""
     runs = [Run(b) for b in blocks]
     ids, piece, row, first = (np.concatenate([r.places[c] for r in runs]) for c in range(4))
     base = np.concatenate([[0], np.cumsum([len(r.places[0]) for r in runs])]).tolist()
     out: list[tuple[np.ndarray, ...]] = []
+    hot: list[tuple[np.ndarray, ...]] = []
     # Spans of places, with the number of their key: of keys alone with their anchor, and of the others.
     alone: list[tuple[int, int, int]] = []
     several: list[tuple[int, int, int]] = []
-    lone_keys: list[bytes] = []
+    lone: list[tuple[int, bool]] = []
     keys: list[bytes] = []
-    groups: list[int] = []
     held = 0
 
     def spread(spans: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -297,40 +322,41 @@ def resolve(blocks: list[bytes], length: int) -> list[np.ndarray]:
         held = 0
         if alone:
             at, key = spread(alone)
-            least = np.full(len(lone_keys), _NO_ID)
+            least = np.full(len(lone), _NO_ID)
             np.minimum.at(least, key, ids[at])
-            size = np.array([k[-1] + k[-2] for k in lone_keys])
+            size, is_hot = (np.array(c) for c in zip(*lone))
             hit = ids[at] > least[key]
             at, key = at[hit], key[hit]
-            out.append((piece[at], row[at], first[at], first[at] + size[key]))
+            cold = ~is_hot[key]
+            out.append((piece[at[cold]], row[at[cold]], first[at[cold]], first[at[cold]] + size[key[cold]]))
+            hot.append((piece[at[~cold]], row[at[~cold]]))
             alone.clear()
-            lone_keys.clear()
+            lone.clear()
         if several:
             at, key = spread(several)
-            place, begin, end = _windows(keys, np.array(groups), key, ids[at], length)
+            place, begin, end = _windows(keys, key, ids[at], length)
             at = at[place]
             out.append((piece[at], row[at], first[at] + begin, first[at] + end))
-            for done in (several, keys, groups):
-                done.clear()
+            several.clear()
+            keys.clear()
 
-    def close(group: list[tuple[bytes, list]]) -> None:
+    def close(group: list[tuple[bytes, list]], is_hot: bool) -> None:
         nonlocal held
         held += sum(b - a for _, places in group for a, b in places)
         if len(group) == 1:
             key, places = group[0]
             if len(places) > 1 or places[0][1] - places[0][0] > 1:
-                alone.extend((a, b, len(lone_keys)) for a, b in places)
-                lone_keys.append(key)
+                alone.extend((a, b, len(lone)) for a, b in places)
+                lone.append((key[-1] + key[-2], is_hot))
         else:
-            number = groups[-1] + 1 if groups else 0
             for key, places in group:
                 several.extend((a, b, len(keys)) for a, b in places)
                 keys.append(key)
-                groups.append(number)
         if held > 50_000:
             flush()
 
     group: list[tuple[bytes, list]] = []
+    was_hot = False
     for number, shared in merge(runs):
         run = runs[number]
         a, b = run.place()
@@ -340,13 +366,15 @@ def resolve(blocks: list[bytes], length: int) -> list[np.ndarray]:
             continue
         # A hot anchor's keys are single windows: each is a group by itself.
         if group and (shared < ANCHOR or run.hot[run.at]):
-            close(group)
+            close(group, was_hot)
             group = []
         group.append((run.key, [place]))
+        was_hot = run.hot[run.at]
     if group:
-        close(group)
+        close(group, was_hot)
     flush()
-    return [np.concatenate([o[c] for o in out]) for c in range(4)] if out else [np.zeros(0, np.int64)] * 4
+    join = lambda parts, n: [np.concatenate([o[c] for o in parts]) for c in range(n)] if parts else [np.zeros(0, np.int64)] * n
+    return join(out, 4), join(hot, 2)
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, piece_bytes: int = 1 << 20, range_bytes: int = 16 << 20, hot_from: int = HOT, with_text: bool = False) -> DataFrame:
@@ -355,14 +383,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes when a string of `length` bytes that covers it also starts in a row with a smaller id; strings are
     judged on the input. Texts are UTF-8 bytes, a null text is empty, and no string crosses two texts. Rows with
     equal ids never count as earlier than one another, and a null id comes after all others. Texts shorter than
-    `length` stay whole. An empty table gives an empty result; other columns are ignored. Ids are integers.
+    `length` stay whole. An empty table gives an empty result; other columns are ignored. Ids are integers; a table
+    with others needs numbers first. Ranges hold some range_bytes of text each; past 65 536 of them they grow with the input.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     id_kind = docs.select(id_col).schema[0].dataType.simpleString()
+    if id_kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} is of type {id_kind}; documents are ordered by integer ids")
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     total = own.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    ranges = 16
+    ranges = 2
     while ranges * range_bytes < total and ranges < 1 << 16:
         ranges *= 2
     piece_bytes = max(piece_bytes, ranges << 10)  # so that a piece has some 70 anchors for each range
@@ -370,6 +401,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = np.uint16 if ranges <= 1 << 16 else np.uint32  # sorts by radix
     hash_range = lambda h: (h >> U64(64 - bits)).astype(np.int64)
 
+    @tidy
     def to_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Small batches are gathered, so that a piece is about as large as it may be.
         held: list[pa.RecordBatch] = []
@@ -399,6 +431,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stored = own.mapInArrow(to_pieces, "_piece long, _block binary").withColumn("_piece", F.xxhash64("_piece", F.monotonically_increasing_id()))
     stored = cut(stored)
 
+    @tidy
     def to_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, block in zip(b.column(0).to_pylist(), b.column(1)):
@@ -411,6 +444,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 full = np.flatnonzero(np.diff(ends))
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([key] * len(full), pa.int64()), pa.array([small[ends[r] : ends[r + 1]].tobytes() for r in full], pa.binary())], names=["_range", "_piece", "_hashes"])
 
+    @tidy
     def to_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _by_first(batches):
             parts = [np.frombuffer(r[1], np.uint32) for r in rows]
@@ -423,8 +457,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hashes = stored.mapInArrow(to_hashes, "_range long, _piece long, _hashes binary")
     marks = hashes.repartition(ranges, "_range").sortWithinPartitions("_range").mapInArrow(to_marks, "_piece long, _range long, _marks binary")
-    marks = marks.groupBy("_piece").agg(F.sort_array(F.collect_list(F.struct("_range", "_marks"))).alias("_marks"))
+    marks = cut(marks.groupBy("_piece").agg(F.sort_array(F.collect_list(F.struct("_range", "_marks"))).alias("_marks")))
+
+    def marked(anchored: tuple, marks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges and marks of a piece's anchors."""
+        where = hash_range(anchored[4])
+        mark = np.empty(len(where), np.uint8)
+        mark[np.argsort(where.astype(narrow), kind="stable")] = np.frombuffer(b"".join(m["_marks"] for m in marks), np.uint8)
+        return where, mark
 
+    @tidy
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -439,54 +481,66 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([block], pa.binary())], names=["_range", "_run"])
 
         for b in batches:
-            for key, block, marked in zip(b.column("_piece").to_pylist(), b.column("_block"), b.column("_marks").to_pylist()):
+            for key, block, marked_ranges in zip(b.column("_piece").to_pylist(), b.column("_block"), b.column("_marks").to_pylist()):
                 data, offsets, ids, _ = unpack(block.as_py())
-                at, first, last, row, hashed = anchors(data, offsets, length)
-                if not len(at):
+                found = anchors(data, offsets, length)
+                if not len(found[0]):
                     continue
-                where = hash_range(hashed)
-                mark = np.empty(len(at), np.uint8)
-                mark[np.argsort(where.astype(narrow), kind="stable")] = np.frombuffer(b"".join(m["_marks"] for m in marked), np.uint8)
-                for hot in (False, True):
-                    pick = np.flatnonzero(mark == 1 + hot)
-                    p, q, lo, hi = row[pick], at[pick], first[pick], last[pick]
-                    to = where[pick]
-                    if hot and len(pick):
-                        n = hi - lo + 1
-                        lo = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                        hi, q, p = lo, np.repeat(q, n), np.repeat(p, n)
-                        to = hash_range(RangeHash(data, 47)(lo, lo + length))
-                    if len(q):
-                        held.append((suffix_keys(data, q, lo, hi, length), ids[p], np.full(len(q), key), p, lo - offsets[p], np.full(len(q), hot), to))
-                        size += len(q)
+                where, mark = marked(found, marked_ranges)
+                at, first, last, row, _ = found
+                pick = np.flatnonzero(mark == 1)
+                if len(pick):
+                    p, q = row[pick], at[pick]
+                    held.append((suffix_keys(data, q, first[pick], last[pick], length), ids[p], np.full(len(q), key), p, first[pick] - offsets[p], np.zeros(len(q), bool), where[pick]))
+                    size += len(q)
+                pick = np.flatnonzero(mark == 2)
+                if len(pick):
+                    *_, one, q, least = hot_windows(data, at[pick], first[pick], last[pick], row[pick], ids, length)
+                    to = hash_range(RangeHash(data, 47)(one, one + length))
+                    held.append((suffix_keys(data, q, one, one, length), least, np.full(len(q), key), np.arange(len(q)), np.zeros(len(q), np.int64), np.ones(len(q), bool), to))
+                    size += len(q)
                 if size >= RUN:
                     yield from give()
                     held, size = [], 0
         if held:
             yield from give()
 
+    @tidy
     def to_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_first(batches):
-            found = resolve([r[0] for r in rows], length)
-            order = np.argsort(found[0], kind="stable")
-            piece, *rest = (f[order] for f in found)
-            new = np.flatnonzero(np.diff(piece, prepend=piece[:1] - 1 if len(piece) else 0)) if len(piece) else np.zeros(0, int)
-            blocks = [pack([x[a:b].astype(np.int32) for x in rest]) for a, b in zip(new, [*new[1:], len(piece)])]
-            yield pa.RecordBatch.from_arrays([pa.array(piece[new], pa.int64()), pa.array(blocks, pa.binary())], names=["_piece", "_cuts"])
+            # A block of one array holds numbers of hot windows, one of three holds stretches.
+            for found in resolve([r[0] for r in rows], length):
+                order = np.argsort(found[0], kind="stable")
+                piece, *rest = (f[order] for f in found)
+                new = np.flatnonzero(np.diff(piece, prepend=piece[:1] - 1 if len(piece) else 0)) if len(piece) else np.zeros(0, int)
+                blocks = [pack([x[a:b].astype(np.int32) for x in rest]) for a, b in zip(new, [*new[1:], len(piece)])]
+                yield pa.RecordBatch.from_arrays([pa.array(piece[new], pa.int64()), pa.array(blocks, pa.binary())], names=["_piece", "_cuts"])
 
     runs = stored.join(marks, "_piece").select("_piece", "_block", "_marks").mapInArrow(to_runs, "_range long, _run binary")
     stretches = runs.repartition(ranges, "_range").sortWithinPartitions("_range").mapInArrow(to_stretches, "_piece long, _cuts binary")
     stretches = stretches.groupBy("_piece").agg(F.collect_list("_cuts").alias("_cuts"))
 
+    @tidy
     def to_result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, cuts in zip(b.column("_block"), b.column("_cuts").to_pylist()):
+            for block, marked_ranges, cuts in zip(b.column("_block"), b.column("_marks").to_pylist(), b.column("_cuts").to_pylist()):
                 data, offsets, ids, null = unpack(block.as_py())
                 level = np.zeros(len(data) + 1, np.int32)
-                for c in cuts or []:
-                    row, begin, end = unpack(c)
-                    np.add.at(level, offsets[row] + begin, 1)
-                    np.add.at(level, offsets[row] + end, -1)
+                earlier = [np.zeros(0, np.int32)]
+                for c in map(unpack, cuts or []):
+                    if len(c) == 1:
+                        earlier += c
+                    else:
+                        row, begin, end = c
+                        np.add.at(level, offsets[row] + begin, 1)
+                        np.add.at(level, offsets[row] + end, -1)
+                if any(b"\x02" in m["_marks"] for m in marked_ranges or []):
+                    found = anchors(data, offsets, length)
+                    at, first, last, row = (x[marked(found, marked_ranges)[1] == 2] for x in found[:4])
+                    start, row, number, _, _, least = hot_windows(data, at, first, last, row, ids, length)
+                    hit = np.isin(number, np.concatenate(earlier)) | (ids[row] > least[number])
+                    np.add.at(level, start[hit], 1)
+                    np.add.at(level, start[hit] + length, -1)
                 gone = np.cumsum(level[:-1]) > 0
                 raw, made = data, []
                 for r in range(len(ids)):
@@ -502,7 +556,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    result = stored.join(stretches, "_piece", "left").select("_block", "_cuts").mapInArrow(to_result, schema)
+    result = stored.join(marks, "_piece", "left").join(stretches, "_piece", "left").select("_block", "_marks", "_cuts").mapInArrow(to_result, schema)
     return result.select(F.col("_id").cast(id_kind).alias(id_col), *result.columns[1:])
 
 

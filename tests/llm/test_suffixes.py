@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from linkforge.llm import suffix_dedup as sd
 
@@ -57,6 +58,33 @@ def test_against_brute_force(spark):
     assert sd.suffix_dedup(df.limit(0)).collect() == []
 
 
+def test_hot_passages_and_long_texts(spark):
+    # A passage in every document, ids that repeat over pieces, nulls and a text of a megabyte that holds it often.
+    random.seed(9)
+    passage = "a passage that every single document has, of far more than fifty bytes in all"
+    rows = [(random.choice([None, i, i // 3]), f"{i} " * random.randint(0, 40) + passage + f" {i}" * random.randint(0, 5)) for i in range(300)]
+    rows += [(150, " ".join(f"x{j} {passage if j % 500 == 0 else j}" for j in range(60_000)))]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, _id int, _marks int").repartition(4)
+    want = brute(rows)
+    for hot_from in (3, 100, 1 << 40):
+        assert sorted(map(tuple, sd.suffix_dedup(df, piece_bytes=3000, hot_from=hot_from).collect()), key=str) == want, hot_from
+
+
+def test_windows_whose_hashes_meet_are_told_apart_by_their_bytes():
+    data = np.frombuffer(b"abcabcabdabc\x00\x00\x00", np.uint8)
+    start = np.arange(len(data) - 2)
+    for name in (np.zeros(len(start), np.uint64), np.array([hash(data[s : s + 3].tobytes()) % (1 << 60) for s in start], np.uint64)):
+        number = sd.numbered(data, start, 3, name)
+        for i in start:
+            for j in start:
+                assert (number[i] == number[j]) == (data[i : i + 3].tobytes() == data[j : j + 3].tobytes())
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError, match="integer"):
+        sd.suffix_dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_kept_bytes(spark):
     passage = "one passage that is certainly longer than fifty bytes, in both of the texts"
     got = {r.doc_id: bytes(r.kept) for r in sd.suffix_dedup(spark.createDataFrame([(1, passage), (2, f"before {passage} after")], "doc_id int, text string"), with_text=True).collect()}
