@@ -44,9 +44,3 @@ def similarity(a: Column, b: Column, tolerance: float = 20.0) -> Column:
         .when(apart <= F.lit(float(tolerance)), close)
         .otherwise(F.lit(0.0))
     )
-
-
-def leading_number(size: Column) -> Column:
-    """The first number in a size text, or null."""
-    found = F.regexp_extract(F.coalesce(size.cast("string"), F.lit("")), r"(\d*\.?\d+)", 1)
-    return F.when(found != "", found.try_cast("double"))

@@ -6,8 +6,7 @@ take scores of all in-group pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,32 +32,47 @@ def in_group_pairs(members: DataFrame) -> DataFrame:
     return a.join(members.select("group_key", F.col("member_id").alias("dst")), "group_key").where("src < dst")
 
 
-def conservative_split(members: DataFrame, pair_scores: DataFrame, threshold: float) -> DataFrame:
+def scores_within(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
+    """The known scores of the pairs that lie in one group, with that group's key. Groups must be parts of those that were scored."""
+    a = members.select(F.col("group_key").alias("_a"), F.col("member_id").alias("src"))
+    b = members.select(F.col("group_key").alias("_b"), F.col("member_id").alias("dst"))
+    return pair_scores.select("src", "dst", "score").join(a, "src").join(b, "dst").where("_a = _b").select(F.col("_a").alias("group_key"), "src", "dst", "score")
+
+
+def conservative_split(members: DataFrame, pair_scores: DataFrame, threshold: float | None = None) -> DataFrame:
     """Splits groups of three and more around representatives, one component at a time.
 
-    Over and over the member with the highest mean score to the remaining ones, smallest id first, takes all that
-    score at least the threshold with it; what it takes is a group if it is more than one.
-    pair_scores: (group_key, src, dst, score) of all pairs inside groups.
+    Over and over the member with the highest mean score to the remaining ones (to six decimals), smallest id first, takes
+    all that score at least the threshold with it; what it takes is a group if it is more than one.
+    pair_scores: (group_key, src, dst, score) of all pairs inside groups, and `threshold` where each pair brings its own.
     """
     kind = members.schema["member_id"].dataType.simpleString()
+    key = members.schema["group_key"].dataType.simpleString()
 
     def split(frame: pd.DataFrame) -> pd.DataFrame:
-        score: dict = {}
-        for a, b, s in zip(frame["src"], frame["dst"], frame["score"]):
-            score.setdefault(a, {})[b] = s
-            score.setdefault(b, {})[a] = s
-        rest, out = sorted(score), []
-        if len(score) <= 2:
-            out = [(rest[0], m) for m in rest]
-        while len(score) > 2 and len(rest) > 1:
-            best = max(rest, key=lambda m: (sum(score[m].get(o, 0.0) for o in rest if o != m) / max(1, len(rest) - 1), -rest.index(m)))
-            cluster = [m for m in rest if m == best or score[best].get(m, 0.0) >= threshold]
-            if len(cluster) > 1:
-                out += [(min(cluster), m) for m in cluster]
-            rest = [m for m in rest if m not in set(cluster)]
-        return pd.DataFrame(out, columns=["group_key", "member_id"])
-
-    return pair_scores.groupBy("group_key").applyInPandas(split, f"group_key {kind}, member_id {kind}")
+        ids = np.unique(np.concatenate([frame["src"].to_numpy(), frame["dst"].to_numpy()]))
+        at, to = np.searchsorted(ids, frame["src"].to_numpy()), np.searchsorted(ids, frame["dst"].to_numpy())
+        least = threshold if threshold is not None else float(frame["threshold"].iloc[0])
+        score = np.zeros((len(ids), len(ids)))
+        score[at, to] = score[to, at] = frame["score"].to_numpy()
+        rest, total, out = np.ones(len(ids), bool), score.sum(1), []
+        if len(ids) <= 2:
+            out, rest = [(0, m) for m in range(len(ids))], ~rest
+        while rest.sum() > 1:
+            mean = np.where(rest, np.round(total / (rest.sum() - 1), 6), -1.0)
+            best = int(mean.argmax())
+            cluster = rest & (score[best] >= least)
+            cluster[best] = True
+            if cluster.sum() > 1:
+                out += [(int(cluster.argmax()), m) for m in np.flatnonzero(cluster)]
+            rest &= ~cluster
+            total -= score[:, cluster].sum(1)
+        names = ids.tolist()
+        made = pd.DataFrame({"group_key": [names[a] for a, _ in out], "member_id": [names[b] for _, b in out]})
+        made["component"] = pd.Series([frame["group_key"].iloc[0]] * len(made), dtype=object)
+        return made
+
+    return pair_scores.groupBy("group_key").applyInPandas(split, f"group_key {kind}, member_id {kind}, component {key}")
 
 
 def representatives(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
@@ -81,9 +95,9 @@ def group_id(number):
 
 
 def filter_groups(groups: DataFrame, min_group_size: int = 2, max_groups: int | None = None, sort_by: str = "size") -> DataFrame:
-    """Groups of a least size, sorted by size, avg_similarity or min_similarity, the first `max_groups` of them."""
-    order = {"size": "group_size"}.get(sort_by, sort_by)
-    out = groups.where(F.col("group_size") >= min_group_size).orderBy(F.desc(order), "group_key")
+    """Groups of a least size, sorted by size, avg_similarity or min_similarity, the first `max_groups` of them; ties go by the smallest member."""
+    order = F.col("group_size") if sort_by == "size" else F.round(sort_by, 6)
+    out = groups.where(F.col("group_size") >= min_group_size).orderBy(order.desc(), "group_key")
     return out.limit(max_groups) if max_groups else out
 
 

@@ -1,13 +1,22 @@
 """Matching: pairs of rows whose blended score reaches a threshold.
 
-Names are scored once for each pair of distinct texts, and only for pairs that can reach the threshold. Where the
-fuzzy ratio alone cannot lift a pair over it, which holds for the usual settings, pairs must share a token or a
-barcode, so candidates come from equi-joins. Only below that bound is every pair of distinct texts scored.
+Names are scored once for each pair of distinct texts, and only for pairs that can reach the threshold. Candidates come
+from equi-joins, and none of them loses a pair:
+
+- Where the fuzzy ratio alone cannot lift a pair over the threshold, the term vectors must have some least cosine. The
+  frequent terms of a name whose weights together fall short of it need not be looked up, so pairs meet on their rare terms.
+- Otherwise pairs that share a token meet on it, and pairs that share none must have much alike letters and, where sizes
+  count, much alike sizes. They meet on one of their rarer letters, numbered by occurrence, within a band of sizes.
+- Pairs that share a barcode are added whatever their texts.
+
+Only a threshold that every pair reaches makes all pairs candidates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gtin, sizes
@@ -17,6 +26,9 @@ from ..lineage import cut
 from ..plans.settings import MatchSettings
 from . import fuzzy, score, tfidf
 
+#: Scores are rounded to four decimals; bounds leave more room than that.
+_ROUNDING = 0.001
+
 
 def distinct_texts(*sides: DataFrame) -> DataFrame:
     """(text, rows) over all sides: one corpus, as the vocabulary is fitted to both tables together."""
@@ -27,24 +39,79 @@ def distinct_texts(*sides: DataFrame) -> DataFrame:
 
 
 def text_vectors(left: DataFrame, right: DataFrame, settings: MatchSettings) -> DataFrame:
-    """(text, vector) of all names. A table matched with itself counts each of its rows on both sides."""
+    """(text, vector, by_rarity) of all names. A table matched with itself counts each of its rows on both sides."""
     stop = ENGLISH if settings.remove_stop_words else ()
     # A row for each distinct name, read several times: written once.
     return cut(tfidf.vectors(tfidf.weights(distinct_texts(left, right), stop_words=stop)))
 
 
-def text_pairs(left: DataFrame, right: DataFrame, vectors: DataFrame, settings: MatchSettings, restricted: bool = False) -> DataFrame:
-    """(left_text, right_text, tfidf_score, fuzzy_score) of the pairs of distinct texts that can reach the threshold by text."""
+def text_pairs(left: DataFrame, right: DataFrame, vectors: DataFrame, settings: MatchSettings, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(left_text, right_text, tfidf_score, fuzzy_score) of the pairs of distinct texts that can reach the threshold by text.
+
+    keys: columns in which both rows must agree.
+    """
     s = settings
-    a = left.select(F.col("name").alias("left_text")).distinct()
-    b = right.select(F.col("name").alias("right_text")).distinct()
-    # A barcode can lift any text pair; such pairs are added by gtin_pairs and get their text scores with the others.
-    if s.threshold >= score.text_bound(s.w_tfidf, s.w_fuzzy, 0.0, s.w_size) or s.mode == "candidates":
-        shared = lambda df, c: df.select(c, F.explode(tokens(F.lower(c))).alias("token"))
-        pairs = shared(a, "left_text").join(shared(b, "right_text"), "token").select("left_text", "right_text").distinct()
+    side = lambda df, c: df.select(F.col("name").alias(c), *keys).distinct()
+    a, b = side(left, "left_text"), side(right, "right_text")
+    need = score.least_cosine(s.threshold, s.w_tfidf, s.w_fuzzy, s.w_size)
+    if s.mode != "candidates" and s.w_tfidf and need > _ROUNDING:
+        rare = vectors.select("text", F.explode(tfidf.prefix(F.col("by_rarity"), (need - _ROUNDING) / 100)).alias("token"))
+        of = lambda df, c: df.join(rare.withColumnRenamed("text", c), c)
+        pairs = of(a, "left_text").join(of(b, "right_text"), ["token", *keys])
+    elif s.mode != "candidates" and s.threshold <= 0:
+        pairs = a.join(b, list(keys)) if keys else a.crossJoin(b)
     else:
-        pairs = a.crossJoin(b)
-    return text_scores(pairs, vectors, s, prune=True)
+        shared = lambda df, c: df.select(c, *keys, F.explode(tokens(F.lower(c))).alias("token"))
+        pairs = shared(a, "left_text").join(shared(b, "right_text"), ["token", *keys])
+        if s.mode != "candidates" and s.threshold < score.text_bound(s.w_tfidf, s.w_fuzzy, 0.0, s.w_size):
+            pairs = pairs.select("left_text", "right_text").unionByName(strangers(left, right, s, keys))
+    return text_scores(cut(pairs.select("left_text", "right_text").distinct()), vectors, s, prune=True)
+
+
+def letters(text: Column) -> Column:
+    """The letters of a name's distinct sorted tokens, each with the number of its occurrence, so that all differ."""
+    chars = F.split(F.array_join(F.array_sort(tokens(text)), " "), "")
+    nth = lambda c, i: F.size(F.filter(F.slice(chars, 1, i + 1), lambda d: d == c))
+    return F.filter(F.transform(chars, lambda c, i: F.when(c != "", F.concat(c, nth(c, i).cast("string")))), lambda x: x.isNotNull())
+
+
+def strangers(left: DataFrame, right: DataFrame, settings: MatchSettings, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(left_text, right_text) of all pairs that can reach the threshold without sharing a token, and of some others.
+
+    The ratio of such a pair is twice the longest common subsequence over both lengths. That cannot exceed the letters in
+    common, so a name shares one of its rarest letters: as many as it may miss, and one.
+    """
+    s = settings
+    fuzzy_need = score.least_fuzzy(s.threshold, s.w_tfidf, s.w_fuzzy, s.w_size) - _ROUNDING
+    size_need = score.least_size(s.threshold, s.w_tfidf, s.w_fuzzy, s.w_size) - _ROUNDING
+    by_size, by_letter = size_need > 0, fuzzy_need > 0
+    side = lambda df, p: df.select(F.col("name").alias(f"{p}_text"), *keys, *([F.col("size_base").alias("_base")] if by_size else [])).distinct()
+    a, b = side(left, "left"), side(right, "right")
+    on = list(keys)
+    if by_size:
+        # Amounts that are alike enough lie in the same or in neighbouring bands of a logarithmic scale.
+        width = -math.log(max(1e-9, 1 - s.size_tolerance * (1 - size_need / 100) / 100)) if s.size_tolerance < 100 else None
+        band = F.when(F.col("_base") == 0, F.lit(-(1 << 40))).otherwise(F.floor(F.log("_base") / width) if width else F.lit(0)).cast("long")
+        a = a.where("_base is not null").withColumn("_band", band)
+        b = b.where("_base is not null").withColumn("_band", F.explode(F.array(band - 1, band, band + 1)))
+        a, b = a.drop("_base").distinct(), b.drop("_base").distinct()
+        on.append("_band")
+    if by_letter:
+        texts = distinct_texts(left, right).select("text", letters(F.col("text")).alias("letters"))
+        frequent = texts.select(F.explode("letters").alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+        ranked = texts.select("text", F.explode("letters").alias("letter")).join(frequent, "letter")
+        ranked = cut(ranked.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("n", "letter"))).alias("letters")))
+        part = fuzzy_need / 100 / (2 - fuzzy_need / 100)
+        few = F.slice("letters", 1, F.size("letters") - F.ceil(F.size("letters") * F.lit(part)).cast("int") + 1)
+        rare = ranked.select("text", F.explode(F.transform(few, lambda x: x["letter"])).alias("_letter"))
+        of = lambda df, c: df.join(rare.withColumnRenamed("text", c), c)
+        pairs = of(a, "left_text").join(of(b, "right_text"), ["_letter", *on]).select("left_text", "right_text").distinct()
+        every = lambda c, name: ranked.select(F.col("text").alias(c), F.transform("letters", lambda x: x["letter"]).alias(name))
+        pairs = pairs.join(every("left_text", "_a"), "left_text").join(every("right_text", "_b"), "right_text")
+        pairs = pairs.where(200 * F.size(F.array_intersect("_a", "_b")) >= fuzzy_need * (F.size("_a") + F.size("_b")))
+    else:
+        pairs = a.join(b, on) if on else a.crossJoin(b)
+    return pairs.select("left_text", "right_text")
 
 
 def text_scores(pairs: DataFrame, vectors: DataFrame, settings: MatchSettings, prune: bool = False) -> DataFrame:
@@ -85,33 +152,34 @@ def gtin_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, within: bool = False) -> DataFrame:
-    """All pairs of prepared rows at or above the threshold, with every score. `within`: both sides are one table."""
+    """All pairs of prepared rows at or above the threshold, with every score. `within`: both sides are one table, and restrictions hold.
+
+    Restrictions are keys of the joins, so rows that differ in them never meet.
+    """
     s = settings
-    keep = [f"_keep_{i}" for i in range(len(s.restrictions))] if within else []
-    side = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("name").alias(f"{p}_text"), F.col("size_base").alias(f"{p}_base"), F.col("size_text").alias(f"{p}_size"), *[F.col(k).alias(f"{p}{k}") for k in keep])
+    keep = tuple(f"_keep_{i}" for i in range(len(s.restrictions))) if within else ()
+    side = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("name").alias(f"{p}_text"), F.col("size_base").alias(f"{p}_base"), F.col("size_text").alias(f"{p}_size"), *keep)
     a, b = side(left, "left"), side(right, "right")
-    same = [F.col(f"left{k}") == F.col(f"right{k}") for k in keep]
     vectors = text_vectors(left, right, s) if s.w_tfidf or s.w_fuzzy else None
     ids = None
     if s.w_tfidf or s.w_fuzzy:
-        by_text = text_pairs(left, right, vectors, s)
-        ids = a.join(by_text, "left_text").join(b, "right_text")
+        ids = a.join(text_pairs(left, right, vectors, s, keep), "left_text").join(b, ["right_text", *keep])
     if s.w_gtin:
         codes = gtin_pairs(left, right)
         if ids is None:
-            pairs = codes.join(a, "left_id").join(b, "right_id").withColumn("tfidf_score", F.lit(0.0)).withColumn("fuzzy_score", F.lit(0.0))
+            pairs = codes.join(a, "left_id").join(b, ["right_id", *keep]).withColumn("tfidf_score", F.lit(0.0)).withColumn("fuzzy_score", F.lit(0.0))
         else:
             marked = ids.join(codes, ["left_id", "right_id"], "left")
             # Rows that share a barcode, but no token or too little text, still get their text scores.
-            extra = codes.join(ids.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").join(a, "left_id").join(b, "right_id")
+            extra = codes.join(ids.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti").join(a, "left_id").join(b, ["right_id", *keep])
             scores = text_scores(extra.select("left_text", "right_text").distinct(), vectors, s)
             pairs = marked.unionByName(extra.join(scores, ["left_text", "right_text"]))
+    elif ids is None:
+        raise ValueError("no score has a weight")
     else:
         pairs = ids.withColumn("gtin_score", F.lit(0.0)).withColumn("gtin_match_type", F.lit(None).cast("string")).withColumn("matching_gtins", F.lit(None).cast("array<string>"))
     if within:
         pairs = pairs.where(F.col("left_id") != F.col("right_id"))
-        for condition in same:
-            pairs = pairs.where(condition)
     size = F.round(sizes.similarity(F.col("left_base"), F.col("right_base"), s.size_tolerance), 4) if s.w_size else F.lit(0.0)
     pairs = pairs.withColumn("gtin_score", F.coalesce("gtin_score", F.lit(0.0))).withColumn("size_score", size)
     total = score.blend(F.col("tfidf_score"), F.col("fuzzy_score"), F.col("gtin_score"), F.col("size_score"), s.w_tfidf, s.w_fuzzy, s.w_gtin, s.w_size)
@@ -130,6 +198,23 @@ def top_k(pairs: DataFrame, k: int | None, by: str = "confidence") -> DataFrame:
     return pairs.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+#: Orders of a result: column and whether it falls. Ties go by the ids.
+ORDERS = {"confidence": ("confidence", True), "confidence_ascending": ("confidence", False), "left_name": ("left_name", False), "right_name": ("right_name", False)}
+
+
+def ordered(pairs: DataFrame, order: str = "confidence") -> DataFrame:
+    """The pairs in one of ORDERS."""
+    column, falls = ORDERS[order]
+    return pairs.orderBy(F.desc(column) if falls else F.asc(column), "left_id", "right_id")
+
+
+def report_page(pairs: DataFrame, order: str = "confidence", rows: int = 100) -> DataFrame:
+    """The first `rows` pairs in one of ORDERS, with their place from 1 on."""
+    column, falls = ORDERS[order]
+    by = [F.desc(column) if falls else F.asc(column), F.col("left_id"), F.col("right_id")]
+    return ordered(pairs, order).limit(rows).withColumn("place", F.row_number().over(Window.orderBy(*by)))
+
+
 def unmatched(left: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of the left side that no pair has, with a note."""
     return left.join(pairs.select(F.col("left_id").alias("row_id")).distinct(), "row_id", "left_anti").select(F.col("row_id").alias("left_id"), F.col("name").alias("left_name"), F.lit("No matches found above threshold").alias("note"))

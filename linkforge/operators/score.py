@@ -36,3 +36,31 @@ def text_bound(w_tfidf: float, w_fuzzy: float, w_gtin: float, w_size: float) ->
     text_weight = w_tfidf + w_fuzzy
     best = 100.0 * (w_fuzzy / text_weight if text_weight else 0.5)
     return min(100.0, best * (1 - w_size) + 100.0 * w_size)
+
+
+def _shares(w_tfidf: float, w_fuzzy: float) -> tuple[float, float]:
+    total = w_tfidf + w_fuzzy
+    return (w_tfidf / total, w_fuzzy / total) if total else (0.5, 0.5)
+
+
+def _least_text(threshold: float, w_size: float) -> float:
+    """The text score that a pair without a shared barcode needs at a perfect size."""
+    return (threshold - 100.0 * w_size) / (1.0 - w_size) if w_size < 1 else 0.0
+
+
+def least_cosine(threshold: float, w_tfidf: float, w_fuzzy: float, w_size: float) -> float:
+    """The tfidf score that such a pair needs at a perfect fuzzy ratio and size; 0 or less if none."""
+    a, b = _shares(w_tfidf, w_fuzzy)
+    return (_least_text(threshold, w_size) - 100.0 * b) / a if a else 0.0
+
+
+def least_fuzzy(threshold: float, w_tfidf: float, w_fuzzy: float, w_size: float) -> float:
+    """The fuzzy ratio that such a pair needs without a shared term, at a perfect size; 0 or less if none."""
+    b = _shares(w_tfidf, w_fuzzy)[1]
+    return _least_text(threshold, w_size) / b if b else 0.0
+
+
+def least_size(threshold: float, w_tfidf: float, w_fuzzy: float, w_size: float) -> float:
+    """The size score that such a pair needs without a shared term, at a perfect fuzzy ratio; 0 or less if none."""
+    b = _shares(w_tfidf, w_fuzzy)[1]
+    return (threshold - 100.0 * b * (1.0 - w_size)) / w_size if w_size else 0.0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from . import groups as G
 
 
@@ -12,16 +13,14 @@ def thresholds(low: int, high: int, step: int = 5) -> list[int]:
     return list(range(low, high + 1, step))
 
 
-def evolution(edge: DataFrame, score_of, steps: list[int], min_group_size: int = 2, keep_representative: bool = True) -> DataFrame:
+def evolution(members: DataFrame, scores: DataFrame, steps: list[int], min_group_size: int = 2, keep_representative: bool = True) -> DataFrame:
     """Members of the groups at the lowest threshold, at each threshold: in the group while close enough to its representative.
 
-    score_of: function from (group_key, src, dst) to the same with score. keep_representative=False gives the
-    representative a score of 0 to itself, so that it leaves its own group.
+    members, scores: (group_key, member_id) and (group_key, src, dst, score) of the components at the lowest threshold,
+    written, since they are read several times. keep_representative=False gives the representative a score of 0 to itself,
+    so that it leaves its own group.
     """
-    low = min(steps)
-    members = G.find_groups(edge, low, min_group_size)
-    scores = score_of(G.in_group_pairs(members))
-    base = G.analyse(members, scores).select("group_id", "group_key", "representative_id")
+    base = G.analyse(members, scores).where(F.col("group_size") >= min_group_size).select("group_id", "group_key", "representative_id")
     both = scores.select("group_key", F.col("src").alias("representative_id"), F.col("dst").alias("member_id"), "score").unionByName(scores.select("group_key", F.col("dst").alias("representative_id"), F.col("src").alias("member_id"), "score"))
     rows = members.join(base, "group_key").join(both, ["group_key", "representative_id", "member_id"], "left")
     own = F.col("member_id") == F.col("representative_id")
@@ -45,19 +44,41 @@ def summary(evolved: DataFrame, steps: list[int], n_products: int) -> DataFrame:
     return every.join(kept, "threshold", "left").select("threshold", zero("groups_found"), zero("products_in_groups"), zero("largest_group_size"), F.coalesce("avg_group_similarity", F.lit(0.0)).alias("avg_group_similarity"), (F.lit(n_products) - F.coalesce("products_in_groups", F.lit(0))).cast("long").alias("singletons"))
 
 
-def recomputed(edge: DataFrame, score_of, steps: list[int], min_group_size: int = 2, conservative: bool = True) -> DataFrame:
-    """Groups found anew at each threshold; the mean is by groups."""
-    out = None
-    for t in steps:
-        members = G.find_groups(edge, t, min_group_size)
-        scores = score_of(G.in_group_pairs(members))
-        if conservative:
-            members = G.conservative_split(members, scores, t)
-            scores = score_of(G.in_group_pairs(members))
-        found = G.filter_groups(G.analyse(members, scores), min_group_size)
-        row = found.agg(F.lit(t).alias("threshold"), F.count("*").alias("groups_found"), F.coalesce(F.sum("group_size"), F.lit(0)).alias("products_in_groups"), F.coalesce(F.max("group_size"), F.lit(0)).alias("largest_group_size"), F.coalesce(F.avg("avg_similarity"), F.lit(0.0)).alias("avg_group_similarity"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def with_attributes(evolved: DataFrame, rows: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """Further columns of the original rows on evolution rows, by member; those that the table lacks are left out."""
+    have = [c for c in columns if c in rows.columns]
+    taken = rows.select(F.col(f"`{row_id}`").alias("member_id"), *[F.col(f"`{c}`").alias(f"member_{c}" if c in evolved.columns else c) for c in have])
+    return evolved.join(taken, "member_id", "left")
+
+
+def recomputed(edge: DataFrame, scores: DataFrame, steps: list[int], min_group_size: int = 2, conservative: bool = True) -> DataFrame:
+    """Groups found anew at each threshold; the mean is by groups. Thresholds without groups have zeros.
+
+    scores: (group_key, src, dst, score) of the components at the lowest threshold. Groups at a higher one are parts of them, so
+    nothing is scored again, and all thresholds are grouped in one run, over nodes that are pairs of threshold and row.
+    """
+    spark = edge.sparkSession
+    every = F.explode(F.array(*map(F.lit, steps))).alias("threshold")
+    at = lambda c: F.struct("threshold", F.col(c).alias("id"))
+    edges = edge.select("src", "dst", "score", every).where("score >= threshold").select(at("src").alias("src"), at("dst").alias("dst"), "score")
+    members = cut(G.find_groups(edges, 0.0, min_group_size))
+    known = scores.select("src", "dst", "score", every).select(at("src").alias("src"), at("dst").alias("dst"), "score")
+    inside = cut(G.scores_within(members, known))
+    if conservative:
+        flat = inside.select("group_key", F.col("src.id").alias("src"), F.col("dst.id").alias("dst"), "score", F.col("src.threshold").alias("threshold"))
+        parts = G.conservative_split(members.select("group_key", F.col("member_id.id").alias("member_id")), flat)
+        threshold = F.col("component.threshold")
+        members = cut(parts.select(F.struct(threshold.alias("threshold"), F.col("group_key").alias("id")).alias("group_key"), F.struct(threshold.alias("threshold"), F.col("member_id").alias("id")).alias("member_id")))
+        inside = G.scores_within(members, inside)
+    stats = inside.groupBy("group_key").agg(F.avg("score").alias("avg_similarity"))
+    sizes = members.groupBy("group_key").agg(F.count("*").alias("group_size")).where(F.col("group_size") >= min_group_size)
+    found = sizes.join(stats, "group_key").groupBy(F.col("group_key.threshold").alias("threshold")).agg(
+        F.count("*").alias("groups_found"), F.sum("group_size").alias("products_in_groups"), F.max("group_size").alias("largest_group_size"), F.avg("avg_similarity").alias("avg_group_similarity")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return spark.createDataFrame([(t,) for t in steps], "threshold int").join(found, "threshold", "left").select(
+        "threshold", zero("groups_found"), zero("products_in_groups"), zero("largest_group_size"), F.coalesce("avg_group_similarity", F.lit(0.0)).alias("avg_group_similarity")
+    )
 
 
 def at_threshold(evolved: DataFrame, threshold: int, in_group_only: bool = True) -> DataFrame:

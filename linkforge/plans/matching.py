@@ -18,9 +18,13 @@ from .settings import ColumnConfig, MatchSettings
 
 
 def match_between(catalog: DataFrame, customer: DataFrame, catalog_config: ColumnConfig, customer_config: ColumnConfig, settings: MatchSettings = MatchSettings()) -> DataFrame:
-    """For each customer row its best catalog rows at or above the threshold. left is the customer, right the catalog."""
+    """For each customer row its best catalog rows at or above the threshold. left is the customer, right the catalog.
+
+    Further output columns of either side come with a prefix.
+    """
     left, right = prepare(customer, customer_config, settings), prepare(catalog, catalog_config, settings)
-    return M.top_k(M.scored_pairs(left, right, settings), settings.max_matches, settings.sort_by)
+    best = M.top_k(M.scored_pairs(left, right, settings), settings.max_matches, settings.sort_by)
+    return M.enrich(best, customer, catalog, customer_config.row_id, catalog_config.row_id, customer_config.output, catalog_config.output)
 
 
 def match_within(df: DataFrame, config: ColumnConfig, settings: MatchSettings = MatchSettings()) -> DataFrame:
@@ -38,7 +42,9 @@ class Grouping:
     pair_scores: DataFrame
     rows: DataFrame
     edges: DataFrame
-    score_of: Callable[[DataFrame], DataFrame]
+    #: Members and scores before any split.
+    components: DataFrame
+    component_scores: DataFrame
 
 
 def pair_scorer(rows: DataFrame, settings: MatchSettings) -> Callable[[DataFrame], DataFrame]:
@@ -66,18 +72,23 @@ def group_within(df: DataFrame, config: ColumnConfig, settings: MatchSettings =
     """Components of the similarity graph, split around representatives if asked for, with statistics."""
     rows = cut(prepare(df, config, settings))
     edge = cut(G.edges(M.scored_pairs(rows, rows, settings, within=True)))
-    score = pair_scorer(rows, settings)
-    members = G.find_groups(edge, settings.threshold, settings.min_group_size)
-    scores = cut(score(G.in_group_pairs(members)))
+    components = cut(G.find_groups(edge, settings.threshold, settings.min_group_size))
+    component_scores = cut(pair_scorer(rows, settings)(G.in_group_pairs(components)))
+    members, scores = components, component_scores
     if settings.conservative:
-        members = cut(G.conservative_split(members, scores, settings.threshold))
-        scores = cut(score(G.in_group_pairs(members)))
-    found = G.filter_groups(G.analyse(members, scores), settings.min_group_size, settings.max_groups)
-    return Grouping(found, members, scores, rows, edge, score)
+        members = cut(G.conservative_split(components, component_scores, settings.threshold).drop("component"))
+        scores = cut(G.scores_within(members, component_scores))
+    found = G.filter_groups(G.analyse(members, scores), settings.min_group_size, settings.max_groups, settings.sort_groups_by)
+    return Grouping(found, members, scores, rows, edge, components, component_scores)
 
 
 def explore(grouping: Grouping, settings: MatchSettings, keep_representative: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(evolution, summary) over the settings' range of thresholds; edges must reach down to its lower end."""
+    """(evolution, summary) over the settings' range of thresholds; the grouping must be of its lower end."""
     steps = S.thresholds(*settings.sweep)
-    evolved = cut(S.evolution(grouping.edges, grouping.score_of, steps, settings.min_group_size, keep_representative))
+    evolved = cut(S.evolution(grouping.components, grouping.component_scores, steps, settings.min_group_size, keep_representative))
     return evolved, S.summary(evolved, steps, grouping.rows.count())
+
+
+def explore_anew(grouping: Grouping, settings: MatchSettings) -> DataFrame:
+    """The summary with groups found anew at each threshold; the grouping must be of the range's lower end."""
+    return S.recomputed(grouping.edges, grouping.component_scores, S.thresholds(*settings.sweep), settings.min_group_size, settings.conservative)

@@ -53,7 +53,10 @@ class MatchSettings:
     include_size_in_text: bool = False
     min_tfidf: float = 0.0
     min_fuzzy: float = 0.0
+    #: What ranks the matches of a row: confidence, tfidf_score, fuzzy_score, gtin_score or size_score.
     sort_by: str = "confidence"
+    #: What ranks groups: size, avg_similarity or min_similarity.
+    sort_groups_by: str = "size"
     #: exact scores every pair that can reach the threshold; candidates scores the fuzzy part of likely pairs only.
     mode: str = "exact"
     gtin13: bool = False

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import gtin, sizes, text
 from .functions.words import ENGLISH, STOP_WORDS, UNITS
 from .lineage import cut
-from .operators import fuzzy, groups, match, profile, report, sweep, tfidf
+from .operators import fuzzy, groups, match, profile, report, score, sweep, tfidf
 from .operators.prepare import prepare
 from .plans import matching
 from .plans.settings import ColumnConfig, MatchSettings
@@ -96,9 +96,11 @@ def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with names that have as many letters or a few more or less."""
     a = part(spark, sf_dir).select(text.clean(F.concat_ws(" ", "p_name", "p_type")).alias("a")).distinct()
     b = part(spark, sf_dir).select(text.clean(F.col("p_name")).alias("b")).distinct()
-    return a.crossJoin(b).select("a", "b", F.round(fuzzy.ratio(F.col("a"), F.col("b")), 4).alias("score"))
+    near = F.explode(F.sequence(F.length("b"), F.length("b") + 12)).alias("n")
+    return a.join(b.select("b", near), F.length("a") == F.col("n")).select("a", "b", F.round(fuzzy.ratio(F.col("a"), F.col("b")), 4).alias("score"))
 
 
 def gtin_check_digit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,6 +187,15 @@ def conservative_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.grouped_rows(g.groups, g.members, names)
 
 
+def group_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten groups of three and more in each of the three orders."""
+    g, out = _grouping(spark, sf_dir, False), None
+    for by in ("size", "avg_similarity", "min_similarity"):
+        page = groups.filter_groups(g.groups, 3, 10, by).select(F.lit(by).alias("sort_by"), "group_id", "group_size")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
 def _explored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g = _grouping(spark, sf_dir, False, float(SWEEP[0]))
     return matching.explore(g, MatchSettings(**{**WITHIN.__dict__, "sweep": SWEEP}))
@@ -198,9 +209,60 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _explored(spark, sf_dir)[1].withColumn("avg_group_similarity", F.round("avg_group_similarity", 1))
 
 
+def evolution_leaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evolution with a score of 0 from the representative to itself, so that it leaves its group."""
+    g = _grouping(spark, sf_dir, False, float(SWEEP[0]))
+    evolved = matching.explore(g, MatchSettings(**{**WITHIN.__dict__, "sweep": SWEEP}), keep_representative=False)[0]
+    return evolved.select("group_id", "threshold", "member_id", F.round("similarity_to_representative", 6).alias("similarity_to_representative"), "group_size_at_threshold", "in_group")
+
+
+def evolution_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evolved = _explored(spark, sf_dir)[0]
+    out = sweep.with_attributes(evolved, catalog(spark, sf_dir), "row_id", ["brand", "product_name", "threshold", "no_such_column"])
+    return out.select("group_id", "threshold", "member_id", "brand", "product_name")
+
+
+def threshold_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.at_threshold(_explored(spark, sf_dir)[0], 80).select("group_id", "member_id", "group_size_at_threshold")
+
+
 def sweep_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _grouping(spark, sf_dir, False, float(SWEEP[0]))
-    return sweep.recomputed(g.edges, g.score_of, sweep.thresholds(*SWEEP), 2, True)
+    out = matching.explore_anew(g, MatchSettings(**{**WITHIN.__dict__, "sweep": SWEEP}))
+    return out.withColumn("avg_group_similarity", F.round("avg_group_similarity", 3))
+
+
+def enriched_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (ColumnConfig(**{**CONFIG.__dict__, "output": columns}) for columns in (("size", "no_such_column"), ("brand", "gtin")))
+    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), right, left, TEXT_ONLY)
+    return out.select("left_id", "right_id", "Customer size", "Catalog brand", "Catalog gtin")
+
+
+def least_scores_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within(spark, sf_dir, min_tfidf=55.0, min_fuzzy=90.0).select("left_id", "right_id", "confidence")
+
+
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred pairs in each of the four orders."""
+    pairs, out = cut(_within(spark, sf_dir)), None
+    for order in match.ORDERS:
+        page = match.report_page(pairs, order).select(F.lit(order).alias("sort_by"), "place", "left_id", "right_id")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+def gtin_only_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    only = MatchSettings(threshold=75.0, w_tfidf=0.0, w_fuzzy=0.0, w_gtin=1.0, w_size=0.2, max_matches=5)
+    return matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, only).select("left_id", "right_id", "confidence", "gtin_score", "size_score")
+
+
+def additive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, TEXT_ONLY)
+    return out.select("left_id", "right_id", F.round(score.additive(F.col("tfidf_score"), F.col("fuzzy_score"), F.lit(50.0), 0.5, 0.25, 0.5), 4).alias("score"))
+
+
+def sized_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare(catalog(spark, sf_dir), CONFIG, MatchSettings(include_size_in_text=True)).select("row_id", "name", "size_text")
 
 
 def restriction_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +274,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         clean_names, size_standardize, size_similarity, tfidf_weights, tfidf_topk, fuzzy_pairs, gtin_check_digit, gtin_variants, gtin_quality, gtin_join,
         text_match_topk, combined_match_topk, within_match, restricted_match, unmatched_rows, match_summary, distinct_pairs, components, group_stats,
-        representatives, pairwise_groups, conservative_groups, evolution, threshold_sweep, sweep_recomputed, restriction_profile,
+        representatives, pairwise_groups, conservative_groups, group_page, evolution, evolution_leaving, evolution_attributes, threshold_preview,
+        threshold_sweep, sweep_recomputed, enriched_match, least_scores_match, report_pages, gtin_only_match, additive_scores, sized_names, restriction_profile,
     )
 }
 
@@ -321,7 +384,7 @@ def _codes(left: str, right: str) -> str:
 
 
 _WITHIN = f"""{_CATALOG}, {_texts("cat", "cat")},
-    pr AS (SELECT l.row_id AS left_id, r.row_id AS right_id, l.name AS left_name, r.name AS right_name, l.brand AS lb, r.brand AS rb, round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence
+    pr AS (SELECT l.row_id AS left_id, r.row_id AS right_id, l.name AS left_name, r.name AS right_name, l.brand AS lb, r.brand AS rb, tfidf_score, fuzzy_score, round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence
         FROM cat l JOIN txt ON l.name = txt.lt JOIN cat r ON r.name = txt.rt WHERE l.row_id <> r.row_id)"""
 
 
@@ -338,6 +401,23 @@ def _grouped(at: float) -> str:
     grp AS MATERIALIZED (SELECT 'G' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS group_id, * FROM (SELECT row_number() OVER (ORDER BY group_key) AS n, * FROM sz JOIN st USING (group_key) JOIN reps USING (group_key)))"""
 
 
+def _conservative(thresholds: str) -> str:
+    """CTEs from within pairs to fin(t, group_key, member), the groups split around representatives at each of the thresholds."""
+    return f"""{_WITHIN},
+    ts AS (SELECT CAST(t AS INT) AS t FROM {thresholds} r(t)),
+    ed AS MATERIALIZED (SELECT t, left_id, right_id FROM pr JOIN ts ON confidence >= t),
+    cc AS (SELECT t, left_id AS node, left_id AS root FROM ed UNION SELECT cc.t, e.right_id, cc.root FROM cc JOIN ed e ON e.t = cc.t AND e.left_id = cc.node WHERE cc.root < e.right_id),
+    com AS MATERIALIZED (SELECT t, min(root) AS component, node AS member FROM cc GROUP BY t, node),
+    sc2 AS MATERIALIZED (SELECT a.t, a.component, a.member AS a, b.member AS b, confidence AS score FROM com a JOIN com b ON a.t = b.t AND a.component = b.component AND a.member <> b.member JOIN pr ON pr.left_id = a.member AND pr.right_id = b.member),
+    spl AS (SELECT t, component, 0 AS step, member, CASE WHEN count(*) OVER (PARTITION BY t, component) <= 2 THEN component END AS rep FROM com
+        UNION ALL (WITH r AS (SELECT t, component, step, member, count(*) OVER (PARTITION BY t, component) AS n FROM spl WHERE rep IS NULL),
+            mean AS (SELECT r.t, r.component, r.member, round(sum(score) / max(r.n - 1), 6) AS mean FROM r JOIN sc2 ON sc2.t = r.t AND sc2.a = r.member JOIN r o ON o.t = r.t AND o.component = r.component AND o.member = sc2.b WHERE r.n > 1 GROUP BY r.t, r.component, r.member),
+            best AS (SELECT t, component, member AS rep FROM (SELECT *, row_number() OVER (PARTITION BY t, component ORDER BY mean DESC, member) AS k FROM mean) WHERE k = 1)
+            SELECT r.t, r.component, r.step + 1, r.member, CASE WHEN r.member = best.rep OR score >= r.t THEN best.rep END FROM r JOIN best ON best.t = r.t AND best.component = r.component LEFT JOIN sc2 ON sc2.t = r.t AND sc2.a = best.rep AND sc2.b = r.member)),
+    fin AS MATERIALIZED (SELECT * FROM (SELECT t, min(member) OVER w AS group_key, member, count(*) OVER w AS group_size FROM spl WHERE rep IS NOT NULL WINDOW w AS (PARTITION BY t, component, rep)) WHERE group_size > 1),
+    fsc AS MATERIALIZED (SELECT x.t, x.group_key, x.member AS src, y.member AS dst, confidence AS score FROM fin x JOIN fin y ON x.t = y.t AND x.group_key = y.group_key AND x.member < y.member JOIN pr ON pr.left_id = x.member AND pr.right_id = y.member)"""
+
+
 _EVOLVED = f"""{_grouped(SWEEP[0])},
     bt AS (SELECT group_key, src AS a, dst AS b, score FROM sc UNION ALL SELECT group_key, dst, src, score FROM sc),
     ev0 AS (SELECT group_id, CAST(t AS INT) AS threshold, member_id, member_id = representative_id AS is_representative, CASE WHEN member_id = representative_id THEN 100.0 ELSE score END AS sim
@@ -355,7 +435,7 @@ ORACLES: dict[str, str] = {
     "tfidf_topk": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat', False)},
         p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, tfidf_score, row_number() OVER (PARTITION BY l.row_id ORDER BY tfidf_score DESC, r.row_id) AS k FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt WHERE tfidf_score >= 1)
         SELECT left_id, right_id, tfidf_score FROM p WHERE k <= 3""",
-    "fuzzy_pairs": f"""WITH a AS (SELECT DISTINCT {_clean("p_name || ' ' || p_type")} AS a FROM part), b AS (SELECT DISTINCT {_clean('p_name')} AS b FROM part), q AS (SELECT a, b FROM a CROSS JOIN b)
+    "fuzzy_pairs": f"""WITH a AS (SELECT DISTINCT {_clean("p_name || ' ' || p_type")} AS a FROM part), b AS (SELECT DISTINCT {_clean('p_name')} AS b FROM part), q AS (SELECT a, b FROM a JOIN b ON length(a) BETWEEN length(b) AND length(b) + 12)
         SELECT a, b, round(CAST(fz AS DOUBLE), 4) AS score FROM ({_ratio('q', 'a', 'b')})""",
     "gtin_check_digit": f"""WITH c AS (SELECT p_partkey, {_code('p_partkey')} AS gtin, lpad(CAST(p_partkey * 7919 AS VARCHAR), 11, '0') AS base FROM part), d AS (SELECT *, {_DIGITS} AS d FROM c), e AS (SELECT *, CASE WHEN length(d) IN (12, 14) THEN substr(d, 1, length(d) - 1) || {_check('substr(d, 1, length(d) - 1)')} ELSE '' END AS fix FROM d)
         SELECT p_partkey, gtin AS code, base || {_check('base')} AS completed, length(d) IN (12, 14) AND fix = d AS valid, fix AS corrected FROM e""",
@@ -388,6 +468,40 @@ ORACLES: dict[str, str] = {
     "evolution": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, threshold, member_id, is_representative, round(CAST(sim AS DOUBLE), 6) AS similarity_to_representative, n AS group_size_at_threshold, in_group FROM ev",
     "threshold_sweep": f"""WITH RECURSIVE {_EVOLVED}, s AS (SELECT threshold, count(DISTINCT group_id) AS g, count(DISTINCT member_id) AS p, max(n) AS big, avg(round(mean, 2)) AS m FROM ev WHERE in_group GROUP BY threshold)
         SELECT CAST(t AS INT) AS threshold, coalesce(g, 0) AS groups_found, coalesce(p, 0) AS products_in_groups, coalesce(big, 0) AS largest_group_size, round(coalesce(CAST(m AS DOUBLE), 0.0), 1) AS avg_group_similarity, (SELECT count(*) FROM cat) - coalesce(p, 0) AS singletons FROM range({SWEEP[0]}, {SWEEP[1]} + 1, 5) r(t) LEFT JOIN s ON s.threshold = t""",
+    "group_page": f"""WITH RECURSIVE {_grouped(GROUP_AT)}, g AS (SELECT *, row_number() OVER (ORDER BY group_size DESC, group_key) AS a, row_number() OVER (ORDER BY round(avg_similarity, 6) DESC, group_key) AS b, row_number() OVER (ORDER BY round(min_similarity, 6) DESC, group_key) AS c FROM grp WHERE group_size >= 3)
+        SELECT 'size' AS sort_by, group_id, group_size FROM g WHERE a <= 10 UNION ALL SELECT 'avg_similarity', group_id, group_size FROM g WHERE b <= 10 UNION ALL SELECT 'min_similarity', group_id, group_size FROM g WHERE c <= 10""",
+    "conservative_groups": f"""WITH RECURSIVE {_conservative(f"(VALUES ({GROUP_AT}))")},
+        st AS (SELECT group_key, avg(score) AS m, min(score) AS lo FROM fsc GROUP BY group_key),
+        rp AS (SELECT group_key, m AS rep FROM (SELECT group_key, m, row_number() OVER (PARTITION BY group_key ORDER BY round(avg(score), 6) DESC, m) AS k FROM (SELECT group_key, src AS m, score FROM fsc UNION ALL SELECT group_key, dst, score FROM fsc) GROUP BY group_key, m) WHERE k = 1),
+        nr AS (SELECT group_key, row_number() OVER (ORDER BY group_key) AS n FROM st)
+        SELECT 'G' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS group_id, r.name AS group_summary, member AS member_id, c.name AS product_name, member = rep AS is_representative, group_size, round(CAST(m AS DOUBLE), 2) AS group_avg_similarity, round(CAST(lo AS DOUBLE), 2) AS group_min_similarity
+        FROM fin JOIN st USING (group_key) JOIN rp USING (group_key) JOIN nr USING (group_key) JOIN cat c ON c.row_id = member JOIN cat r ON r.row_id = rep""",
+    "sweep_recomputed": f"""WITH RECURSIVE {_conservative(f"range({SWEEP[0]}, {SWEEP[1]} + 1, 5)")},
+        st AS (SELECT t, group_key, avg(score) AS m FROM fsc GROUP BY t, group_key), sz AS (SELECT t, group_key, count(*) AS n FROM fin GROUP BY t, group_key),
+        o AS (SELECT t, count(*) AS g, sum(n) AS p, max(n) AS big, avg(m) AS m FROM sz JOIN st USING (t, group_key) GROUP BY t)
+        SELECT t AS threshold, coalesce(g, 0) AS groups_found, CAST(coalesce(p, 0) AS BIGINT) AS products_in_groups, coalesce(big, 0) AS largest_group_size, round(coalesce(CAST(m AS DOUBLE), 0.0), 3) AS avg_group_similarity FROM ts LEFT JOIN o USING (t)""",
+    "evolution_leaving": f"WITH RECURSIVE {_EVOLVED.replace('THEN 100.0 ELSE score', 'THEN 0.0 ELSE score')} SELECT group_id, threshold, member_id, round(CAST(sim AS DOUBLE), 6) AS similarity_to_representative, n AS group_size_at_threshold, in_group FROM ev",
+    "evolution_attributes": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, threshold, member_id, p_brand AS brand, p_name || ' ' || p_brand AS product_name FROM ev JOIN part ON p_partkey = member_id",
+    "threshold_preview": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, member_id, n AS group_size_at_threshold FROM ev WHERE threshold = 80 AND in_group",
+    "enriched_match": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')},
+        p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, l.size AS "Customer size", r.brand AS "Catalog brand", r.gtin AS "Catalog gtin", round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt),
+        k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM p WHERE confidence >= 60) SELECT * EXCLUDE (k, confidence) FROM k WHERE k <= 5""",
+    "least_scores_match": f"WITH {_WITHIN} SELECT left_id, right_id, confidence FROM pr WHERE confidence >= 70 AND tfidf_score >= 55 AND fuzzy_score >= 90",
+    "report_pages": f"""WITH {_WITHIN}, m AS (SELECT * FROM pr WHERE confidence >= 70),
+        o AS (SELECT 'confidence' AS sort_by, row_number() OVER (ORDER BY confidence DESC, left_id, right_id) AS place, left_id, right_id FROM m UNION ALL SELECT 'confidence_ascending', row_number() OVER (ORDER BY confidence, left_id, right_id), left_id, right_id FROM m
+              UNION ALL SELECT 'left_name', row_number() OVER (ORDER BY left_name, left_id, right_id), left_id, right_id FROM m UNION ALL SELECT 'right_name', row_number() OVER (ORDER BY right_name, left_id, right_id), left_id, right_id FROM m)
+        SELECT sort_by, CAST(place AS INT) AS place, left_id, right_id FROM o WHERE place <= 100""",
+    "gtin_only_match": f"""WITH {_CATALOG}, {_CUSTOMER}, {_codes('cus', 'cat')},
+        p AS (SELECT gp.*, {_amount('l.size')} AS a, {_amount('r.size')} AS b FROM gp JOIN cus l ON l.row_id = left_id JOIN cat r ON r.row_id = right_id),
+        q AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) <= 20.0 THEN round(greatest(0.0, least(100.0, (1.0 - (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) / 20.0) * 100.0)), 4) ELSE 0.0 END AS size_score FROM p),
+        s AS (SELECT *, round(least(gtin_score * 0.8 + size_score * 0.2, 100.0), 6) AS confidence FROM q),
+        k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM s WHERE confidence >= 75)
+        SELECT left_id, right_id, confidence::DOUBLE AS confidence, gtin_score, size_score::DOUBLE AS size_score FROM k WHERE k <= 5""",
+    "additive_scores": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')},
+        p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence, tfidf_score, fuzzy_score FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt),
+        k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM p WHERE confidence >= 60)
+        SELECT left_id, right_id, round(tfidf_score * 0.4 + fuzzy_score * 0.2 + 50.0 * 0.4, 4) AS score FROM k WHERE k <= 5""",
+    "sized_names": f"WITH {_CATALOG}, s AS (SELECT row_id, name, CASE WHEN {_amount('size')} IS NULL THEN '' ELSE printf('%.1f', {_amount('size')}) || 'g' END AS size_text FROM cat) SELECT row_id, trim(name || ' ' || size_text) AS name, size_text FROM s",
     "restriction_profile": """WITH c AS (SELECT count(*) AS n, count(DISTINCT p_name) AS a, count(DISTINCT p_brand) AS b, count(DISTINCT p_type) AS t FROM part),
         u AS (SELECT 'p_name' AS column_name, a AS n_distinct, n AS n_rows FROM c UNION ALL SELECT 'p_brand', b, n FROM c UNION ALL SELECT 'p_type', t, n FROM c)
         SELECT *, false AS by_name, n_distinct BETWEEN 2 AND 50 AND n_distinct < 0.5 * n_rows AS by_values FROM u""",

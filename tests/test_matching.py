@@ -1,9 +1,12 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings as hypothesis_settings, strategies as st
 
-from linkforge.operators import fuzzy, graph, groups, match, profile, report
+from linkforge.functions.words import ENGLISH, STOP_WORDS
+from linkforge.operators import fuzzy, graph, groups, match, prepare, profile, report, sweep
 from linkforge.plans import matching
 from linkforge.plans.settings import ColumnConfig, MatchSettings
 
@@ -60,6 +63,54 @@ def test_blend_of_all_scores(spark):
     assert [r.left_id for r in match.unmatched(left.withColumnRenamed("product_name", "name"), matching.match_between(right, left, CONFIG, CONFIG, s)).collect()] == [2]
 
 
+def every_pair(rows, s):
+    """All pairs of different rows at or above the threshold, scored one by one."""
+    cleaned = [(i, " ".join(w for w in (n or "").lower().split() if w not in STOP_WORDS), b) for i, n, b in rows]
+    count, n = Counter(), 2 * len(rows)
+    for _, name, _ in cleaned:
+        count.update(2 * [t for t in set(name.split()) if len(t) > 1 and t not in ENGLISH])
+
+    def vector(name):
+        v = {t: c * (math.log((1 + n) / (1 + count[t])) + 1) for t, c in Counter(t for t in name.split() if len(t) > 1 and t not in ENGLISH).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    out = {}
+    for i, a, p in cleaned:
+        for j, b, q in cleaned:
+            if i != j:
+                x, y = vector(a), vector(b)
+                t = round(100 * sum(w * y.get(k, 0.0) for k, w in x.items()), 4)
+                f = round(fuzzy.token_set_ratio(a, b), 4)
+                size = 0.0
+                if p is not None and q is not None:
+                    apart = (max(p, q) - min(p, q)) * 100 / max(p, q) if max(p, q) else 0.0
+                    size = round(max(0.0, 1 - apart / s.size_tolerance) * 100, 4)
+                text = (t * s.w_tfidf + f * s.w_fuzzy) / (s.w_tfidf + s.w_fuzzy)
+                c = round(min(100.0, text * (1 - s.w_size) + size * s.w_size), 6)
+                if c >= s.threshold:
+                    out[i, j] = c
+    return out
+
+
+@pytest.mark.parametrize("settings", [
+    dict(threshold=60.0, w_tfidf=0.5, w_fuzzy=0.5), dict(threshold=40.0, w_tfidf=0.5, w_fuzzy=0.5), dict(threshold=50.0, w_tfidf=0.25, w_fuzzy=0.25, w_size=0.2),
+    dict(threshold=45.0, w_tfidf=0.1, w_fuzzy=0.9, w_size=0.3), dict(threshold=20.0, w_tfidf=0.9, w_fuzzy=0.1, w_size=0.3), dict(threshold=70.0, w_tfidf=0.0, w_fuzzy=1.0), dict(threshold=0.0, w_tfidf=0.5, w_fuzzy=0.5),
+])
+def test_candidates_lose_no_pair(spark, settings):
+    rng = random.Random(12)
+    words = "red blue green bolt nut gear rod small large steel reed blues greens bolts nuts gears rods of x".split()
+    data = [(i, " ".join(rng.choices(words, k=rng.randint(1, 4))), rng.choice([None, 0.0, 100.0, 104.0, 109.0, 119.0, 130.0])) for i in range(70)] + [(70, None, 100.0), (71, "aab", None), (72, "abb", None)]
+    s = MatchSettings(**settings, w_gtin=0.0, max_matches=None)
+    df = spark.createDataFrame([(i, n, None if b is None else f"{b} g") for i, n, b in data], "row_id long, product_name string, size string")
+    out = matching.match_within(df, ColumnConfig(product=("product_name",), size="size"), s)
+    got = {(r.left_id, r.right_id): r.confidence for r in out.collect()}
+    want = every_pair(data, s)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+    plan = out._jdf.queryExecution().toString()
+    assert settings["threshold"] <= 0 or ("CartesianProduct" not in plan and "NestedLoop" not in plan)
+
+
 def test_candidate_mode_is_a_subset(spark):
     df = rows(spark, [(i, f"red bolt {i % 7} gear{i % 3}", None, None) for i in range(30)])
     s = dict(threshold=60.0, w_tfidf=0.5, w_fuzzy=0.5, w_gtin=0.0, max_matches=None)
@@ -102,6 +153,34 @@ def test_conservative_split(spark):
     assert {(r.group_key, r.member_id) for r in got.collect()} == {(2, 2), (2, 3), (2, 4)}
 
 
+def test_sweeps_of_tables_without_groups(spark):
+    df = rows(spark, [(1, "red bolt", None, None), (2, "blue gear", None, None)])
+    s = MatchSettings(threshold=70.0, w_tfidf=0.5, w_fuzzy=0.5, w_gtin=0.0, max_matches=None, sweep=(70, 80))
+    g = matching.group_within(df, CONFIG, s)
+    evolved, summary = matching.explore(g, s)
+    assert evolved.collect() == [] and [tuple(r) for r in summary.orderBy("threshold").collect()] == [(t, 0, 0, 0, 0.0, 2) for t in (70, 75, 80)]
+    assert [tuple(r) for r in matching.explore_anew(g, s).orderBy("threshold").collect()] == [(t, 0, 0, 0, 0.0) for t in (70, 75, 80)]
+
+
+def test_attributes_on_evolution_rows(spark):
+    evolved = spark.createDataFrame([("G001", 70, 1), ("G001", 70, 9)], "group_id string, threshold int, member_id long")
+    df = spark.createDataFrame([(1, "a", 5)], "row_id long, brand string, threshold int")
+    out = sweep.with_attributes(evolved, df, "row_id", ["brand", "threshold", "absent"])
+    assert sorted((r.member_id, r.brand, r.member_threshold) for r in out.collect()) == [(1, "a", 5), (9, None, None)]
+
+
+def test_row_ids(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
+    assert sorted((r.row_id, r.name) for r in prepare.with_row_id(df, ["name"]).collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_orders_of_a_report(spark):
+    pairs = spark.createDataFrame([(1, 2, "b", "x", 70.0), (2, 1, "a", "y", 90.0), (3, 1, "a", "z", 90.0)], "left_id long, right_id long, left_name string, right_name string, confidence double")
+    first = lambda order, n: [(r.place, r.left_id) for r in match.report_page(pairs, order, n).orderBy("place").collect()]
+    assert first("confidence", 2) == [(1, 2), (2, 3)] and first("confidence_ascending", 1) == [(1, 1)]
+    assert first("left_name", 3) == [(1, 2), (2, 3), (3, 1)] and [r.left_id for r in match.ordered(pairs, "right_name").collect()] == [1, 2, 3]
+
+
 def test_detection(spark):
     df = spark.createDataFrame([(str(i), "x", f"c{i % 3}", f"00036000{i:04d}") for i in range(10)], "Product string, Description string, Category string, UPC string")
     assert profile.name_columns(df) == ["Product", "Description"]
