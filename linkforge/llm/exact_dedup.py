@@ -1,7 +1,7 @@
 """Exact deduplication by progressive refinement, in DataFrame operations only.
 
-Three steps narrow the candidates: length of the normalised text, then length with a hash of a prefix, then
-a SHA-256 of the whole text, which is computed only for rows whose (length, prefix) group has other members.
+Three steps narrow the candidates: the length of the normalised text, then, for rows whose length others have, length with a
+hash of a prefix, then a SHA-256 of the whole text, which is computed only for rows whose (length, prefix) others have.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+from .bitmaps import bit_filter, fitting, marked, may_be_in
+
 #: Characters that do not count when texts are compared: blank and \t \n \v \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -18,15 +21,8 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def exact_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    carry: dict[str, Column] | None = None,
-    prefix_chars: int = 64,
-    filter_bits: int = 23,
-) -> DataFrame:
-    """One row for each row of `docs`: id, keep_id, group_size, kept, full_hash and the `carry` columns.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None, prefix_chars: int = 64, most_bits: int = 27) -> DataFrame:
+    """One row for each row of `docs`: id, keep_id, group_size, kept, full_hash and, if named, a digest column.
 
     Texts are equal when they are identical without BLANKS. Of equal texts the one with the most code points
     before normalising stays, then the smallest id; a null id comes after all others. full_hash is null where
@@ -34,35 +30,26 @@ def exact_dedup(
     one group. Rows that repeat both the id and the code point count of the kept row are that row again, and
     count as kept. An empty table gives an empty result; other columns of `docs` are ignored.
 
-    carry: narrow columns over `docs`, computed in the same scan as the hash and returned unchanged.
-    filter_bits: the bitmap of surviving groups has 2 ** filter_bits bits, whatever the size of the input; that
-    bounds its broadcast. When it fills up, more rows are hashed in full than needed, and results stay the same.
+    digest: name of a column with the SHA-256 of every normalised text, unique ones too; it is then the full hash as well.
+    most_bits: bitmaps of surviving lengths and prefixes have at most 2 ** most_bits bits, whatever the size of the
+    input; that bounds their broadcast. One that fills up lets more rows through than needed, and results stay the same.
     """
-    text = normalised(F.col(text_col))
-    narrow = docs.select(F.length(text).alias("_len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"))
-    # Counts by length come from counts by (length, prefix): the second refinement is free once rows are combined.
-    by_prefix = narrow.groupBy("_len", "_prefix").agg(F.count("*").alias("_n"))
-    slot = F.pmod(F.xxhash64("_len", "_prefix"), F.lit(1 << filter_bits))
-    bitmap = (
-        by_prefix.where("_n > 1")
-        .select(slot.alias("_slot"))
-        .groupBy((F.col("_slot") / 64).cast("long").alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_bits"))
-    )
-    # At most 2 ** filter_bits / 64 rows of 16 bytes: a proven bound for this broadcast.
-    rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"),
-        F.length(text).alias("_len"),
-        F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix"),
-        text.alias("_text"),
-        *[c.alias(f"_carry_{name}") for name, c in (carry or {}).items()],
-    ).withColumn("_slot", slot)
-    rows = rows.withColumn("_word", (F.col("_slot") / 64).cast("long")).join(F.broadcast(bitmap), "_word", "left")
-    survives = F.expr("coalesce(shiftright(_bits, cast(_slot % 64 as int)) & 1L, 0L) = 1L")
-    rows = rows.withColumn("_hash", F.when(survives, F.sha2(F.col("_text").cast("binary"), 256))).select(
-        "_id", "_points", "_len", "_prefix", "_hash", *[f"_carry_{name}" for name in carry or {}]
-    )
+    text = normalised(F.col(f"`{text_col}`"))
+    narrow = cut(docs.select(F.length(text).cast("long").alias("_len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("_prefix")))
+    lengths = narrow.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_lk", F.xxhash64("_len"))
+    bits = fitting(narrow.count(), most_bits)
+    rest = may_be_in(narrow.withColumn("_lk", F.xxhash64("_len")), "_lk", bit_filter(lengths, "_lk", bits), bits)
+    prefixes = rest.groupBy("_len", "_prefix").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_pk", F.xxhash64("_len", "_prefix"))
+    own = docs.select(F.col(f"`{id_col}`").alias("_id"), F.length(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_points"), text.alias("_text"))
+    own = own.withColumn("_pk", F.xxhash64(F.length("_text").cast("long"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
+    rows = marked(own, "_pk", bit_filter(prefixes, "_pk", bits), bits)
+    full = F.sha2(F.col("_text").cast("binary"), 256)
+    if digest:
+        # Taken in full or not at all, so that the hash is made once for both columns.
+        made = [full.alias("_digest"), F.nullif(F.substring(full, F.lit(1), F.when(F.col("_may"), F.lit(64)).otherwise(F.lit(0))), F.lit("")).alias("_hash")]
+    else:
+        made = [F.when(F.col("_may"), full).alias("_hash")]
+    rows = rows.select("_id", "_points", F.length("_text").alias("_len"), *made)
     # The best of a group: most code points, then the smallest id, nulls last. min_by a struct combines map-side.
     groups = (
         rows.where("_hash is not null")
@@ -84,5 +71,5 @@ def exact_dedup(
         F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
         (best.isNull() | (F.col("_id").eqNullSafe(best["i"]) & (-F.col("_points") == best["p"]))).alias("kept"),
         F.col("_hash").alias("full_hash"),
-        *[F.col(f"_carry_{name}").alias(name) for name in carry or {}],
+        *([F.col("_digest").alias(digest)] if digest else []),
     )

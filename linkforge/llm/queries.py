@@ -15,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sha = F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256)
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": sha}).drop("full_hash")
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest="text_sha256").drop("full_hash")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

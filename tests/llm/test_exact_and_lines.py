@@ -35,10 +35,18 @@ def test_exact_dedup_hash_is_made_for_survivors_only(spark):
     assert got[10] is None and got[4] == hashlib.sha256(b"ab").hexdigest()
 
 
-def test_exact_dedup_full_bitmap_changes_nothing(spark):
+def test_exact_dedup_digest_is_made_for_all(spark):
+    got = exact_dedup.exact_dedup(docs(spark, EDGE), digest="sha").collect()
+    sha = {i: hashlib.sha256("".join(c for c in t or "" if c not in BLANKS).encode()).hexdigest() for i, t in EDGE}
+    assert all(r.sha == sha[r.doc_id] and r.full_hash in (None, r.sha) for r in got) and {r.doc_id for r in got if r.full_hash is None} == {10, 6}
+
+
+def test_exact_dedup_full_bitmap_changes_nothing(spark, monkeypatch):
     rows = docs(spark, [(i, f"text {i % 30}" * (i % 5)) for i in range(200)])
     key = lambda df: sorted(map(tuple, df.drop("full_hash").collect()))
-    assert key(exact_dedup.exact_dedup(rows)) == key(exact_dedup.exact_dedup(rows, filter_bits=6))
+    want = key(exact_dedup.exact_dedup(rows))
+    monkeypatch.setattr(exact_dedup, "fitting", lambda n, most: 6)
+    assert key(exact_dedup.exact_dedup(rows)) == want
 
 
 def brute_lines(rows, k):
