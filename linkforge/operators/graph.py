@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import cut
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) of all nodes of an undirected graph, label the least node of the component.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each an aggregation by node, until nothing
-    changes; a component of any shape takes a number of rounds logarithmic in its size. Each round is written to the
-    checkpoint folder.
+    changes. Each round only moves links to smaller nodes of the component, so rounds end; their number grows with the
+    logarithm of the component's size. Each round is written to the checkpoint folder.
     """
     both = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links, before = cut(both), None
-    for _ in range(most_rounds):
+    for _ in count():
         out = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = out.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = out.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -29,6 +31,4 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

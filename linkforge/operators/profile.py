@@ -45,15 +45,14 @@ def restriction_columns(df: DataFrame) -> list[str]:
 
 
 def gtin_columns(df: DataFrame, order_by: str | None = None) -> list[str]:
-    """Columns named like barcodes of whose first ten values at least half have seven digits or more."""
-    out = []
-    for c in df.columns:
-        low = c.lower()
-        if not any(re.search(w, low) for w in CODE_WORDS) or any(w in low for w in NOT_CODES):
-            continue
+    """Columns named like barcodes of whose first ten values at least half have seven digits or more; one job reads them all."""
+    named = [c for c in df.columns if any(re.search(w, c.lower()) for w in CODE_WORDS) and not any(w in c.lower() for w in NOT_CODES)]
+    every = None
+    for c in named:
         some = df.where(F.col(f"`{c}`").isNotNull())
-        some = some.orderBy(order_by) if order_by else some
-        values = [str(r[0]) for r in some.select(F.col(f"`{c}`")).limit(10).collect()]
-        if values and sum(len(re.sub(r"\D", "", v)) >= 7 for v in values) * 2 >= len(values):
-            out.append(c)
-    return out
+        some = (some.orderBy(order_by) if order_by else some).select(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")).limit(10)
+        every = some if every is None else every.unionByName(some)
+    values: dict[str, list[str]] = {c: [] for c in named}
+    for r in every.collect() if every is not None else []:
+        values[r["c"]].append(r["v"])
+    return [c for c in named if values[c] and sum(len(re.sub(r"\D", "", v)) >= 7 for v in values[c]) * 2 >= len(values[c])]

@@ -20,11 +20,13 @@ class ColumnConfig:
     size_unit: str | None = None
     gtin: tuple[str, ...] = ()
     output: tuple[str, ...] = ()
+    #: Columns that a match within the table may be restricted by; MatchSettings.restrictions says which of them hold.
+    restrictions: tuple[str, ...] = ()
     row_id: str = "row_id"
 
     @classmethod
     def detect(cls, df, row_id: str = "row_id") -> ColumnConfig:
-        """Roles from column names and values."""
+        """Roles from column names and values. Of barcode columns the first three are taken, of restrictions all that fit."""
         from ..operators import profile
 
         names = {c.lower(): c for c in df.columns}
@@ -34,6 +36,7 @@ class ColumnConfig:
             size_value=names.get("size_value"),
             size_unit=names.get("size_unit"),
             gtin=tuple(profile.gtin_columns(df, row_id if row_id in df.columns else None)[:3]),
+            restrictions=tuple(c for c in profile.restriction_columns(df) if c != row_id),
             row_id=row_id,
         )
 

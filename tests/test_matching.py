@@ -186,6 +186,8 @@ def test_detection(spark):
     assert profile.name_columns(df) == ["Product", "Description"]
     assert profile.restriction_columns(df) == ["Category"]
     assert profile.gtin_columns(df, "Product") == ["UPC"]
+    found = ColumnConfig.detect(df, "Product")
+    assert (found.product, found.gtin, found.restrictions) == (("Product", "Description"), ("UPC",), ("Category",))
 
 
 def test_gtin_quality(spark):
