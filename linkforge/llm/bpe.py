@@ -3,11 +3,12 @@
 A rolling hash over the bytes cuts texts into chunks, so that a passage shared by many documents gives the same
 chunks wherever it stands. A chunk is encoded once and kept. A cut may fall inside a word, so a chunk is kept as the
 word fragment before its first blank, the ids of the whole words in it, and the fragment after its last blank;
-at each join the two fragments are put together and encoded again, over as many chunks as the word spans. From
-there on the ids agree with those of the whole text, as the tokenizers used here drop blanks before they merge.
+at each join the two fragments are put together and encoded again, over as many chunks as the word spans. Then the text from
+the last whole word before the join to the first one after it is encoded as it stands: where its ids are not those
+of the parts, the window grows to the whole text, whose ids are right by themselves.
 
-Chunks are shared by the documents that one Python worker reads, through a store of bounded size: sharing them
-through a shuffle would move every text and every id list, several times the disk the encoding itself needs.
+Chunks are shared by the documents that one Python worker reads, through a store of bounded size. README says what sharing
+them over the cluster would move and save.
 """
 
 from __future__ import annotations
@@ -67,7 +68,9 @@ class ChunkEncoder:
                 if self._ids(f"{a} {b}") != self._ids(a) + self._ids(b) or self._ids(f"{a}\n \t{b}") != self._ids(a) + self._ids(b):
                     raise ValueError("chunks can be joined only for a tokenizer that drops blanks between words")
         self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, tuple[str, bytes | None, str]] = {}
+        #: First fragment, ids of the whole words (None without a blank), last fragment, and for the joins: the text up to the
+        #: end of the first whole word, its ids, the text from the last whole word on, its ids.
+        self.chunks: dict[bytes, tuple[str, bytes | None, str, str, bytes, str, bytes]] = {}
         self.max_words, self.max_chunks = max_words, max_chunks
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.names = [str(i) for i in range(size)]
@@ -91,12 +94,12 @@ class ChunkEncoder:
             text = chunk.decode("utf-8", "replace")
             first = BLANK.search(text)
             if first is None:
-                parts.append((text, None, ""))
+                parts.append((text, None, "", text))
                 continue
             end = len(text.rstrip(" \t\n\x0b\x0c\r"))
             cut = max(text.rfind(b, first.start(), end) for b in " \t\n\x0b\x0c\r") + 1 if end == len(text) else end
             body = split_words(text[first.start() : cut])
-            parts.append((text[: first.start()], body, text[cut:] if end == len(text) else ""))
+            parts.append((text[: first.start()], body, text[cut:] if end == len(text) else "", text))
             for w in body:
                 if w not in self.words:
                     missing[w] = None
@@ -105,8 +108,16 @@ class ChunkEncoder:
             some = words[i : i + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
                 self.words[w] = np.array(e.ids, _IDS).tobytes()
-        for chunk, (head, body, tail) in zip(new, parts):
-            self.chunks[chunk] = (head, None if body is None else b"".join(map(self.words.__getitem__, body)), tail)
+        for chunk, (head, body, tail, text) in zip(new, parts):
+            if body:
+                front = text[: text.index(body[0], len(head)) + len(body[0])]
+                back = text[text.rindex(body[-1], 0, len(text) - len(tail)) :]
+                self.chunks[chunk] = (head, b"".join(map(self.words.__getitem__, body)), tail, front, self.words[body[0]], back, self.words[body[-1]])
+            elif body is None:
+                self.chunks[chunk] = (head, None, "", text, b"", text, b"")
+            else:
+                blank = text[len(head) : len(text) - len(tail)]
+                self.chunks[chunk] = (head, b"", tail, head + blank, b"", blank + tail, b"")
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each text of a buffer."""
@@ -116,28 +127,45 @@ class ChunkEncoder:
         found = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         self._learn(list(dict.fromkeys(c for c in found if c not in self.chunks)))
         last = np.searchsorted(ends, offsets, "left")  # index of the chunk that ends at each offset
-        out = []
+        out, joins = [], []
         for row in range(len(offsets) - 1):
             ids, fragment = [], ""
+            before, window, want = False, "", b""
             if offsets[row] != offsets[row + 1]:
                 first = int(np.searchsorted(ends, offsets[row], "right"))
                 for chunk in found[first : int(last[row + 1]) + 1]:
-                    head, body, tail = self.chunks[chunk]
+                    head, body, tail, front, front_ids, back, back_ids = self.chunks[chunk]
                     fragment += head
+                    window += front
                     if body is not None:
-                        if fragment:
-                            ids.append(self._word(fragment))
-                        ids.append(body)
-                        fragment = tail
+                        joined = self._word(fragment) if fragment else b""
+                        if before:
+                            joins.append((row, window, want + joined + front_ids))
+                        ids += (joined, body)
+                        fragment, before, window, want = tail, True, back, back_ids
                 if fragment:
-                    ids.append(self._word(fragment))
+                    joined = self._word(fragment)
+                    ids.append(joined)
+                    if before:
+                        joins.append((row, window, want + joined))
             out.append(np.frombuffer(b"".join(ids), _IDS))
+        for row in self._disagreeing(joins):
+            out[row] = np.frombuffer(self._ids(raw[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")), _IDS)
         for kept, most in ((self.words, self.max_words), (self.chunks, self.max_chunks)):
             if len(kept) > most:
                 for key in list(islice(kept, len(kept) - most // 2)):
                     del kept[key]
         return out
 
+    def _disagreeing(self, joins: list[tuple[int, str, bytes]]) -> set[int]:
+        """Rows with a join (row, text around it, ids put together) whose text has other ids."""
+        windows = list(dict.fromkeys(w for _, w, _ in joins))
+        got: dict[str, bytes] = {}
+        for i in range(0, len(windows), 20_000):
+            some = windows[i : i + 20_000]
+            got |= {w: np.array(e.ids, _IDS).tobytes() for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))}
+        return {row for row, w, want in joins if got[w] != want}
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         if self.tokens is not None:
             return [" ".join(map(self.tokens.__getitem__, x.tolist())) for x in ids]

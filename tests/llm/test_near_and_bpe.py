@@ -194,6 +194,21 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe(df.limit(0), PATH).collect() == []
 
 
+def test_joins_that_disagree_are_encoded_again():
+    from tokenizers import Tokenizer
+
+    library, text = Tokenizer.from_file(PATH), " ".join(f"wordy{i} and" for i in range(300))
+    encoder = bpe.ChunkEncoder(PATH)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert encoder.encode(*buffer([text]))[0].tolist() == want
+    # Fragments at joins that are encoded wrongly do not come through.
+    encoder._word = lambda w: b"\0\0\0\0"
+    assert encoder.encode(*buffer([text, "x y", None]))[0].tolist() == want
+    long = "".join(f"unbroken{i}" for i in range(20_000)) + " end " + "\u3000x " * 1000
+    for t in (long, " ".join([long, text, long])):
+        assert bpe.ChunkEncoder(PATH).encode(*buffer([t]))[0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_chunks_are_shared():
     passage = " ".join(f"word{i}" for i in range(400))
     encoder = bpe.ChunkEncoder(PATH)
