@@ -170,6 +170,27 @@ def test_near_edges(spark):
     assert nd.near_classes(df.limit(0)).collect() == []
 
 
+def test_near_classes_of_long_texts_and_large_groups(spark):
+    # Two near copies of a very long text, a large group of exact copies and a chain of near ones, with columns of names used inside.
+    random.seed(3)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    long = [word() for _ in range(60_000)]
+    other = list(long)
+    for i in range(0, 60_000, 600):
+        other[i] = word()
+    chain, w = [], [word() for _ in range(120)]
+    for _ in range(40):
+        w = list(w)
+        w[random.randrange(120)] = word()
+        chain.append(" ".join(w))
+    rows = [(1, " ".join(long)), (2, " ".join(other))] + [(10 + i, "the very same text in many rows of the table") for i in range(300)] + [(1000 + i, t) for i, t in enumerate(chain)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, class_id int, _key int, _sig int, _th int")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in nd.near_classes(df, cell=7).collect()}
+    assert got[1] == got[2] == (1, 2) and {got[10 + i] for i in range(300)} == {(10, 300)} and {got[1000 + i] for i in range(40)} == {(1000, 40)}
+    kept = nd.near_dedup(df)
+    assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == [1, 10, 1000]
+
+
 def odd_texts():
     random.seed(1)
     out = ["", None, "  ", "a", "é" * 50, "Don't STOP'S á x\u0301" * 20, "\x1cfoo\x85bar\xa0baz qux\u3000z" * 9, "<|startoftext|>hi <|endoftext|>" * 7, "ΣΣ İI " * 30, "a\u0000b c" * 40, "\U0001f600\U0001f600" * 100, "\u0301 \u0301a" * 60]

@@ -133,6 +133,19 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), ranking).collect() == []
 
 
+def test_quality_of_any_columns_lengths_and_ties(spark):
+    docs, labels, _ = labelled_corpus(spark)
+    ranking = quality.fit(docs, labels)
+    rows = [(1, "good words here", 1, 2, 3), (1, "good words here", 1, 2, 3), (None, None, 1, 2, 3), (2, "word " * 400_000, 1, 2, 3), (3, "", 1, 2, 3)]
+    got = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, score int, raw int, _id int"), ranking).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "None"] and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and {r.score for r in got if r.doc_id == 3} == {r.score for r in got if r.doc_id is None}
+    # A text at the threshold scores one half, whatever the slope, and scores keep the order of the ranking.
+    x = np.array([[0.0] * len(quality.FEATURES), [1.0] * len(quality.FEATURES)])
+    tie = quality.Ranking(np.zeros(16), np.ones(16), np.full(16, 0.25), 4.0, 3.0)
+    assert tie.score(x)[1] == 0.5 and tie.score(x)[0] < 0.5
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels, truth = labelled_corpus(spark)
     _, counts = labelled.sample(docs, labels, "toxic", 10_000)
