@@ -19,8 +19,8 @@ def weights(texts: DataFrame, text: str = "text", rows: str = "rows", stop_words
     """(text, term, weight, df) for each distinct text with a term. `rows` holds how many documents have the text, df how many the term."""
     found = texts.select(text, rows, F.explode(terms(F.col(text), stop_words)).alias("term")).groupBy(text, rows, "term").agg(F.count("*").alias("tf"))
     seen = found.groupBy("term").agg(F.sum(rows).alias("df"))
-    total = texts.agg(F.sum(rows).alias("n"))
-    idf = seen.crossJoin(F.broadcast(total)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "df")
+    total = texts.agg(F.sum(rows)).scalar()
+    idf = seen.select("term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"), "df")
     raw = found.join(idf, "term").select(text, "term", (F.col("tf") * F.col("idf")).alias("w"), "df")
     norm = raw.groupBy(text).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, text).select(text, "term", (F.col("w") / F.col("norm")).alias("weight"), "df")
