@@ -151,10 +151,12 @@ def gtin_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return best.select("left_id", "right_id", "gtin_score", gtin.match_type(F.col("gtin_score")).alias("gtin_match_type"), F.slice(F.array_sort(ties), 1, 3).alias("matching_gtins"))
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, within: bool = False) -> DataFrame:
+def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, within: bool = False, best: int | None = None) -> DataFrame:
     """All pairs of prepared rows at or above the threshold, with every score. `within`: both sides are one table, and restrictions hold.
 
-    Restrictions are keys of the joins, so rows that differ in them never meet.
+    Restrictions are keys of the joins, so rows that differ in them never meet. best: only pairs that can be among so many
+    best ones of a left row are needed. Right rows of one name and size score alike unless a barcode speaks for one, so the
+    first ones by id stand for the others; pairs with a barcode are all scored.
     """
     s = settings
     keep = tuple(f"_keep_{i}" for i in range(len(s.restrictions))) if within else ()
@@ -163,7 +165,8 @@ def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, wit
     vectors = text_vectors(left, right, s) if s.w_tfidf or s.w_fuzzy else None
     ids = None
     if s.w_tfidf or s.w_fuzzy:
-        ids = a.join(text_pairs(left, right, vectors, s, keep), "left_text").join(b, ["right_text", *keep])
+        first = b if best is None else b.withColumn("_nth", F.row_number().over(Window.partitionBy("right_text", "right_base", *keep).orderBy("right_id"))).where(F.col("_nth") <= best).drop("_nth")
+        ids = a.join(text_pairs(left, right, vectors, s, keep), "left_text").join(first, ["right_text", *keep])
     if s.w_gtin:
         codes = gtin_pairs(left, right)
         if ids is None:

@@ -1,7 +1,8 @@
 """Record-linkage queries over the part table, and DuckDB SQL that says the same.
 
-Catalog: a row for each distinct name and brand. Customer list: a row for each distinct name and type, words in
-another order. Sizes and barcodes are made from the keys by arithmetic, so that both engines see the same.
+Catalog: names and brands; customer list: names and types, words in another order. Both have every row of the table where they
+are matched with each other; for matching within, which gives all pairs, the catalog has a row for each distinct name.
+Sizes and barcodes are made from the keys by arithmetic, so that both engines see the same.
 """
 
 from __future__ import annotations
@@ -50,11 +51,15 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(key.alias("row_id"), F.concat_ws(" ", "p_name", "p_brand").alias("product_name"), F.col("p_brand").alias("brand"), size_text(key, F.col("f.p_size"), F.col("f.p_type")).alias("size"), code_text(key).alias("gtin"))
 
 
-def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = part(spark, sf_dir).groupBy("p_name", "p_type").agg(F.min(F.struct("p_partkey", "p_size")).alias("f"))
-    key = F.col("f.p_partkey")
+def all_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return part(spark, sf_dir).select(key.alias("row_id"), F.concat_ws(" ", "p_name", "p_brand").alias("product_name"), F.col("p_brand").alias("brand"), size_text(key, F.col("p_size"), F.col("p_type")).alias("size"), code_text(key).alias("gtin"))
+
+
+def all_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
     words = F.concat_ws(" ", F.reverse(F.split("p_name", " ")))
-    return rows.select(key.alias("row_id"), F.concat_ws(" ", words, F.lower("p_type"), F.lit("of the")).alias("product_name"), size_text(key, F.col("f.p_size"), F.col("p_type")).alias("size"), code_text(key).alias("gtin"))
+    return part(spark, sf_dir).select(key.alias("row_id"), F.concat_ws(" ", words, F.lower("p_type"), F.lit("of the")).alias("product_name"), size_text(key, F.col("p_size"), F.col("p_type")).alias("size"), code_text(key).alias("gtin"))
 
 
 CONFIG = ColumnConfig(product=("product_name",), size="size", gtin=("gtin",))
@@ -81,7 +86,7 @@ def size_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str, settings: MatchSettings) -> tuple[DataFrame, DataFrame]:
-    return prepare(customer(spark, sf_dir), CONFIG, settings), prepare(catalog(spark, sf_dir), CONFIG, settings)
+    return prepare(all_customer(spark, sf_dir), CONFIG, settings), prepare(all_catalog(spark, sf_dir), CONFIG, settings)
 
 
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +97,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = MatchSettings(threshold=1.0, w_tfidf=1.0, w_fuzzy=0.0, w_gtin=0.0, max_matches=3)
     left, right = _prepared(spark, sf_dir, only)
-    return match.top_k(match.scored_pairs(left, right, only), 3).select("left_id", "right_id", "tfidf_score")
+    return match.top_k(match.scored_pairs(left, right, only, best=3), 3).select("left_id", "right_id", "tfidf_score")
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +128,13 @@ def gtin_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, TEXT_ONLY)
+    out = matching.match_between(all_catalog(spark, sf_dir), all_customer(spark, sf_dir), CONFIG, CONFIG, TEXT_ONLY)
     return out.select("left_id", "right_id", "left_name", "right_name", "confidence", "tfidf_score", "fuzzy_score")
 
 
 def combined_match_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: all four scores, best five of each customer row."""
-    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, ALL)
+    out = matching.match_between(all_catalog(spark, sf_dir), all_customer(spark, sf_dir), CONFIG, CONFIG, ALL)
     return out.select("left_id", "right_id", "confidence", "tfidf_score", "fuzzy_score", "gtin_score", "gtin_match_type", "size_score")
 
 
@@ -234,7 +239,7 @@ def sweep_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = (ColumnConfig(**{**CONFIG.__dict__, "output": columns}) for columns in (("size", "no_such_column"), ("brand", "gtin")))
-    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), right, left, TEXT_ONLY)
+    out = matching.match_between(all_catalog(spark, sf_dir), all_customer(spark, sf_dir), right, left, TEXT_ONLY)
     return out.select("left_id", "right_id", "Customer size", "Catalog brand", "Catalog gtin")
 
 
@@ -253,11 +258,11 @@ def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gtin_only_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = MatchSettings(threshold=75.0, w_tfidf=0.0, w_fuzzy=0.0, w_gtin=1.0, w_size=0.2, max_matches=5)
-    return matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, only).select("left_id", "right_id", "confidence", "gtin_score", "size_score")
+    return matching.match_between(all_catalog(spark, sf_dir), all_customer(spark, sf_dir), CONFIG, CONFIG, only).select("left_id", "right_id", "confidence", "gtin_score", "size_score")
 
 
 def additive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = matching.match_between(catalog(spark, sf_dir), customer(spark, sf_dir), CONFIG, CONFIG, TEXT_ONLY)
+    out = matching.match_between(all_catalog(spark, sf_dir), all_customer(spark, sf_dir), CONFIG, CONFIG, TEXT_ONLY)
     return out.select("left_id", "right_id", F.round(score.additive(F.col("tfidf_score"), F.col("fuzzy_score"), F.lit(50.0), 0.5, 0.25, 0.5), 4).alias("score"))
 
 
@@ -335,8 +340,8 @@ def _ratio(source: str, a: str, b: str) -> str:
 
 _CATALOG = f"""cat AS (SELECT k AS row_id, {_clean("p_name || ' ' || p_brand")} AS name, p_brand AS brand, {_size("k", "sz", "ty")} AS size, {_code("k")} AS gtin
     FROM (SELECT p_name, p_brand, min(p_partkey) AS k, arg_min(p_size, p_partkey) AS sz, arg_min(p_type, p_partkey) AS ty FROM part GROUP BY p_name, p_brand))"""
-_CUSTOMER = f"""cus AS (SELECT k AS row_id, {_clean("array_to_string(list_reverse(string_split(p_name, ' ')), ' ') || ' ' || lower(p_type) || ' of the'")} AS name, {_size("k", "sz", "p_type")} AS size, {_code("k")} AS gtin
-    FROM (SELECT p_name, p_type, min(p_partkey) AS k, arg_min(p_size, p_partkey) AS sz FROM part GROUP BY p_name, p_type))"""
+_ALL = f"""cat AS (SELECT *, {_amount('size')} AS amount FROM (SELECT p_partkey AS row_id, {_clean("p_name || ' ' || p_brand")} AS name, p_brand AS brand, {_size("p_partkey", "p_size", "p_type")} AS size, {_code("p_partkey")} AS gtin FROM part)),
+    cus AS (SELECT *, {_amount('size')} AS amount FROM (SELECT p_partkey AS row_id, {_clean("array_to_string(list_reverse(string_split(p_name, ' ')), ' ') || ' ' || lower(p_type) || ' of the'")} AS name, {_size("p_partkey", "p_size", "p_type")} AS size, {_code("p_partkey")} AS gtin FROM part))"""
 
 
 def _tfidf(left: str, right: str) -> str:
@@ -431,8 +436,8 @@ ORACLES: dict[str, str] = {
     "size_similarity": f"""WITH b AS (SELECT DISTINCT p_name, {_amount('raw')} AS b FROM (SELECT p_name, {_size('p_partkey', 'p_size', 'p_type')} AS raw FROM part)),
         p AS (SELECT x.p_name, x.b AS size_a, y.b AS size_b, greatest(x.b, y.b) AS hi, least(x.b, y.b) AS lo FROM b x JOIN b y ON x.p_name = y.p_name)
         SELECT p_name, size_a, size_b, CASE WHEN size_a IS NULL OR size_b IS NULL THEN 0.0 WHEN lo = 0 THEN CASE WHEN hi = 0 THEN 100.0 ELSE 0.0 END WHEN (hi - lo) * 100.0 / hi <= 20.0 THEN round(greatest(0.0, least(100.0, (1.0 - (hi - lo) * 100.0 / hi / 20.0) * 100.0)), 4) ELSE 0.0 END::DOUBLE AS score FROM p""",
-    "tfidf_weights": f"WITH {_CATALOG}, {_CUSTOMER}, {_tfidf('cus', 'cat')} SELECT name AS text, term, round(w, 4) AS weight FROM wt",
-    "tfidf_topk": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat', False)},
+    "tfidf_weights": f"WITH {_ALL}, {_tfidf('cus', 'cat')} SELECT name AS text, term, round(w, 4) AS weight FROM wt",
+    "tfidf_topk": f"""WITH {_ALL}, {_texts('cus', 'cat', False)},
         p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, tfidf_score, row_number() OVER (PARTITION BY l.row_id ORDER BY tfidf_score DESC, r.row_id) AS k FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt WHERE tfidf_score >= 1)
         SELECT left_id, right_id, tfidf_score FROM p WHERE k <= 3""",
     "fuzzy_pairs": f"""WITH a AS (SELECT DISTINCT {_clean("p_name || ' ' || p_type")} AS a FROM part), b AS (SELECT DISTINCT {_clean('p_name')} AS b FROM part), q AS (SELECT a, b FROM a JOIN b ON length(a) BETWEEN length(b) AND length(b) + 12)
@@ -443,12 +448,12 @@ ORACLES: dict[str, str] = {
     "gtin_quality": f"""WITH c AS (SELECT {_code('p_partkey')} AS gtin FROM part), d AS (SELECT {_DIGITS} AS d FROM c),
         q AS (SELECT d, CASE WHEN length(d) = 11 THEN 'correctable' WHEN length(d) = 13 THEN 'invalid' WHEN d = substr(d, 1, length(d) - 1) || {_check('substr(d, 1, length(d) - 1)')} THEN 'valid' ELSE 'correctable' END AS m FROM d)
         SELECT count(*) AS total_products, count(*) FILTER (d <> '') AS products_with_gtins, count(*) FILTER (m = 'valid') AS valid_gtins, count(*) FILTER (m = 'correctable') AS correctable_gtins, count(*) FILTER (m = 'invalid') AS invalid_gtins, round(count(*) FILTER (d <> '') * 100.0 / count(*), 4)::DOUBLE AS coverage_percentage FROM q""",
-    "gtin_join": f"WITH {_CATALOG}, {_CUSTOMER}, {_codes('cus', 'cat')} SELECT * FROM gp",
-    "text_match_topk": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')},
+    "gtin_join": f"WITH {_ALL}, {_codes('cus', 'cat')} SELECT * FROM gp",
+    "text_match_topk": f"""WITH {_ALL}, {_texts('cus', 'cat')},
         p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, l.name AS left_name, r.name AS right_name, round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence, tfidf_score, fuzzy_score FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt),
         k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM p WHERE confidence >= 60) SELECT * EXCLUDE (k) FROM k WHERE k <= 5""",
-    "combined_match_topk": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')}, {_codes('cus', 'cat')},
-        p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, tfidf_score, fuzzy_score, coalesce(gtin_score, 0.0) AS gtin_score, gtin_match_type, {_amount('l.size')} AS a, {_amount('r.size')} AS b
+    "combined_match_topk": f"""WITH {_ALL}, {_texts('cus', 'cat')}, {_codes('cus', 'cat')},
+        p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, tfidf_score, fuzzy_score, coalesce(gtin_score, 0.0) AS gtin_score, gtin_match_type, l.amount AS a, r.amount AS b
               FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt LEFT JOIN gp ON gp.left_id = l.row_id AND gp.right_id = r.row_id),
         q AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) <= 20.0 THEN round(greatest(0.0, least(100.0, (1.0 - (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) / 20.0) * 100.0)), 4) ELSE 0.0 END AS size_score, tfidf_score * 0.5 + fuzzy_score * 0.5 AS t FROM p),
         s AS (SELECT *, round(least(CASE WHEN gtin_score > 0 THEN t * 0.5 + gtin_score * 0.5 ELSE t END * 0.8 + size_score * 0.2, 100.0), 6) AS confidence FROM q),
@@ -456,7 +461,7 @@ ORACLES: dict[str, str] = {
         SELECT left_id, right_id, confidence::DOUBLE AS confidence, tfidf_score, fuzzy_score, gtin_score, gtin_match_type, size_score::DOUBLE AS size_score FROM k WHERE k <= 5""",
     "within_match": f"WITH {_WITHIN} SELECT left_id, right_id, confidence FROM pr WHERE confidence >= 70",
     "restricted_match": f"WITH {_WITHIN} SELECT left_id, right_id, confidence FROM pr WHERE confidence >= 60 AND lower(lb) = lower(rb)",
-    "unmatched_rows": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')}, hit AS (SELECT DISTINCT lt FROM txt WHERE round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) >= 72)
+    "unmatched_rows": f"""WITH {_ALL}, {_texts('cus', 'cat')}, hit AS (SELECT DISTINCT lt FROM txt WHERE round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) >= 72)
         SELECT row_id AS left_id, 'No matches found above threshold' AS note FROM cus WHERE name NOT IN (SELECT lt FROM hit)""",
     "match_summary": f"""WITH {_WITHIN}, m AS (SELECT * FROM pr WHERE confidence >= 70), n AS (SELECT count(DISTINCT least(left_name, right_name) || chr(0) || greatest(left_name, right_name)) AS d FROM m)
         SELECT count(*) AS n_matches, round(avg(confidence), 4) AS avg_confidence, (SELECT d FROM n) AS distinct_pairs, count(DISTINCT left_id) AS rows_with_matches, (SELECT d FROM n) * 2 AS pairs_times_two FROM m""",
@@ -483,7 +488,7 @@ ORACLES: dict[str, str] = {
     "evolution_leaving": f"WITH RECURSIVE {_EVOLVED.replace('THEN 100.0 ELSE score', 'THEN 0.0 ELSE score')} SELECT group_id, threshold, member_id, round(CAST(sim AS DOUBLE), 6) AS similarity_to_representative, n AS group_size_at_threshold, in_group FROM ev",
     "evolution_attributes": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, threshold, member_id, p_brand AS brand, p_name || ' ' || p_brand AS product_name FROM ev JOIN part ON p_partkey = member_id",
     "threshold_preview": f"WITH RECURSIVE {_EVOLVED} SELECT group_id, member_id, n AS group_size_at_threshold FROM ev WHERE threshold = 80 AND in_group",
-    "enriched_match": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')},
+    "enriched_match": f"""WITH {_ALL}, {_texts('cus', 'cat')},
         p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, l.size AS "Customer size", r.brand AS "Catalog brand", r.gtin AS "Catalog gtin", round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt),
         k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM p WHERE confidence >= 60) SELECT * EXCLUDE (k, confidence) FROM k WHERE k <= 5""",
     "least_scores_match": f"WITH {_WITHIN} SELECT left_id, right_id, confidence FROM pr WHERE confidence >= 70 AND tfidf_score >= 55 AND fuzzy_score >= 90",
@@ -491,13 +496,13 @@ ORACLES: dict[str, str] = {
         o AS (SELECT 'confidence' AS sort_by, row_number() OVER (ORDER BY confidence DESC, left_id, right_id) AS place, left_id, right_id FROM m UNION ALL SELECT 'confidence_ascending', row_number() OVER (ORDER BY confidence, left_id, right_id), left_id, right_id FROM m
               UNION ALL SELECT 'left_name', row_number() OVER (ORDER BY left_name, left_id, right_id), left_id, right_id FROM m UNION ALL SELECT 'right_name', row_number() OVER (ORDER BY right_name, left_id, right_id), left_id, right_id FROM m)
         SELECT sort_by, CAST(place AS INT) AS place, left_id, right_id FROM o WHERE place <= 100""",
-    "gtin_only_match": f"""WITH {_CATALOG}, {_CUSTOMER}, {_codes('cus', 'cat')},
-        p AS (SELECT gp.*, {_amount('l.size')} AS a, {_amount('r.size')} AS b FROM gp JOIN cus l ON l.row_id = left_id JOIN cat r ON r.row_id = right_id),
+    "gtin_only_match": f"""WITH {_ALL}, {_codes('cus', 'cat')},
+        p AS (SELECT gp.*, l.amount AS a, r.amount AS b FROM gp JOIN cus l ON l.row_id = left_id JOIN cat r ON r.row_id = right_id),
         q AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 WHEN (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) <= 20.0 THEN round(greatest(0.0, least(100.0, (1.0 - (greatest(a, b) - least(a, b)) * 100.0 / greatest(a, b) / 20.0) * 100.0)), 4) ELSE 0.0 END AS size_score FROM p),
         s AS (SELECT *, round(least(gtin_score * 0.8 + size_score * 0.2, 100.0), 6) AS confidence FROM q),
         k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM s WHERE confidence >= 75)
         SELECT left_id, right_id, confidence::DOUBLE AS confidence, gtin_score, size_score::DOUBLE AS size_score FROM k WHERE k <= 5""",
-    "additive_scores": f"""WITH {_CATALOG}, {_CUSTOMER}, {_texts('cus', 'cat')},
+    "additive_scores": f"""WITH {_ALL}, {_texts('cus', 'cat')},
         p AS (SELECT l.row_id AS left_id, r.row_id AS right_id, round(least(tfidf_score * 0.5 + fuzzy_score * 0.5, 100.0), 6) AS confidence, tfidf_score, fuzzy_score FROM cus l JOIN txt ON l.name = lt JOIN cat r ON r.name = rt),
         k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY confidence DESC, right_id) AS k FROM p WHERE confidence >= 60)
         SELECT left_id, right_id, round(tfidf_score * 0.4 + fuzzy_score * 0.2 + 50.0 * 0.4, 4) AS score FROM k WHERE k <= 5""",

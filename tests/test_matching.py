@@ -111,6 +111,18 @@ def test_candidates_lose_no_pair(spark, settings):
     assert settings["threshold"] <= 0 or ("CartesianProduct" not in plan and "NestedLoop" not in plan)
 
 
+def test_rows_that_score_alike_are_stood_for_by_the_first(spark):
+    rng = random.Random(2)
+    names, sizes_, codes = ["red bolt", "red bolts", "blue gear", "gear blue small"], ["10 g", "11 g", None], ["036000291452", "036000291453", None, None]
+    left, right = (rows(spark, [(i, rng.choice(names), rng.choice(sizes_), rng.choice(codes)) for i in range(n)]) for n in (25, 60))
+    for more in (dict(w_gtin=0.5, w_size=0.2), dict(w_gtin=0.0, sort_by="size_score", w_size=0.3), dict(w_gtin=0.5, min_fuzzy=80.0)):
+        s = MatchSettings(**{**dict(threshold=40.0, w_tfidf=0.25, w_fuzzy=0.25, max_matches=3), **more})
+        a, b = (prepare.prepare(df, CONFIG, s) for df in (left, right))
+        every = match.top_k(match.scored_pairs(a, b, s), 3, s.sort_by).select("left_id", "right_id", "confidence").collect()
+        got = match.top_k(match.scored_pairs(a, b, s, best=3), 3, s.sort_by).select("left_id", "right_id", "confidence").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, every)) and len(got) > 20
+
+
 def test_candidate_mode_is_a_subset(spark):
     df = rows(spark, [(i, f"red bolt {i % 7} gear{i % 3}", None, None) for i in range(30)])
     s = dict(threshold=60.0, w_tfidf=0.5, w_fuzzy=0.5, w_gtin=0.0, max_matches=None)
