@@ -155,20 +155,22 @@ def scored_pairs(left: DataFrame, right: DataFrame, settings: MatchSettings, wit
     """All pairs of prepared rows at or above the threshold, with every score. `within`: both sides are one table, and restrictions hold.
 
     Restrictions are keys of the joins, so rows that differ in them never meet. best: only pairs that can be among so many
-    best ones of a left row are needed. Right rows of one name and size score alike unless a barcode speaks for one, so the
-    first ones by id stand for the others; pairs with a barcode are all scored.
+    best ones of a left row are needed. Right rows of one name and size score alike but for those with its barcode, so the
+    first ones by id stand for the others: as many, and as any left row has barcode pairs. Those pairs are all scored.
     """
     s = settings
     keep = tuple(f"_keep_{i}" for i in range(len(s.restrictions))) if within else ()
     side = lambda df, p: df.select(F.col("row_id").alias(f"{p}_id"), F.col("name").alias(f"{p}_text"), F.col("size_base").alias(f"{p}_base"), F.col("size_text").alias(f"{p}_size"), *keep)
     a, b = side(left, "left"), side(right, "right")
     vectors = text_vectors(left, right, s) if s.w_tfidf or s.w_fuzzy else None
+    codes = cut(gtin_pairs(left, right)) if s.w_gtin else None
+    if best is not None and codes is not None:
+        best += codes.groupBy("left_id").count().agg(F.max("count")).first()[0] or 0
     ids = None
     if s.w_tfidf or s.w_fuzzy:
         first = b if best is None else b.withColumn("_nth", F.row_number().over(Window.partitionBy("right_text", "right_base", *keep).orderBy("right_id"))).where(F.col("_nth") <= best).drop("_nth")
         ids = a.join(text_pairs(left, right, vectors, s, keep), "left_text").join(first, ["right_text", *keep])
-    if s.w_gtin:
-        codes = gtin_pairs(left, right)
+    if codes is not None:
         if ids is None:
             pairs = codes.join(a, "left_id").join(b, ["right_id", *keep]).withColumn("tfidf_score", F.lit(0.0)).withColumn("fuzzy_score", F.lit(0.0))
         else:
