@@ -59,7 +59,8 @@ def repeated_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: in
     lines = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_th"), lines.alias("_j", "_x")).withColumn("_x", _trimmed(F.col("_x")))
     # A row for each line, with a hash of 16 bytes for its name. Read twice, so written once.
     lines = written(lines.select("_id", "_th", "_j", _long(F.col("_x"), min_words).alias("_long"), F.unhex(F.md5("_x")).alias("_rank")), "lines")
-    again = lines.groupBy("_rank").agg(F.count("*").alias("_n")).where("_n > 1").select("_rank")
+    # Written, so that both sides of the join are exchanged as they are and a hot line's rows can be split.
+    again = cut(lines.groupBy("_rank").agg(F.count("*").alias("_n")).where("_n > 1").select("_rank"))
     found = cut(lines.join(again, "_rank"))
     discard(lines)
     sizes = found.groupBy("_id", "_th").agg((F.max("_j") + 2).cast("long").alias("_size"))
@@ -77,7 +78,7 @@ def repeated_suffixes(docs: DataFrame, id_col: str, text_col: str, min_words: in
 def _ranked(suffixes: DataFrame, *names: str) -> DataFrame:
     """The suffixes whose names another place has too, with the first such place as _rank."""
     classes = suffixes.groupBy(*names).agg(F.min("_pos").alias("_first"), F.max("_pos").alias("_last")).where("_first <> _last")
-    return suffixes.join(classes.select(*names, "_first"), list(names)).select("_doc", "_pos", F.col("_first").alias("_rank"))
+    return suffixes.join(cut(classes.select(*names, "_first")), list(names)).select("_doc", "_pos", F.col("_first").alias("_rank"))
 
 
 def suffix_classes(suffixes: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
@@ -90,7 +91,7 @@ def suffix_classes(suffixes: DataFrame, min_lines: int) -> list[tuple[int, DataF
     while not level.isEmpty():
         apart = min_lines - length if length < min_lines < 2 * length else length
         ahead = Window.partitionBy("_doc").orderBy("_pos").rangeBetween(apart, apart)
-        pairs = level.withColumn("_next", F.first("_rank").over(ahead)).where("_next is not null")
+        pairs = cut(level.withColumn("_next", F.first("_rank").over(ahead)).where("_next is not null"))
         length, level = length + apart, cut(_ranked(pairs, "_rank", "_next"))
         out.append((length, level))
     return out
