@@ -10,6 +10,7 @@ they came from by (source, block).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -116,7 +117,7 @@ def plan(sources: list[tuple[str, int]], block_words: int, weights=(1.0, 2.0, 3.
     return out
 
 
-def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_words: int, seed: int, shard_slots: int, rows_per_bucket: int, weights=(1.0, 2.0, 3.0), most: float = 3.0):
+def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_words: int, seed: int, shard_slots: int, rows_per_bucket: int | None, weights=(1.0, 2.0, 3.0), most: float = 3.0):
     """Sized rows with their offsets in the source's stream, the plan, and the slots: (_source, _block, _pass, _shard)."""
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -124,7 +125,9 @@ def placed(docs: DataFrame, id_col: str, source_col: str, text_col: str, block_w
     per_source = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("n")).collect()  # a row for each source
     sources = plan([(r["_source"], r["size"]) for r in per_source], block_words, weights, most)
     # Running offsets in two levels: buckets within a source, rows within a bucket. A hot source has many buckets.
-    buckets = max(1, -(-sum(r["n"] for r in per_source) // rows_per_bucket))
+    # By default both levels grow alike with the table.
+    n_rows = sum(r["n"] for r in per_source)
+    buckets = max(1, -(-n_rows // (rows_per_bucket or max(1000, math.isqrt(n_rows)))))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_th"), F.lit(buckets)))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_source", "_bucket").agg(F.sum("_size").alias("_sum")).withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
@@ -164,7 +167,7 @@ def _pieces(rows: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 4_000) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int | None = None) -> DataFrame:
     """For each row of `docs`: id, size, source_size, target, taken.
 
     Sizes count words; a null text has none. Sources sort by code point with null, which is a source too, last; they
@@ -192,7 +195,7 @@ def _with_targets(every: DataFrame, sources: list, id_col: str) -> DataFrame:
     return every.join(table, "_source").selectExpr(f"_id as `{id_col}`", "_size as size", "source_size", "target", "taken")
 
 
-def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int = 4_000, length_col: str | None = "n_chars") -> DataFrame:
+def mix_texts(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block_words: int = 64, seed: int = 11, shard_slots: int = 1 << 16, rows_per_bucket: int | None = None, length_col: str | None = "n_chars") -> DataFrame:
     """The mix itself, in the columns of `docs`: a row for each document and pass that takes words of it.
 
     Its text holds the taken words in their order and with the characters between them; where words in between
