@@ -456,7 +456,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([number] * len(rows), pa.int64()), pa.array(marks, pa.binary())], names=["_piece", "_range", "_marks"])
 
     hashes = stored.mapInArrow(to_hashes, "_range long, _piece long, _hashes binary")
-    marks = hashes.repartition(ranges, "_range").sortWithinPartitions("_range").mapInArrow(to_marks, "_piece long, _range long, _marks binary")
+    marks = hashes.repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions("_range").mapInArrow(to_marks, "_piece long, _range long, _marks binary")
     marks = cut(marks.groupBy("_piece").agg(F.sort_array(F.collect_list(F.struct("_range", "_marks"))).alias("_marks")))
 
     def marked(anchored: tuple, marks: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -517,7 +517,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(piece[new], pa.int64()), pa.array(blocks, pa.binary())], names=["_piece", "_cuts"])
 
     runs = stored.join(marks, "_piece").select("_piece", "_block", "_marks").mapInArrow(to_runs, "_range long, _run binary")
-    stretches = runs.repartition(ranges, "_range").sortWithinPartitions("_range").mapInArrow(to_stretches, "_piece long, _cuts binary")
+    stretches = runs.repartitionById(ranges, F.col("_range").cast("int")).sortWithinPartitions("_range").mapInArrow(to_stretches, "_piece long, _cuts binary")
     stretches = stretches.groupBy("_piece").agg(F.collect_list("_cuts").alias("_cuts"))
 
     @tidy

@@ -141,7 +141,7 @@ def url_filter(
     placed = {"_range": "int", "_key": "string", "_page": "int", "_id": page_kind, "host": "string", "path": "string", "action": "string"}
     schema = ", ".join(f"`{k}` {v}" for k, v in placed.items())
     both = own.mapInArrow(place_pages, schema).unionByName(named.mapInArrow(place_rules, schema))
-    dealt = both.repartition(ranges, "_range").sortWithinPartitions("_range", "_page", "_key", "path")
+    dealt = both.repartitionById(ranges, F.col("_range")).sortWithinPartitions("_range", "_page", "_key", "path")
 
     @tidy
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
