@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .numbering import numbered
 
 
 def edges(pairs: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def analyse(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
     size = members.groupBy("group_key").agg(F.count("*").alias("group_size"))
     stats = pair_scores.groupBy("group_key").agg(F.avg("score").alias("avg_similarity"), F.min("score").alias("min_similarity"))
     out = size.join(stats, "group_key").join(representatives(members, pair_scores), "group_key")
-    return out.withColumn("group_id", group_id(F.row_number().over(Window.orderBy("group_key")))).select("group_id", "group_key", "group_size", "avg_similarity", "min_similarity", "representative_id")
+    return numbered(out, ["group_key"], "_number").withColumn("group_id", group_id(F.col("_number"))).select("group_id", "group_key", "group_size", "avg_similarity", "min_similarity", "representative_id")
 
 
 def group_id(number):

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gtin, sizes, text
 from ..plans.settings import ColumnConfig, MatchSettings
+from .numbering import numbered
 
 
 def with_row_id(df: DataFrame, order_by: list[str], row_id: str = "row_id") -> DataFrame:
-    """Numbers rows from 0 by the given columns, which must order them uniquely for stable numbers.
-
-    For tables without a key of their own; the one global sort is the price of dense numbers.
-    """
-    return df.withColumn(row_id, (F.row_number().over(Window.orderBy(*order_by)) - 1).cast("long"))
+    """Numbers rows from 0 by the given columns, which must order them uniquely for stable numbers. For tables without a key of their own."""
+    return numbered(df, list(order_by), row_id).withColumn(row_id, F.col(row_id) - 1)
 
 
 def prepare(df: DataFrame, config: ColumnConfig, settings: MatchSettings = MatchSettings()) -> DataFrame:

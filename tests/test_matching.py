@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings as hypothesis_settings, strategies as st
 
 from linkforge.functions.words import ENGLISH, STOP_WORDS
-from linkforge.operators import fuzzy, graph, groups, match, prepare, profile, report, sweep
+from linkforge.operators import fuzzy, graph, groups, match, numbering, prepare, profile, report, sweep
 from linkforge.plans import matching
 from linkforge.plans.settings import ColumnConfig, MatchSettings
 
@@ -186,6 +186,15 @@ def test_row_ids(spark):
     assert sorted((r.row_id, r.name) for r in prepare.with_row_id(df, ["name"]).collect()) == [(0, "a"), (1, "b"), (2, "c")]
 
 
+def test_numbers_follow_the_order_over_all_parts(spark):
+    df = spark.range(0, 5000, 1, 7).selectExpr("id", "hash(id) as h").repartition(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    got = numbering.numbered(df, ["h", "id"], "n").orderBy("n").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r.n for r in got] == list(range(1, 5001)) and [(r.h, r.id) for r in got] == sorted((r.h, r.id) for r in got)
+    assert numbering.numbered(df.where("id < 0"), ["h"], "n").collect() == []
+
+
 def test_orders_of_a_report(spark):
     pairs = spark.createDataFrame([(1, 2, "b", "x", 70.0), (2, 1, "a", "y", 90.0), (3, 1, "a", "z", 90.0)], "left_id long, right_id long, left_name string, right_name string, confidence double")
     first = lambda order, n: [(r.place, r.left_id) for r in match.report_page(pairs, order, n).orderBy("place").collect()]
