@@ -33,8 +33,9 @@ CHUNK_BYTES = 2048
 MAX_ODD_CHUNKS = 0.2
 #: Classes of lengths for each doubling, and how many there are.
 PER_OCTAVE, CLASSES = 4, 160
-#: Quartile distances that a band reaches beyond the quartiles, and the factor that it reaches at least.
-SPREAD, LEAST = 2.5, 1.05
+#: Quartile distances that a band reaches below and above the quartiles, and the factor that it reaches at least. Ratios of sound
+#: texts trail off slowly below, and noise lies far below them; tables and symbols lie close above.
+SPREAD, LEAST = (6.0, 2.5), 1.05
 #: Distinct texts that a class needs for a band of its own.
 ENOUGH = 30
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,7 +121,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     return own.mapInArrow(run, f"_id {kind}, _th long, {MEASURES}")
 
 
-def fit_limits(measured: DataFrame, chunk_bytes: int = CHUNK_BYTES, spread: float = SPREAD, least: float = LEAST, enough: int = ENOUGH) -> Limits:
+def fit_limits(measured: DataFrame, chunk_bytes: int = CHUNK_BYTES, spread: tuple[float, float] = SPREAD, least: float = LEAST, enough: int = ENOUGH) -> Limits:
     """Bands from the measures of a corpus. Texts that repeat count once; those of under 50 words or of mostly repeated ones do not.
 
     Ratios are counted by class in steps of 0.001, so the driver gets a row for each of at most CLASSES classes, and reruns agree.
@@ -134,7 +135,7 @@ def fit_limits(measured: DataFrame, chunk_bytes: int = CHUNK_BYTES, spread: floa
     bands = {}
     for c, ((q1, q3), n) in found.items():
         if n >= enough:
-            bands[c] = min(q1 - spread * (q3 - q1), q1 / least), max(q3 + spread * (q3 - q1), q3 * least)
+            bands[c] = min(q1 - spread[0] * (q3 - q1), q1 / least), max(q3 + spread[1] * (q3 - q1), q3 * least)
     fixed = Limits.fixed(chunk_bytes)
     low, high = list(fixed.low), list(fixed.high)
     for c in range(CLASSES):

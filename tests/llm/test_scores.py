@@ -228,7 +228,7 @@ def test_limits_follow_the_corpus(spark):
     for c, ratios in by_class.items():
         if len(ratios) >= quality_rules.ENOUGH:
             a, b = np.percentile(ratios, [25, 75])
-            own[c] = min(a - 2.5 * (b - a), a / 1.05), max(b + 2.5 * (b - a), b * 1.05)
+            own[c] = min(a - 6.0 * (b - a), a / 1.05), max(b + 2.5 * (b - a), b * 1.05)
     for c, (low, high) in own.items():
         if c - 1 in own and c + 1 in own:
             low, high = min(low, (own[c - 1][0] + own[c + 1][0]) / 2), max(high, (own[c - 1][1] + own[c + 1][1]) / 2)
