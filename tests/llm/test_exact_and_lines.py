@@ -49,8 +49,8 @@ def test_exact_dedup_full_bitmap_changes_nothing(spark, monkeypatch):
     assert key(exact_dedup.exact_dedup(rows)) == want
 
 
-def brute_lines(rows, k):
-    """Lines to delete by comparing every window of k non-blank lines with those before it."""
+def brute_lines(rows, k, min_words=None):
+    """Lines to delete by comparing every window of k non-blank lines, and every line of min_words words, with those before it."""
     seen, out = set(), {}
     for i, t in sorted(rows):
         at = [(n, x.strip(BLANKS)) for n, x in enumerate((t or "").split("\n")) if x.strip(BLANKS)]
@@ -60,6 +60,11 @@ def brute_lines(rows, k):
             if w in seen:
                 gone |= {n for n, _ in at[j : j + k]}
             seen.add(w)
+        for n, x in at if min_words else ():
+            if len(x.split()) >= min_words:
+                if (x,) in seen:
+                    gone.add(n)
+                seen.add((x,))
         out[i] = "\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone)
     return out
 

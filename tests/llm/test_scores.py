@@ -133,6 +133,29 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), ranking).collect() == []
 
 
+def test_ranking_against_plain_newton_steps():
+    rng = np.random.default_rng(3)
+    k = len(quality.FEATURES)
+    y = (np.arange(400) % 3 > 0).astype(int)
+    x = rng.normal(size=(400, k)) + y[:, None] * np.linspace(-0.4, 0.8, k)
+    got = quality.train(x, y, bad_share=0.25, pairs=3000)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = np.clip((x - mean) / scale, -6, 6)
+    draw = np.random.default_rng(9)
+    diff = z[draw.choice(np.flatnonzero(y == 1), 3000)] - z[draw.choice(np.flatnonzero(y == 0), 3000)]
+    loss = lambda w: np.log1p(np.exp(-(diff @ w))).mean() + 0.5e-2 * w @ w
+    w = np.zeros(k)
+    for _ in range(30):
+        lose = 1 / (1 + np.exp(diff @ w))
+        hess = (diff * (lose * (1 - lose))[:, None]).T @ diff / len(diff) + 1e-2 * np.eye(k)
+        w -= np.linalg.solve(hess, -(diff * lose[:, None]).mean(0) + 1e-2 * w)
+    assert loss(got.weights) < loss(w) * 1.02 + 1e-4 and np.corrcoef(got.weights, w)[0, 1] > 0.99
+    # The threshold is the quantile of the scores at the share of bad documents, each class weighted to its share.
+    raw = got.raw(x)
+    below = 0.25 * (raw[y == 0] < got.threshold).mean() + 0.75 * (raw[y == 1] < got.threshold).mean()
+    assert below == pytest.approx(0.25, abs=0.01)
+
+
 def test_quality_of_any_columns_lengths_and_ties(spark):
     docs, labels, _ = labelled_corpus(spark)
     ranking = quality.fit(docs, labels)
