@@ -197,7 +197,7 @@ def possible(at: np.ndarray, i: int, band: int, sig: np.ndarray, bins: np.ndarra
     return at[most >= similar * (total[at] + total[i] - most)]
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 1000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, cell: int = 500) -> DataFrame:
     """For each row of `docs`: id, class_id, class_size and _th (hash of its text).
 
     Two texts are linked when the weighted Jaccard similarity of their five-word shingles is at least `similar`; words
@@ -283,7 +283,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = cut(verified(stars))
     # A first idea of the classes: each node follows its best hub, hubs follow theirs. A hub ranks above its members,
     # so these steps form trees, and members of one tree are connected.
-    labels = links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("s", "b")).alias("best")).select("node", F.col("best.b").alias("label"))
+    labels = cut(links.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("s", "b")).alias("best")).select("node", F.col("best.b").alias("label")))
     for _ in range(JUMPS):
         ahead = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = cut(labels.join(ahead, "label", "left").select("node", F.coalesce("next", "label").alias("label")))

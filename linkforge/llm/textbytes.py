@@ -22,9 +22,9 @@ _powers: dict[int, np.ndarray] = {}
 PIECE = 1 << 20
 
 
-def arrow_batches(spark, rows: int = 1000) -> None:
-    """Keep Arrow batches short, since a row can hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark) -> None:
+    """Bounds Arrow batches by bytes, since a row can hold a very long text. This is a setting of the session and stays set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * PIECE))
 
 
 def tidy(run: Callable) -> Callable:
