@@ -13,6 +13,7 @@ them over the cluster would move and save.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -23,24 +24,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textbytes import RangeHash, arrow_batches, pieces, tidy, utf8
+from .textbytes import arrow_batches, pieces, rolling, tidy, utf8
 
+BLANKS = " \t\n\x0b\x0c\r"
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 #: Blanks for str.split() that are no blanks here.
 ODD_BLANKS = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
+#: Bytes without which a text has none of them.
+_ODD_BYTES = (*(bytes([c]) for c in range(0x1C, 0x20)), *(c.encode() for c in map(chr, (0x85, 0xA0, 0x1680, 0x205F, 0x3000))), b"\xe2\x80")
 _IDS = np.dtype("<i4")
 
 
-def cut_points(data: np.ndarray, offsets: np.ndarray, window: int = 16, bits: int = 8, seed: int = 3) -> np.ndarray:
+def cut_points(data: np.ndarray, offsets: np.ndarray, window: int = 16, bits: int = 9, seed: int = 3) -> np.ndarray:
     """Ends of chunks in a buffer of whole texts: where the hash of the last `window` bytes ends in `bits` zeros, and at each text's end.
 
     Cuts depend on content alone; one that would split a character moves to the character's end.
     """
     ends = [offsets[1:]]
     if len(data) > window:
-        stop = np.arange(window, len(data))
-        hit = (RangeHash(data, seed)(stop - window, stop) & np.uint64((1 << bits) - 1)) == 0
-        at = stop[hit]
+        hit = (rolling(data, window, seed)[:-1] & np.uint64((1 << bits) - 1)) == 0
+        at = np.flatnonzero(hit) + window
         for _ in range(3):
             at = at + ((data[np.minimum(at, len(data) - 1)] & 0xC0) == 0x80)
         ends.append(at[at < len(data)])
@@ -53,9 +56,12 @@ def split_words(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """Encodes batches of texts with kept chunks and words; what it keeps is bounded, results do not depend on it."""
+    """Encodes batches of texts with kept chunks and words; what it keeps is bounded, results do not depend on it.
 
-    def __init__(self, path: str, max_words: int = 400_000, max_chunks: int = 30_000):
+    Words are kept in two halves: when the newer one is full the older one goes, and words that are met again move over.
+    """
+
+    def __init__(self, path: str, max_words: int = 400_000, max_chunks: int = 15_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -68,6 +74,7 @@ class ChunkEncoder:
                 if self._ids(f"{a} {b}") != self._ids(a) + self._ids(b) or self._ids(f"{a}\n \t{b}") != self._ids(a) + self._ids(b):
                     raise ValueError("chunks can be joined only for a tokenizer that drops blanks between words")
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: First fragment, ids of the whole words (None without a blank), last fragment, and for the joins: the text up to the
         #: end of the first whole word, its ids, the text from the last whole word on, its ids.
         self.chunks: dict[bytes, tuple[str, bytes | None, str, str, bytes, str, bytes]] = {}
@@ -83,36 +90,55 @@ class ChunkEncoder:
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.words[word] = self._ids(word)
+            ids = self.words[word] = self.older.get(word) or self._ids(word)
         return ids
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Keeps the chunks in `new`; their unknown words are encoded together."""
+    def _encode_words(self, words: list[str], together: int = 100) -> None:
+        """Keeps the ids of words. Many are encoded as one text, and the tokens' places in it tell which word they are of."""
+        for i in range(0, len(words), together):
+            some = words[i : i + together]
+            found = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, _IDS).tobytes()
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+            places = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            at = (np.searchsorted(places, starts) * _IDS.itemsize).tolist()
+            for w, a, b in zip(some, at, at[1:]):
+                self.words[w] = ids[a:b]
+
+    def _learn(self, new: list[bytes], odd: bool) -> None:
+        """Keeps the chunks in `new`; their unknown words are encoded together. odd: whether there are ODD_BLANKS."""
         parts = []
         missing: dict[str, None] = {}
+        known = self.words.get
         for chunk in new:
             text = chunk.decode("utf-8", "replace")
-            first = BLANK.search(text)
-            if first is None:
-                parts.append((text, None, "", text))
+            body = split_words(text) if odd else text.split()
+            head = tail = ""
+            if not text or len(body) == 1 and len(body[0]) == len(text):
+                parts.append((text, None, "", text, None))
                 continue
-            end = len(text.rstrip(" \t\n\x0b\x0c\r"))
-            cut = max(text.rfind(b, first.start(), end) for b in " \t\n\x0b\x0c\r") + 1 if end == len(text) else end
-            body = split_words(text[first.start() : cut])
-            parts.append((text[: first.start()], body, text[cut:] if end == len(text) else "", text))
-            for w in body:
-                if w not in self.words:
-                    missing[w] = None
-        words = list(missing)
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, _IDS).tobytes()
-        for chunk, (head, body, tail, text) in zip(new, parts):
+            if text[0] not in BLANKS:
+                head = body.pop(0)
+            if body and text[-1] not in BLANKS:
+                tail = body.pop()
+            ids = list(map(known, body))
+            if None in ids:
+                for k, w in enumerate(body):
+                    if ids[k] is None:
+                        old = self.older.get(w)
+                        if old is None:
+                            missing[w] = None
+                        else:
+                            ids[k] = self.words[w] = old
+            parts.append((head, body, tail, text, ids))
+        self._encode_words(list(missing))
+        for chunk, (head, body, tail, text, ids) in zip(new, parts):
             if body:
+                if None in ids:
+                    ids = [self.words[w] if x is None else x for w, x in zip(body, ids)]
                 front = text[: text.index(body[0], len(head)) + len(body[0])]
                 back = text[text.rindex(body[-1], 0, len(text) - len(tail)) :]
-                self.chunks[chunk] = (head, b"".join(map(self.words.__getitem__, body)), tail, front, self.words[body[0]], back, self.words[body[-1]])
+                self.chunks[chunk] = (head, b"".join(ids), tail, front, ids[0], back, ids[-1])
             elif body is None:
                 self.chunks[chunk] = (head, None, "", text, b"", text, b"")
             else:
@@ -125,9 +151,11 @@ class ChunkEncoder:
         ends = cut_points(data, offsets)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         found = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-        self._learn(list(dict.fromkeys(c for c in found if c not in self.chunks)))
+        odd = any(x in raw for x in _ODD_BYTES) and ODD_BLANKS.search(raw.decode("utf-8", "replace")) is not None
+        self._learn(list(dict.fromkeys(c for c in found if c not in self.chunks)), odd)
         last = np.searchsorted(ends, offsets, "left")  # index of the chunk that ends at each offset
         out, joins = [], []
+        self._encode_words([w for w in self._fragments(found, starts, offsets) if w not in self.words and w not in self.older])
         for row in range(len(offsets) - 1):
             ids, fragment = [], ""
             before, window, want = False, "", b""
@@ -151,20 +179,43 @@ class ChunkEncoder:
             out.append(np.frombuffer(b"".join(ids), _IDS))
         for row in self._disagreeing(joins):
             out[row] = np.frombuffer(self._ids(raw[offsets[row] : offsets[row + 1]].decode("utf-8", "replace")), _IDS)
-        for kept, most in ((self.words, self.max_words), (self.chunks, self.max_chunks)):
-            if len(kept) > most:
-                for key in list(islice(kept, len(kept) - most // 2)):
-                    del kept[key]
+        if len(self.words) > self.max_words // 2:
+            self.words, self.older = {}, self.words
+        if len(self.chunks) > self.max_chunks:
+            for key in list(islice(self.chunks, len(self.chunks) - self.max_chunks // 2)):
+                del self.chunks[key]
         return out
 
-    def _disagreeing(self, joins: list[tuple[int, str, bytes]]) -> set[int]:
-        """Rows with a join (row, text around it, ids put together) whose text has other ids."""
-        windows = list(dict.fromkeys(w for _, w, _ in joins))
-        got: dict[str, bytes] = {}
-        for i in range(0, len(windows), 20_000):
-            some = windows[i : i + 20_000]
-            got |= {w: np.array(e.ids, _IDS).tobytes() for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False))}
-        return {row for row, w, want in joins if got[w] != want}
+    def _fragments(self, found: list[bytes], starts: np.ndarray, offsets: np.ndarray) -> dict[str, None]:
+        """The words that lie across joins, put together, and those at the ends of texts."""
+        words: dict[str, None] = {}
+        begins = set(offsets.tolist())
+        fragment = ""
+        for chunk, start in zip(found, starts.tolist()):
+            if start in begins:
+                words[fragment] = None
+                fragment = ""
+            head, body, tail = self.chunks[chunk][:3]
+            fragment += head
+            if body is not None:
+                words[fragment] = None
+                fragment = tail
+        words[fragment] = None
+        words.pop("", None)
+        return words
+
+    def _disagreeing(self, joins: list[tuple[int, str, bytes]], together: int = 32) -> set[int]:
+        """Rows with a join (row, text around it, ids put together) whose text has other ids. Many joins are looked at together first."""
+        rows = set()
+        for i in range(0, len(joins), together):
+            some = joins[i : i + together]
+            if self._ids("\n".join(w for _, w, _ in some)) != b"".join(want for _, _, want in some):
+                rows |= {row for row, w, want in some if self._ids(w) != want}
+        return rows
+
+    def forget(self) -> None:
+        """Drops what was kept of texts."""
+        self.words, self.older, self.chunks = {}, {}, {}
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         if self.tokens is not None:
@@ -187,7 +238,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     and repeated rows change nothing; other columns are ignored; an empty table gives an empty result.
     path: the tokenizer's file, the same on every executor.
     """
-    arrow_batches(docs.sparkSession, 500)
+    arrow_batches(docs.sparkSession)
     kinds = {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
     id_kind = docs.select(id_col).schema[0].dataType.simpleString()
 
@@ -196,6 +247,18 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
         encoder = _encoders.get(path)
         if encoder is None:
             encoder = _encoders[path] = ChunkEncoder(path)
+        # What is kept has no cycles, and walking it for some would take a quarter of the time. The worker goes on as before.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            yield from encoded(encoder, batches)
+        finally:
+            # A task's share of the corpus has more new words than the store holds: little is lost, and the next stage gets the room.
+            encoder.forget()
+            if collects:
+                gc.enable()
+
+    def encoded(encoder: ChunkEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "replace")).hexdigest()
         for batch in batches:
             for piece in pieces(batch, "_text"):

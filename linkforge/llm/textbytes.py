@@ -1,6 +1,6 @@
 """Vectorised work on Arrow string columns: whole batches of UTF-8 text as one byte array.
 
-A text is never cut. Batches are walked in pieces of a megabyte of whole rows, so that memory
+A text is never cut. Batches are walked in pieces of half a megabyte of whole rows, so that memory
 stays bounded by the piece size or the longest single text, whichever is larger.
 """
 
@@ -19,7 +19,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 #: Bytes of text that are worked on at once; arrays of several times 8 bytes for each of them are made.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def arrow_batches(spark) -> None:
