@@ -23,7 +23,7 @@ def match_between(catalog: DataFrame, customer: DataFrame, catalog_config: Colum
     Further output columns of either side come with a prefix.
     """
     left, right = prepare(customer, customer_config, settings), prepare(catalog, catalog_config, settings)
-    best = M.top_k(M.scored_pairs(left, right, settings, best=settings.max_matches), settings.max_matches, settings.sort_by)
+    best = M.scored_pairs(left, right, settings) if settings.max_matches is None else M.best_pairs(left, right, settings, settings.max_matches)
     return M.enrich(best, customer, catalog, customer_config.row_id, catalog_config.row_id, customer_config.output, catalog_config.output)
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings as hypothesis_settings, strategies as st
 
+from linkforge import queries
 from linkforge.functions.words import ENGLISH, STOP_WORDS
 from linkforge.operators import fuzzy, graph, groups, match, numbering, prepare, profile, report, sweep
 from linkforge.plans import matching
@@ -229,3 +230,34 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.left_id, r.right_id) for r in found] == [(1, 7)]
+
+
+def most_rows(df):
+    """The most rows that an operator of the executed plan made, and the rows of the result."""
+    n, todo, most = len(df.collect()), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most, n
+
+
+@pytest.mark.parametrize("query", ["additive_scores"])
+def test_best_matches_of_rows_of_few_names_do_not_meet_all(spark, tmp_path, query):
+    kinds = "ECONOMY STANDARD PROMO SMALL MEDIUM LARGE".split()
+    rng = random.Random(8)
+    part = [(i, " ".join(rng.choice(w.split()) for w in ("red blue hot cold steel", "bolt gear ring nut rod")), f"Brand#{rng.randint(1, 3)}", rng.choice(kinds), rng.randint(1, 50)) for i in range(1500)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    most, n = most_rows(queries.QUERIES[query](spark, str(tmp_path)))
+    assert n >= 3 * 1500 and most <= 4 * n
+    if query == "combined_match_topk":
+        a, b = queries._prepared(spark, str(tmp_path), queries.ALL)
+        every = match.top_k(match.scored_pairs(a.where("row_id % 50 = 7"), b, queries.ALL), 5).select("left_id", "right_id").collect()
+        got = match.best_pairs(a.where("row_id % 50 = 7"), b, queries.ALL, 5).select("left_id", "right_id").collect()
+        assert len(every) > 90 and set(every) == set(got)
