@@ -97,7 +97,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     only = MatchSettings(threshold=1.0, w_tfidf=1.0, w_fuzzy=0.0, w_gtin=0.0, max_matches=3)
     left, right = _prepared(spark, sf_dir, only)
-    return match.top_k(match.scored_pairs(left, right, only, best=3), 3).select("left_id", "right_id", "tfidf_score")
+    return match.best_pairs(left, right, only, 3).select("left_id", "right_id", "tfidf_score")
 
 
 def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
