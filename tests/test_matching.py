@@ -248,7 +248,7 @@ def most_rows(df):
     return most, n
 
 
-@pytest.mark.parametrize("query", ["additive_scores", "enriched_match", "tfidf_topk", "combined_match_topk"])
+@pytest.mark.parametrize("query", ["text_match_topk", "combined_match_topk", "tfidf_topk", "additive_scores", "enriched_match"])
 def test_best_matches_of_rows_of_few_names_do_not_meet_all(spark, tmp_path, query):
     kinds = "ECONOMY STANDARD PROMO SMALL MEDIUM LARGE".split()
     rng = random.Random(8)
