@@ -40,11 +40,16 @@ def scores_within(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
     return pair_scores.select("src", "dst", "score").join(a, "src").join(b, "dst").where("_a = _b").select(F.col("_a").alias("group_key"), "src", "dst", "score")
 
 
+def millionths(score: np.ndarray) -> np.ndarray:
+    return np.rint(score * 1e6).astype(np.int64)
+
+
 def conservative_split(members: DataFrame, pair_scores: DataFrame, threshold: float | None = None) -> DataFrame:
     """Splits groups of three and more around representatives, one component at a time.
 
-    Over and over the member with the highest mean score to the remaining ones (to six decimals), smallest id first, takes
-    all that score at least the threshold with it; what it takes is a group if it is more than one.
+    Over and over the member with the highest mean score to the remaining ones, smallest id first, takes all that score at
+    least the threshold with it; what it takes is a group if it is more than one. Scores and means count to six decimals, halves
+    up. They are summed as whole millionths, so that means that are equal or lie on a half do not depend on the order of a sum.
     pair_scores: (group_key, src, dst, score) of all pairs inside groups, and `threshold` where each pair brings its own.
     """
     kind = members.schema["member_id"].dataType.simpleString()
@@ -56,18 +61,21 @@ def conservative_split(members: DataFrame, pair_scores: DataFrame, threshold: fl
         least = threshold if threshold is not None else float(frame["threshold"].iloc[0])
         score = np.zeros((len(ids), len(ids)))
         score[at, to] = score[to, at] = frame["score"].to_numpy()
-        rest, total, out = np.ones(len(ids), bool), score.sum(1), []
+        rest, total, out = np.ones(len(ids), bool), np.zeros(len(ids), np.int64), []
+        for member in (at, to):
+            np.add.at(total, member, millionths(frame["score"].to_numpy()))
         if len(ids) <= 2:
             out, rest = [(0, m) for m in range(len(ids))], ~rest
         while rest.sum() > 1:
-            mean = np.where(rest, np.round(total / (rest.sum() - 1), 6), -1.0)
+            others = int(rest.sum()) - 1
+            mean = np.where(rest, (2 * total + others) // (2 * others), -1)
             best = int(mean.argmax())
             cluster = rest & (score[best] >= least)
             cluster[best] = True
             if cluster.sum() > 1:
                 out += [(int(cluster.argmax()), m) for m in np.flatnonzero(cluster)]
             rest &= ~cluster
-            total -= score[:, cluster].sum(1)
+            total -= millionths(score[:, cluster]).sum(1)
         names = ids.tolist()
         made = pd.DataFrame({"group_key": [names[a] for a, _ in out], "member_id": [names[b] for _, b in out]})
         made["component"] = pd.Series([frame["group_key"].iloc[0]] * len(made), dtype=object)
@@ -77,9 +85,10 @@ def conservative_split(members: DataFrame, pair_scores: DataFrame, threshold: fl
 
 
 def representatives(members: DataFrame, pair_scores: DataFrame) -> DataFrame:
-    """(group_key, representative_id): the member with the highest mean score to the others, smallest id first."""
+    """(group_key, representative_id): the member with the highest mean score to the others, smallest id first; means as in the split."""
     both = pair_scores.select("group_key", F.col("src").alias("m"), "score").unionByName(pair_scores.select("group_key", F.col("dst").alias("m"), "score"))
-    mean = both.groupBy("group_key", "m").agg(F.round(F.avg("score"), 6).alias("mean"))
+    total = both.groupBy("group_key", "m").agg(F.sum(F.rint(F.col("score") * 1e6).cast("long")).alias("total"), F.count("*").alias("others"))
+    mean = total.select("group_key", "m", F.expr("(2 * total + others) div (2 * others)").alias("mean"))
     return mean.groupBy("group_key").agg(F.min_by("m", F.struct(-F.col("mean"), F.col("m"))).alias("representative_id"))
 
 

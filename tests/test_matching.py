@@ -261,3 +261,24 @@ def test_best_matches_of_rows_of_few_names_do_not_meet_all(spark, tmp_path, quer
         every = match.top_k(match.scored_pairs(a.where("row_id % 50 = 7"), b, queries.ALL), 5).select("left_id", "right_id").collect()
         got = match.best_pairs(a.where("row_id % 50 = 7"), b, queries.ALL, 5).select("left_id", "right_id").collect()
         assert len(every) > 90 and set(every) == set(got)
+
+
+def test_means_on_a_half_are_the_same_in_any_order(spark):
+    """Splits and representatives against whole fractions, with many means that are equal or end in half a millionth."""
+    rng = random.Random(5)
+    scores = {g: {(100 * g + i, 100 * g + j): rng.choice([61234567, 61234568] * 4 + [70123451]) for i in range(9) for j in range(i + 1, 9)} for g in range(150)}
+    want, first = set(), {}
+    for g, known in scores.items():
+        at = lambda a, b: known[min(a, b), max(a, b)]
+        rest = [100 * g + i for i in range(9)]
+        while len(rest) > 1:
+            mean = lambda m: (2 * sum(at(m, o) for o in rest if o != m) + len(rest) - 1) // (2 * (len(rest) - 1))
+            best = min(rest, key=lambda m: (-mean(m), m))
+            first.setdefault(100 * g, best)
+            taken = [m for m in rest if m == best or at(best, m) >= 70_000_000]
+            want |= {(taken[0], m) for m in taken if len(taken) > 1}
+            rest = [m for m in rest if m not in taken]
+    pairs = spark.createDataFrame([(100 * g, a, b, n / 1e6) for g, known in scores.items() for (a, b), n in known.items()], "group_key long, src long, dst long, score double")
+    members = spark.createDataFrame([(100 * g, 100 * g + i) for g in scores for i in range(9)], "group_key long, member_id long")
+    assert {(r.group_key, r.member_id) for r in groups.conservative_split(members, pairs, 70.0).collect()} == want
+    assert {r.group_key: r.representative_id for r in groups.representatives(members, pairs).collect()} == first
