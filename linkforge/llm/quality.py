@@ -2,12 +2,13 @@
 
 Documents marked good are preferred to documents marked bad. The chance that one is preferred to another is the
 logistic function of the difference of their scores, and a score is linear in features of the whole text, so the
-weights follow from logistic loss on feature differences of pairs. A quantile of the scores, weighted to the true
-share of bad documents, is the threshold.
+weights follow from logistic loss on feature differences of pairs. The quantile of the scores at the true share of
+bad documents is the threshold. All labelled documents count, and all pairs of a good and a bad one.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import sample
+from ..lineage import cut
+from .labelled import known_labels, sample
 from .textbytes import RangeHash, arrow_batches, mix, per_row, pieces, tidy, utf8, words
 
 FEATURES = ("upper", "digits", "exclaims", "symbols", "bars", "blanks", "non_ascii", "word_length", "distinct", "same_next", "same_after_next", "repeated_pairs", "top_word", "dup_lines", "log_words", "line_words")
@@ -109,12 +111,153 @@ def train(x: np.ndarray, labels: np.ndarray, bad_share: float, pairs: int = 10_0
     return Ranking(mean, scale, w, threshold, 6.0 / gap)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, pairs: int = 10_000) -> Ranking:
-    """A ranking fitted to a sample of at most `per_class` documents of each class whose labels are not held out.
+#: Bins of scores for each class, and how many of them share second moments.
+_BINS, _SHARED = 1024, 16
 
-    Of the pairs of a good and a bad document of the sample it learns from `pairs`, drawn at random with repetition.
-    Features are made where the texts are; the driver gets len(FEATURES) numbers for each document of the sample.
+
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _x): the features of each row, made where the texts are."""
+    arrow_batches(docs.sparkSession)
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array(list(features(*utf8(piece.column("_text")))), pa.list_(pa.float64()))], names=["_id", "_x"])
+
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _x array<double>")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _totals(rows: DataFrame, add, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all tasks of what `add(total, label, x)` adds to an array of zeros for each batch."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            if batch.num_rows:
+                add(total, batch.column("_label").to_numpy(zero_copy_only=False), _matrix(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["_sum"])
+
+    out = np.zeros(shape)
+    for r in rows.mapInArrow(run, "_sum binary").collect():
+        out += np.frombuffer(zlib.decompress(r["_sum"])).reshape(shape)
+    return out
+
+
+def _binned(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By class and bin of the score: rows and sums of their features (class, bin, 1 + k), and second moments of some bins together."""
+    k, reach = len(w), 6 * np.abs(w).sum() + 1e-9
+
+    def add(total, label, x):
+        z = np.clip((x - mean) / scale, -6, 6)
+        at = np.clip(((z @ w + reach) / (2 * reach) * _BINS).astype(np.int64), 0, _BINS - 1)
+        sums, moments = total[: 2 * _BINS * (k + 1)].reshape(2, _BINS, k + 1), total[2 * _BINS * (k + 1) :].reshape(2, -1, k, k)
+        np.add.at(sums, (label, at), np.column_stack([np.ones(len(z)), z]))
+        for c, b in set(zip(label.tolist(), (at // _SHARED).tolist())):
+            some = z[(label == c) & (at // _SHARED == b)]
+            moments[c, b] += some.T @ some
+
+    flat = _totals(rows, add, (2 * _BINS * (k + 1) + 2 * (_BINS // _SHARED) * k * k,))
+    return flat[: 2 * _BINS * (k + 1)].reshape(2, _BINS, k + 1), flat[2 * _BINS * (k + 1) :].reshape(2, -1, k, k)
+
+
+def _all_pairs(sums: np.ndarray, moments: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and about the Hessian over all pairs of a good and a bad document, from sums by bin.
+
+    A row's score is taken as the mean score of its bin, so an error is of second order in the bin's width.
     """
+    k = len(w)
+    (n0, z0), (n1, z1) = ((s[:, 0], s[:, 1:]) for s in sums)
+    score = [(z @ w) / np.maximum(1, n) for n, z in ((n0, z0), (n1, z1))]
+    ahead = score[1][:, None] - score[0][None, :]
+    every = n0.sum() * n1.sum()
+    lose = 1 / (1 + np.exp(np.clip(ahead, -500, 500)))
+    loss = n1 @ np.logaddexp(0, -ahead) @ n0 / every + 0.5e-2 * w @ w
+    grad = -((lose @ n0) @ z1 - (n1 @ lose) @ z0) / every + 1e-2 * w
+    bend = lose * (1 - lose)
+    shared = lambda weight, n: (weight * n).reshape(-1, _SHARED).sum(1) / np.maximum(1, n.reshape(-1, _SHARED).sum(1))
+    across = z1.T @ bend @ z0
+    inside = np.tensordot(shared(bend @ n0, n1), moments[1], 1) + np.tensordot(shared(n1 @ bend, n0), moments[0], 1)
+    return loss, grad, (inside - across - across.T) / every + 1e-2 * np.eye(k)
+
+
+def nth(values: DataFrame, n: int, few: int = 2000) -> float:
+    """The value in place n, from 0 on, of the ascending numbers in column _raw: from counts by ever smaller ranges, which end at it."""
+    low, high = values.agg(F.min("_raw"), F.max("_raw")).first()
+    while low < high:
+        place = F.least(F.lit(4095), F.floor((F.col("_raw") - F.lit(low)) / F.lit((high - low) / 4096)).cast("int"))
+        own = values.where(F.col("_raw").between(low, high))
+        for r in sorted(own.groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("_raw").alias("low"), F.max("_raw").alias("high")).collect()):
+            if n < r["n"]:
+                break
+            n -= r["n"]
+        low, high = r["low"], r["high"]
+        if low < high and r["n"] <= few:
+            return sorted(v for (v,) in values.where(F.col("_raw").between(low, high)).select("_raw").collect())[n]
+    return low
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", passes: int = 40) -> Ranking:
+    """A ranking from the features (_id, _x) of documents, by all whose labels are known and not held out and by all their pairs.
+
+    Of several rows of an id the one with the least features counts. Newton steps over all pairs, a pass over the features each,
+    until no part of the gradient exceeds 0.00001; a step that raises the loss is halved. The driver gets sums by bin of the score.
+    """
+    k = len(FEATURES)
+    known = known_labels(labels, label_col, id_col)
+    rows = cut(rows.join(known, "_id").groupBy("_id", "_label").agg(F.min("_x").alias("_x")).select("_label", "_x"))
+
+    def add(total, label, x):
+        for c in (0, 1):
+            total[c] += np.concatenate([[(label == c).sum()], x[label == c].sum(0), (x[label == c] ** 2).sum(0)])
+
+    sums = _totals(rows, add, (2, 1 + 2 * k))
+    bad, good = (int(n) for n in sums[:, 0])
+    if not bad or not good:
+        return train(np.zeros((1, k)) if bad or good else np.zeros((0, k)), np.array([1] if good else [0] if bad else []), 0.0)
+    mean = sums[:, 1 : k + 1].sum(0) / (bad + good)
+    scale = np.sqrt(np.maximum(0, sums[:, k + 1 :].sum(0) / (bad + good) - mean**2)) + 1e-6
+    at = lambda w: _all_pairs(*_binned(rows, mean, scale, w), w)
+    w = np.zeros(k)
+    loss, grad, hess = at(w)
+    step, part = np.linalg.solve(hess, grad), 1.0
+    for _ in range(passes):
+        if np.abs(grad).max() < 1e-5 or part < 1e-3:
+            break
+        new = at(w - part * step)
+        if new[0] > loss + 1e-12:
+            part /= 2
+            continue
+        w, (loss, grad, hess) = w - part * step, new
+        step, part = np.linalg.solve(hess, grad), 1.0
+    rank = Ranking(mean, scale, w, 0.0, 1.0)
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(rank.raw(_matrix(batch)))], names=["_label", "_raw"])
+
+    raw = cut(rows.mapInArrow(run, "_label int, _raw double"))
+    threshold = (nth(raw, bad - 1) + nth(raw, bad)) / 2
+    middle = [nth(raw.where(F.col("_label") == c), n // 2) for c, n in ((0, bad), (1, good))]
+    return Ranking(mean, scale, w, threshold, 6.0 / (abs(middle[1] - middle[0]) + 1e-6))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int | None = None, pairs: int | None = None) -> Ranking:
+    """A ranking fitted to all documents whose labels are known and not held out, by all pairs of a good and a bad one.
+
+    With per_class or pairs, to a sample instead: at most `per_class` (1 500) documents of each class, and of their pairs
+    `pairs` (10 000) drawn at random with repetition.
+    """
+    if per_class is None and pairs is None:
+        return fit_measured(measured(docs, id_col, text_col), labels, id_col, label_col)
+    per_class, pairs = per_class or 1500, pairs or 10_000
     rows, counts = sample(docs, labels, label_col, per_class, id_col, text_col)
     arrow_batches(docs.sparkSession)
 
@@ -131,6 +274,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(x, np.array([r[1] for r in made]), counts.get(0, 0) / max(1, sum(counts.values())), pairs)
 
 
+def scores_measured(rows: DataFrame, ranking: Ranking, id_col: str = "doc_id") -> DataFrame:
+    """quality_scores of rows whose features (_id, _x) are there already."""
+    kind = rows.schema["_id"].dataType.simpleString()
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ranking.score(x)), pa.array(ranking.raw(x))], names=[id_col, "score", "raw"])
+
+    return rows.select("_id", "_x").mapInArrow(run, f"`{id_col}` {kind}, score double, raw double")
+
+
 def quality_scores(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) and raw score of each row of `docs`; at score 0.5 the raw score is at the quantile threshold.
 

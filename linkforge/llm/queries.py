@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from . import bpe, exact_dedup, labelled, line_dedup, mixing, near_dedup, quality, quality_rules, suffix_dedup, toxicity, url_filter
 
 
@@ -27,9 +28,9 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    ranking = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _scored(quality.quality_scores(docs, ranking), 0.5)
+    rows = cut(quality.measured(table(spark, sf_dir, "documents")))
+    ranking = quality.fit_measured(rows, table(spark, sf_dir, "labels"))
+    return _scored(quality.scores_measured(rows, ranking), 0.5)
 
 
 TOXIC_FROM = 0.7
