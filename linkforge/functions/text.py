@@ -27,6 +27,8 @@ def clean(text: Column, remove_stop_words: bool = True, case_sensitive: bool = F
 
 def combine(parts: Sequence[Column]) -> Column:
     """Cleaned parts joined by single blanks; empty without parts."""
+    if len(parts) == 1:
+        return parts[0]  # clean already
     return F.trim(F.regexp_replace(F.concat_ws(" ", *parts), r"(?U)\s+", " ")) if parts else F.lit("")
 
 

@@ -278,6 +278,16 @@ def test_best_matches_write_few_rows_and_no_pools(spark, monkeypatch):
     assert {(r.left_id, r.right_id): r.confidence for r in every.collect()} == {k: v for k, v in got.items() if k[0] % 40 == 7}
 
 
+def test_best_matches_read_each_table_twice(spark, tmp_path, monkeypatch):
+    """Names are cleaned once for all that is known of texts, and once with the rows."""
+    plans = []
+    monkeypatch.setattr(match, "cut", lambda df, real=match.cut: plans.append(df) or real(df))
+    part = [(i, f"red {'bolt' if i % 3 else 'gear'}", f"Brand#{i % 4}", "SMALL", i % 9 + 1) for i in range(100)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    out = queries.text_match_topk(spark, str(tmp_path))
+    assert out.count() > 100 and sum(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in [*plans, out]) <= 4
+
+
 def test_means_on_a_half_are_the_same_in_any_order(spark):
     """Splits and representatives against whole fractions, with many means that are equal or end in half a millionth."""
     rng = random.Random(5)
