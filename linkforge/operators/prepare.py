@@ -15,8 +15,12 @@ def with_row_id(df: DataFrame, order_by: list[str], row_id: str = "row_id") -> D
     return numbered(df, list(order_by), row_id).withColumn(row_id, F.col(row_id) - 1)
 
 
-def prepare(df: DataFrame, config: ColumnConfig, settings: MatchSettings = MatchSettings()) -> DataFrame:
-    """row_id, name, size_text, size_base, gtin_pool and one _keep_ column for each restriction, lower-cased with null empty."""
+def prepare(df: DataFrame, config: ColumnConfig, settings: MatchSettings = MatchSettings(), output: bool = False) -> DataFrame:
+    """row_id, name, size_text, size_base, gtin_pool and one _keep_ column for each restriction, lower-cased with null empty.
+
+    output: also the further output columns that the table has, in _more.
+    """
+    more = [F.col(f"`{c}`") for c in dict.fromkeys(config.output) if output and c in df.columns]
     product = [c for c in config.product if c in df.columns]
     name = text.combine([text.clean(F.col(f"`{c}`"), settings.remove_stop_words, settings.case_sensitive) for c in product])
     if config.size_value and config.size_value in df.columns:
@@ -34,4 +38,5 @@ def prepare(df: DataFrame, config: ColumnConfig, settings: MatchSettings = Match
         sizes.base_amount(size).alias("size_base"),
         gtin.pool([F.col(f"`{c}`") for c in config.gtin if c in df.columns], settings.gtin13, settings.alt_padding).alias("gtin_pool"),
         *[F.lower(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))).alias(f"_keep_{i}") for i, c in enumerate(settings.restrictions)],
+        *([F.struct(*more).alias("_more")] if more else []),
     )

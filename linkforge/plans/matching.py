@@ -22,6 +22,10 @@ def match_between(catalog: DataFrame, customer: DataFrame, catalog_config: Colum
 
     Further output columns of either side come with a prefix.
     """
+    if settings.max_matches is not None and not settings.w_gtin and (settings.w_tfidf or settings.w_fuzzy):
+        # Best pairs bring the output columns with them: no join of all pairs with both tables.
+        left, right = prepare(customer, customer_config, settings, True), prepare(catalog, catalog_config, settings, True)
+        return M.with_output(M.best_pairs(left, right, settings, settings.max_matches))
     left, right = prepare(customer, customer_config, settings), prepare(catalog, catalog_config, settings)
     best = M.scored_pairs(left, right, settings) if settings.max_matches is None else M.best_pairs(left, right, settings, settings.max_matches)
     return M.enrich(best, customer, catalog, customer_config.row_id, catalog_config.row_id, customer_config.output, catalog_config.output)

@@ -278,16 +278,32 @@ def test_best_matches_write_few_rows_and_no_pools(spark, monkeypatch):
     assert {(r.left_id, r.right_id): r.confidence for r in every.collect()} == {k: v for k, v in got.items() if k[0] % 40 == 7}
 
 
-def test_best_matches_read_each_table_twice(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("query", ["text_match_topk", "enriched_match"])
+def test_best_matches_read_each_table_twice(spark, tmp_path, monkeypatch, query):
     """Names are cleaned once for all that is known of texts, and once with the rows."""
     plans = []
     monkeypatch.setattr(match, "cut", lambda df, real=match.cut: plans.append(df) or real(df))
     part = [(i, f"red {'bolt' if i % 3 else 'gear'}", f"Brand#{i % 4}", "SMALL", i % 9 + 1) for i in range(100)]
     spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    out = queries.text_match_topk(spark, str(tmp_path))
+    out = queries.QUERIES[query](spark, str(tmp_path))
     assert out.count() > 100 and sum(df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in [*plans, out]) <= 4
 
 
+def test_output_columns_come_with_their_rows(spark):
+    """With and without sizes, as a join of the pairs with both tables gives them; also nulls, maps and odd names."""
+    rng = random.Random(4)
+    data = [(i, f"red {rng.choice(['bolt', 'bolts', 'gear'])}", rng.choice(["10 g", "11 g", None]), rng.choice([None, "a", "b"]), {"k": i} if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(data, "row_id long, product_name string, size string, `a.b name` string, left_more map<string,long>")
+    plain = ColumnConfig(product=("product_name",), size="size")
+    left, right = (ColumnConfig(**{**plain.__dict__, "output": c}) for c in (("left_more", "absent", "size"), ("a.b name", "row_id")))
+    for more in ({}, {"w_size": 0.2}):
+        s = MatchSettings(**{**dict(threshold=50.0, w_tfidf=0.5, w_fuzzy=0.5, w_gtin=0.0, max_matches=2), **more})
+        got = matching.match_between(df, df, right, left, s)
+        want = match.enrich(matching.match_between(df, df, plain, plain, s), df, df, "row_id", "row_id", left.output, right.output)
+        assert got.columns == want.columns and len(got.columns) == 17
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 80
+
+
 def test_means_on_a_half_are_the_same_in_any_order(spark):
     """Splits and representatives against whole fractions, with many means that are equal or end in half a millionth."""
     rng = random.Random(5)
